@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, media, packing, simhash, token_counts
+from . import chat, media, packing, simhash, suffix_dedup, token_counts
 from .common import read_table
 
 
@@ -39,8 +39,13 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(probe)))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op4_packing, op5_media, op6_token_counts, op8_chat)
+    f.__name__: f for f in (op2_simhash, op4_packing, op5_media, op6_token_counts, op8_chat, op9_suffix_dedup)
 }
 
 SQL: dict[str, str] = {}
