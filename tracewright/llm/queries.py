@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, media, packing, simhash, suffix_dedup, token_counts
+from . import chat, media, packing, quality, simhash, suffix_dedup, token_counts, toxicity
 from .common import read_table
 
 
@@ -44,8 +44,24 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    out = toxicity.score(docs, toxicity.fit(docs, labels, _remainder(5) != 0))
+    return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    out = quality.score(docs, quality.fit(docs, labels, _remainder(4) != 2))
+    return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op4_packing, op5_media, op6_token_counts, op8_chat, op9_suffix_dedup)
+    f.__name__: f for f in (op2_simhash, op4_packing, op5_media, op6_token_counts, op8_chat, op9_suffix_dedup, op3_toxicity, op10_quality)
 }
 
 SQL: dict[str, str] = {}
