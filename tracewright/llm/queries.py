@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, media, packing, quality, simhash, suffix_dedup, token_counts, toxicity
+from . import chat, lattice_dedup, media, mixing, packing, quality, simhash, suffix_dedup, token_counts, toxicity
 from .common import read_table
 
 
@@ -60,8 +60,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op1_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, spread evenly over domains, languages and sources, up to two epochs of each."""
+    out = mixing.plan_mix(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_copies").alias("copies"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op4_packing, op5_media, op6_token_counts, op8_chat, op9_suffix_dedup, op3_toxicity, op10_quality)
+    f.__name__: f for f in (op1_lattice_dedup, op2_simhash, op4_packing, op5_media, op6_token_counts, op7_mixing, op8_chat, op9_suffix_dedup, op3_toxicity, op10_quality)
 }
 
 SQL: dict[str, str] = {}

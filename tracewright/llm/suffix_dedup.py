@@ -37,8 +37,10 @@ ANCHOR = 64
 #: Starts of a document that are handled at once.
 STRETCH = 4 << 20
 #: Bytes of windows in a shard; windows of one anchor in a task.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 TASK_WINDOWS = 30_000
+#: Documents whose windows or results a task holds at a time.
+ROWS = 500
 _MULT = [np.uint64(int(m, 16)) for m in ("9E3779B97F4A7C15", "C2B2AE3D27D4EB4F", "165667B19E3779F9", "D6E8FEB86659FD93")]
 
 
@@ -276,13 +278,19 @@ def _shard_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
     yield from give(open_)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 WINDOWS = "anchor long, wid long, rid long, starts binary, n int, win binary"
 _WINDOWS_ARROW = pa.schema([("anchor", pa.int64()), ("wid", pa.int64()), ("rid", pa.int64()), ("starts", pa.binary()), ("n", pa.int32()), ("win", pa.binary())])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Each document's anchors, with 2 for those it has more than once and 1 for others."""
-    for b in batches:
+    for b in _slices(batches):
         found, owner, many = [], [], []
         for rid, raw in zip(b.column("rid").to_pylist(), b.column("raw").to_pylist(), strict=True):
             for _, x in stretches(raw, length):
@@ -300,7 +308,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     and a row with the starts for each document that has it."""
     import xxhash
 
-    for b in batches:
+    for b in _slices(batches):
         texts: dict[tuple[int, bytes], int] = {}
         rows: list[tuple] = []
         for rid, raw, wanted in zip(b.column("rid").to_pylist(), b.column("raw").to_pylist(), b.column("anchors"), strict=True):
@@ -375,7 +383,7 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     names = ["doc_id", *carry]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             raws = b.column("raw").to_pylist()
             out = [_cut(r, s, length) for r, s in zip(raws, b.column("spans").to_pylist(), strict=True)]
             cols = [b.column(c) for c in names]

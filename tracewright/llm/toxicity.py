@@ -134,7 +134,7 @@ def _document_rows(batches: Iterator[pa.RecordBatch], model: Model, keep: list[s
     """The kept columns with the highest margin of a document and how many words are past each level."""
     seen = Margins(model)
     for b in batches:
-        texts = b.column("text").to_pylist()
+        texts = [t or "" for t in b.column("text").to_pylist()]
         top, many = [], []
         for at in range(0, len(texts), 256):
             tokens = [tokens_of(t) for t in texts[at : at + 256]]
@@ -284,7 +284,8 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 3000,
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Rows of (doc_id, carried columns, score, predicted); predicted is 1 from a score of 0.5 on."""
-    rows = df.select(F.col(id_col).alias("doc_id"), *carry, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    others = [c for c in carry if c != "text"]
+    rows = df.select(F.col(id_col).alias("doc_id"), *others, F.col(text_col).alias("text"))
     keep = ["doc_id", *carry]
     if model.table is None:
         return rows.select(*keep, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
