@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    return []
+    from . import unit_queries
+
+    return [unit_queries]
 
 
 def queries() -> dict[str, Callable]:
