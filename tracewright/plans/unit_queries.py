@@ -39,7 +39,8 @@ def big(c: str, name: str | None = None) -> Column:
 
 
 def cached_actions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return acts(spark, d), turns(spark, d)
+    """Actions and turns, kept while many detectors read them; Spark drops them when it needs the room."""
+    return acts(spark, d).persist(), turns(spark, d).persist()
 
 
 def findings_of(spark: SparkSession, d: str) -> DataFrame:
@@ -452,7 +453,7 @@ def r03(spark, d):
 @query("x15_reason_sentence", B.sql(B.RANKED + REVIEW, """, ph AS (SELECT unit_id, file, list_position(['failure_loops','fumbles','rework','churn','re_read','action_loops'], category) AS sp,
  CASE category WHEN 'churn' THEN 'rewritten '||n||'x' WHEN 'rework' THEN 'reworked '||n||'x' WHEN 're_read' THEN 're-read '||n||'x' WHEN 'failure_loops' THEN n||' looped failing command'||CASE WHEN n=1 THEN '' ELSE 's' END WHEN 'fumbles' THEN n||' blind-write attempt'||CASE WHEN n=1 THEN '' ELSE 's' END ELSE n||' repeated-call loop'||CASE WHEN n=1 THEN '' ELSE 's' END END AS p FROM bd),
 pl AS (SELECT unit_id, file, list(p ORDER BY sp) AS ps FROM ph GROUP BY ALL)
-SELECT unit_id, file, array_to_string(list_filter(list_concat(coalesce(ps, []), [CASE WHEN s>0 THEN 'secrets file touched' END, CASE WHEN fl>1 THEN 'flipped after pushback '||fl||'x' WHEN fl=1 THEN 'flipped after pushback' END, CASE WHEN uc>1 THEN 'user-corrected '||uc||'x' WHEN uc=1 THEN 'user-corrected' END, CASE WHEN tr>0 THEN 'self-reverted '||tr||'x' END, CASE WHEN lw>0 THEN lw||' large write'||CASE WHEN lw>1 THEN 's' ELSE '' END||' accepted instantly' END]), x -> x IS NOT NULL), ', ') AS reason FROM nr2 LEFT JOIN pl USING (unit_id, file) WHERE pos<=3"""))
+SELECT unit_id, file, concat_ws(', ', array_to_string(ps, ', '), CASE WHEN s>0 THEN 'secrets file touched' END, CASE WHEN fl>1 THEN 'flipped after pushback '||fl||'x' WHEN fl=1 THEN 'flipped after pushback' END, CASE WHEN uc>1 THEN 'user-corrected '||uc||'x' WHEN uc=1 THEN 'user-corrected' END, CASE WHEN tr>0 THEN 'self-reverted '||tr||'x' END, CASE WHEN lw>0 THEN lw||' large write'||CASE WHEN lw>1 THEN 's' ELSE '' END||' accepted instantly' END) AS reason FROM nr2 LEFT JOIN pl USING (unit_id, file) WHERE pos<=3"""))
 def x15(spark, d):
     a, t = cached_actions(spark, d)
     f = detect.all_findings(a, t)
