@@ -116,14 +116,12 @@ def class_tier(cls: Column) -> Column:
 
 
 def _redact_word(word: Column, before: Column) -> Column:
-    prefixed = F.lit(False)
-    for p in SECRET_PREFIXES:
-        prefixed = prefixed | word.startswith(p)
-    sep = F.regexp_extract(word, "^([^=:]*)([=:])", 2)
-    key = F.regexp_extract(word, "^([^=:]*)([=:])", 1)
-    sensitive = (sep != "") & (F.octet_length(word) - F.octet_length(key) > 1) & contains_any(F.lower(key), SENSITIVE_KEYS)
+    prefixed = word.rlike("^(" + "|".join(SECRET_PREFIXES) + ")")
+    key = F.regexp_extract(word, "^([^=:]*)[=:]", 1)
+    rest = F.octet_length(word) - F.octet_length(key)
+    sensitive = word.rlike("^[^=:]*[=:]") & (rest > 1) & F.lower(key).rlike("|".join(SENSITIVE_KEYS))
     hidden = (F.lower(before) == "bearer") | ((F.octet_length(word) >= 16) & prefixed)
-    return F.when(hidden, "[REDACTED]").when(sensitive, F.concat(key, sep, F.lit("[REDACTED]"))).otherwise(word)
+    return F.when(hidden, "[REDACTED]").when(sensitive, F.concat(key, F.substr(word, F.length(key) + 1, F.lit(1)), F.lit("[REDACTED]"))).otherwise(word)
 
 
 def redact(s: Column) -> Column:
@@ -132,7 +130,8 @@ def redact(s: Column) -> Column:
 
     def line(x: Column) -> Column:
         words = F.filter(F.split(F.trim(F.regexp_replace(x, SPACES, " ")), " "), lambda w: w != "")
-        return F.array_join(F.transform(words, lambda w, i: _redact_word(w, F.when(i > 0, F.get(words, i - 1)).otherwise(F.lit("")))), " ")
+        before = F.concat(F.array(F.lit("")), words)  # one longer: its last pairs with null, which the join skips
+        return F.array_join(F.zip_with(words, before, _redact_word), " ")
 
     return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
 

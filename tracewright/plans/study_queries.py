@@ -107,10 +107,10 @@ def v04(spark, d):
     return t.select("rule", "window", "outcome", F.round(study.relative_risk(), 6).alias("rr"), F.round(study.precision(), 6).alias("precision"), F.round(study.miss_rate(), 6).alias("miss_rate"))
 
 
-@query("v05_rr_ci", B.sql(_long() + COMPARED, 'SELECT rule, "window", outcome, round(rr_lo,5) AS rr_lo, round(rr_hi,5) AS rr_hi FROM cm'))
+@query("v05_rr_ci", B.sql(_long() + COMPARED, 'SELECT rule, "window", outcome, round(rr_lo,7) AS rr_lo, round(rr_hi,7) AS rr_hi FROM cm'))
 def v05(spark, d):
     lo, hi = study.rr_interval()
-    return study.contingency(pairs(spark, d)).select("rule", "window", "outcome", F.round(lo, 5).alias("rr_lo"), F.round(hi, 5).alias("rr_hi"))
+    return study.contingency(pairs(spark, d)).select("rule", "window", "outcome", F.round(lo, 7).alias("rr_lo"), F.round(hi, 7).alias("rr_hi"))
 
 
 @query("v06_thin_cells", B.sql(_long() + COMPARED, 'SELECT rule, "window", outcome, thin FROM cm'))
@@ -118,9 +118,9 @@ def v06(spark, d):
     return study.contingency(pairs(spark, d)).select("rule", "window", "outcome", study.thin_cells().alias("thin"))
 
 
-@query("v07_rule_comparison", B.sql(_long() + COMPARED, 'SELECT rule, "window", outcome, a, b, c, d, round(rr,5) AS rr, round(flag_share,6) AS flag_share, thin FROM cm'))
+@query("v07_rule_comparison", B.sql(_long() + COMPARED, 'SELECT rule, "window", outcome, a, b, c, d, round(rr,8) AS rr, round(flag_share,6) AS flag_share, thin FROM cm'))
 def v07(spark, d):
-    return study.rule_comparison(pairs(spark, d)).select("rule", "window", "outcome", "a", "b", "c", "d", F.round("rr", 5).alias("rr"), F.round("flag_share", 6).alias("flag_share"), "thin")
+    return study.rule_comparison(pairs(spark, d)).select("rule", "window", "outcome", "a", "b", "c", "d", F.round("rr", 8).alias("rr"), F.round("flag_share", 6).alias("flag_share"), "thin")
 
 
 AGREE = "\nUNION ALL ".join(f"SELECT '{x}' AS product, '{y}' AS baseline, CASE WHEN {x} AND {y} THEN 'both' WHEN {x} THEN 'product_only' WHEN {y} THEN 'baseline_only' ELSE 'neither' END AS bucket, next3_strong AS h FROM p" for x in study.PRODUCT_RULES for y in study.BASELINE_RULES)
@@ -136,9 +136,9 @@ def v09(spark, d):
     return study.false_alarms(pairs(spark, d)).withColumn("share", F.round("share", 6))
 
 
-@query("v10_stratified_rr", B.sql(_long("stratum, "), f'SELECT stratum, rule, "window", outcome, a, b, c, d, round({RR},5) AS rr FROM ct'))
+@query("v10_stratified_rr", B.sql(_long("stratum, "), f'SELECT stratum, rule, "window", outcome, a, b, c, d, round({RR},8) AS rr FROM ct'))
 def v10(spark, d):
-    return study.contingency(pairs(spark, d), ["stratum"]).withColumn("rr", F.round(study.relative_risk(), 5))
+    return study.contingency(pairs(spark, d), ["stratum"]).withColumn("rr", F.round(study.relative_risk(), 8))
 
 
 @query("v11_compute_metrics", B.sql(_long() + COMPARED, """SELECT rule, "window", outcome, a, b, c, d, round("precision",6) AS "precision" FROM cm WHERE rule IN ('flagged_nr','flagged_top3')"""))
