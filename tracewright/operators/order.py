@@ -6,12 +6,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import is_boundary_turn, is_edit
 
-UNIT = Window.partitionBy("unit_id").orderBy("idx")
-LANE = Window.partitionBy("unit_id", "session_ix", "lane").orderBy("idx")
 IDLE_S = 1800
 MEMBERS = 16
 
 
+def unit_window():
+    return Window.partitionBy("unit_id").orderBy("idx")
+
+
+def lane_window():
+    return Window.partitionBy("unit_id", "session_ix", "lane").orderBy("idx")
+
+
 def with_segments(actions: DataFrame, turns: DataFrame) -> DataFrame:
     """Main-lane actions with the number of boundary turns crossed so far and the last one's line.
 
@@ -32,8 +38,8 @@ def with_segments(actions: DataFrame, turns: DataFrame) -> DataFrame:
 
 def action_runs(actions: DataFrame) -> DataFrame:
     """Maximal runs of one call per lane: (unit_id, session_ix, lane, run, n, first_idx, file, idxs)."""
-    brk = F.when(F.col("input_hash").isNull() | ~F.col("input_hash").eqNullSafe(F.lag("input_hash").over(LANE)), 1).otherwise(0)
-    run = F.sum("brk").over(LANE.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    brk = F.when(F.col("input_hash").isNull() | ~F.col("input_hash").eqNullSafe(F.lag("input_hash").over(lane_window())), 1).otherwise(0)
+    run = F.sum("brk").over(lane_window().rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = actions.withColumn("brk", brk).withColumn("run", run)
     return rows.groupBy("unit_id", "session_ix", "lane", "run").agg(
         F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.min_by("file_path", "idx").alias("file"), F.sort_array(F.collect_list("idx")).alias("idxs")
@@ -52,7 +58,7 @@ def active_span(actions: DataFrame, cap: int = 300) -> DataFrame:
 
 def gap_marks(actions: DataFrame, cap: int = 300) -> DataFrame:
     """Consecutive actions more than ``cap`` seconds apart."""
-    gap = F.unix_seconds(F.lead("ts").over(UNIT)) - F.unix_seconds("ts")
+    gap = F.unix_seconds(F.lead("ts").over(unit_window())) - F.unix_seconds("ts")
     return actions.select("unit_id", "idx", gap.alias("gap_s")).where(F.col("gap_s") > cap)
 
 
@@ -81,7 +87,7 @@ def read_before_edit(actions: DataFrame) -> DataFrame:
 
 def preceding_edit(actions: DataFrame, within: int = 5) -> DataFrame:
     """Each action with the file last edited in its lane among the ``within`` positions before it."""
-    w = UNIT.rowsBetween(-within, -1)
+    w = unit_window().rowsBetween(-within, -1)
     item = F.struct("session_ix", "lane", F.when(is_edit(F.col("kind")), F.col("file_path")).alias("file"))
     own = actions.withColumn("near", F.collect_list(item).over(w))
     hits = F.filter("near", lambda x: x["file"].isNotNull() & (x["session_ix"] == F.col("session_ix")) & x["lane"].eqNullSafe(F.col("lane")))
