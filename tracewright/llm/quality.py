@@ -101,11 +101,12 @@ class Ensemble:
 def grow(bins: np.ndarray, cuts: list[np.ndarray], y: np.ndarray, depth: int, rng: np.random.Generator) -> list[Rule]:
     """Paths of a tree by Gini gain on binned statistics."""
     rules: list[Rule] = []
+    fewest, leaf = max(4, min(40, len(y) // 20)), max(2, min(10, len(y) // 100))
 
     def node(at: np.ndarray, path: Rule) -> None:
         if path:
             rules.append(path)
-        if len(path) == depth or len(at) < 40 or y[at].min() == y[at].max():
+        if len(path) == depth or len(at) < fewest or y[at].min() == y[at].max():
             return
         best = (1e-9, None)
         for i in rng.choice(bins.shape[1], size=max(4, bins.shape[1] // 2), replace=False):
@@ -115,7 +116,7 @@ def grow(bins: np.ndarray, cuts: list[np.ndarray], y: np.ndarray, depth: int, rn
             n = np.cumsum(np.bincount(bins[at, i], minlength=k + 1))
             p = np.cumsum(np.bincount(bins[at, i], weights=y[at], minlength=k + 1))
             left, right = n[:-1], n[-1] - n[:-1]
-            ok = (left >= 10) & (right >= 10)
+            ok = (left >= leaf) & (right >= leaf)
             gain = p[:-1] ** 2 / np.maximum(left, 1) + (p[-1] - p[:-1]) ** 2 / np.maximum(right, 1) - p[-1] ** 2 / n[-1]
             gain = np.where(ok, gain, 0)
             j = int(gain.argmax())
@@ -157,6 +158,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 3, pen
                 if key not in found or len(rule) < len(found[key]):
                     found[key] = rule
     rules = list(found.values())
+    if not rules:
+        return Ensemble(float(np.log(mean / (1 - mean))))
     columns = np.stack([_holds(x, r) for r in rules], axis=1).astype(np.float32)
     apart = np.abs(columns.T @ (y - y.mean()).astype(np.float32)) / np.sqrt(columns.sum(axis=0))
     best = np.argsort(-apart, kind="stable")[:most]

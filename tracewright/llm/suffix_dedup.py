@@ -19,8 +19,8 @@ Windows identical elsewhere repeat as a whole. No window is dropped, whatever it
 
 Defined cases: null and empty texts and those shorter than ``length`` keep all; rows with equal id
 and text repeat each other; ids may be null; an empty table gives an empty table; documents of any
-size are cut into overlapping stretches of starts; columns that clash with the results are ignored
-unless carried.
+size are cut into overlapping stretches of starts; other columns are ignored
+unless carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -364,7 +364,8 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     if length < ANCHOR + 8:
         raise ValueError(f"length must be at least {ANCHOR + 8}")
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    docs = df.select(F.col(id_col).alias("doc_id"), *carry, F.xxhash64(id_col, text_col).alias("rid"), raw.alias("raw"))
+    own = [f"_c{i}" for i in range(len(carry))]  # carried columns may have any name meanwhile
+    docs = df.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)], F.xxhash64(id_col, text_col).alias("rid"), raw.alias("raw"))
     seen = materialise(docs.select("rid", "raw").mapInArrow(lambda it: _anchor_rows(it, length), "anchor long, rid long, n int"), "anchors")
     twice = seen.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     wanted = seen.join(twice, "anchor", "left_semi").groupBy("rid").agg(F.collect_list("anchor").alias("anchors"))
@@ -386,11 +387,11 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
         for b in _slices(batches):
             raws = b.column("raw").to_pylist()
             out = [_cut(r, s, length) for r, s in zip(raws, b.column("spans").to_pylist(), strict=True)]
-            cols = [b.column(c) for c in names]
+            cols = [b.column(c) for c in ["doc_id", *own]]
             cols += [pa.array([len(r) for r in raws], pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", n_bytes long, n_removed long, n_spans long, kept binary"
+    schema = ", ".join(f"`{c}` {kinds[o]}" for c, o in zip(names, ["doc_id", *own], strict=True)) + ", n_bytes long, n_removed long, n_spans long, kept binary"
     # an anchor of several parts gives the runs of a window once a part; they add up
     return docs.join(spans, "rid", "left").mapInArrow(cut, schema)

@@ -161,6 +161,19 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], ["word", "pos", "neg"])
 
 
+def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text with the least hash of its runs of four words, which near copies mostly share."""
+    import xxhash
+
+    for b in batches:
+        least = []
+        for t in b.column("text").to_pylist():
+            w = t.encode("utf-8", "surrogatepass").split()
+            runs = {b" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))}
+            least.append(min(map(xxhash.xxh64_intdigest, runs)) >> 1)
+        yield pa.RecordBatch.from_arrays([b.column("text"), b.column("label"), pa.array(least, pa.int64())], ["text", "label", "signature"])
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, limit: int) -> DataFrame:
     """(text, label) of at most ``limit`` labelled documents of each label, the least by a hash of the id."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & learn)
@@ -168,10 +181,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: C
     order = F.xxhash64(F.lit("sample"), "doc_id")
     some = known.where("label = 1").orderBy(order, "doc_id").limit(limit).unionByName(known.where("label = 0").orderBy(order, "doc_id").limit(limit))
     # at most 2 * limit ids of 8 bytes go to every executor
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select("text", "label")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select("text", "label")
+    # copies would make all words of a text stand out: of texts with the same least shingle one stays
+    signed = rows.mapInArrow(_signed_rows, "text string, label int, signature long")
+    return signed.groupBy("signature", "label").agg(F.min("text").alias("text")).select("text", "label")
 
 
-def _machine(z: np.ndarray, y: np.ndarray, cost: float = 1.0) -> tuple[np.ndarray, float]:
+def _machine(z: np.ndarray, y: np.ndarray, cost: float = 10.0) -> tuple[np.ndarray, float]:
     """Squared-hinge linear machine by Newton steps, both classes weighing the same."""
     x = np.hstack([z, np.ones((len(z), 1))])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y) * cost
@@ -190,8 +206,8 @@ def _machine(z: np.ndarray, y: np.ndarray, cost: float = 1.0) -> tuple[np.ndarra
 
 def _fit_table(pos: list[str], neg: list[str], landmarks: int) -> Model:
     """Nystroem map on landmarks of both kinds, a linear machine in it, and its table."""
-    pos_marks = pos[:: max(1, len(pos) // (landmarks // 2))][: landmarks // 2]
-    marks = pos_marks + neg[: landmarks - len(pos_marks)]
+    pos_marks = pos[: landmarks // 2]  # the most telling come first
+    marks = pos_marks + neg[:: max(1, len(neg) // (landmarks - len(pos_marks)))][: landmarks - len(pos_marks)]
     basis = np.zeros((len(marks), 32**3), np.float32)
     code, weight = subsequences(marks)
     np.add.at(basis, (np.repeat(np.arange(len(marks)), code.shape[1]), code.ravel()), weight.ravel().astype(np.float32))
@@ -236,7 +252,7 @@ def df_of(like: DataFrame, stems: list[str]) -> DataFrame:
     return like.sparkSession.createDataFrame([(x,) for x in stems], "stem string")
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 3000, landmarks: int = 256, max_words: int = 6000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 3000, landmarks: int = 512, max_words: int = 6000, instances: int = 600) -> Model:
     """Train on at most ``max_docs`` documents of each label among the labels where ``learn`` holds."""
     sample = materialise(labelled_sample(docs, labels, "toxic", learn, max_docs), "sample")
     totals = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -251,20 +267,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, max_docs: int = 3000,
     chance = 2 * float(np.log(max(2, counts.count()) / 0.01))
     toxic_only, stem = F.col("neg") * 20 <= F.col("pos"), F.col("word").startswith("^")
     telling = marked.where((F.col("ratio") > chance) & toxic_only)
-    pos = [r["word"] for r in telling.where(~stem).orderBy(F.desc("ratio"), "word").limit(max_words).collect()]
+    pos = [r["word"] for r in telling.where(~stem).orderBy(F.desc("ratio"), "word").limit(instances).collect()]
     # words that begin with a telling stem are instances too, however rare each is
     stems = [r["word"] for r in telling.where(stem).orderBy(F.desc("ratio"), "word").limit(max_words).collect()]
     if stems:
         begins = F.array(*[F.concat(F.lit("^"), F.left("word", F.lit(n))) for n in STEMS])
         known = marked.where(~stem & toxic_only).withColumn("stem", F.explode(begins)).join(F.broadcast(df_of(sample, stems)), "stem")
-        pos += [r["word"] for r in known.groupBy("word").agg(F.max("pos").alias("pos")).orderBy(F.desc("pos"), "word").limit(max_words).collect()]
-        pos = list(dict.fromkeys(pos))
+        stemmed = known.groupBy("word").agg(F.max("pos").alias("pos")).orderBy(F.desc("pos"), "word").limit(instances).collect()
+        pos = list(dict.fromkeys(pos + [r["word"] for r in stemmed]))
     free = marked.where(~stem & (F.col("neg") > 0) & ~toxic_only).select("word", "neg")
     neg = [r["word"] for r in free.orderBy(F.xxhash64("word"), "word").limit(max_words).collect()]
     neg += [r["word"] for r in free.orderBy(F.desc("neg"), "word").limit(max_words // 3).collect()]
     if not pos or not neg:
         return Model(None)
-    pos = with_insertions(pos)
+    pos = list(dict.fromkeys(pos + with_insertions(pos[:200])))
     model = _fit_table(pos, neg, landmarks)
 
     def margin_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
