@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialise
 from .token_counts import WordSplitter
 
-CACHE_ENTRIES = 800_000
+#: Chunks and words a worker remembers before it starts anew; this bounds memory, not results.
+CACHE_ENTRIES = 1_200_000
 
 
 class Encoder(dict):

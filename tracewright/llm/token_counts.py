@@ -88,7 +88,7 @@ class WordSplitter:
 
     def __call__(self, chunk: str) -> list[str]:
         if chunk.isascii():
-            return self.find(chunk.lower())
+            return [chunk.lower()] if chunk.isalpha() else self.find(chunk.lower())
         chunk = unicodedata.normalize("NFC", chunk)
         # the library lower-cases a character at a time, str.lower looks around a capital sigma
         return self.find(chunk.lower() if "\u03a3" not in chunk else "".join([c.lower() for c in chunk]))
