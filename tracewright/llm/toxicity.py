@@ -33,7 +33,9 @@ from .common import materialise, release
 DECAY, SPAN = 0.5, 5
 _PATTERNS = [(a, b, DECAY ** (b - 2)) for a in range(1, SPAN - 1) for b in range(a + 1, SPAN)]
 STEMS = (4, 5, 6)
-LONGEST, CACHE_ENTRIES = 24, 800_000
+LONGEST, CACHE_ENTRIES = 24, 400_000
+#: Documents whose words a task counts at a time.
+ROWS = 500
 EMPTY = -3.0
 #: Margins past which a document's words are counted.
 LEVELS = (0.0, 0.5, 0.8)
@@ -150,8 +152,8 @@ def _document_rows(batches: Iterator[pa.RecordBatch], model: Model, keep: list[s
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and clean documents of a batch have each word and each stem (``^`` and 4 to 6 letters)."""
-    for b in batches:
+    """How many toxic and clean documents of a slice have each word and each stem (``^`` and 4 to 6 letters)."""
+    for b in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
         counts: dict[str, list[int]] = {}
         for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
             words = {w for t in set(tokens_of(text)) for w in words_of(t)}
