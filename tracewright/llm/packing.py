@@ -27,57 +27,69 @@ from pyspark.sql import DataFrame, functions as F
 from .common import materialise
 from .token_counts import WordSplitter
 
-#: Chunks and words a worker remembers before it starts anew; this bounds memory, not results.
-CACHE_ENTRIES = 1_200_000
+#: Chunks and words a worker remembers; past half of them the older half goes. This bounds memory, not results.
+CACHE_ENTRIES = 1_000_000
 
 
-class Encoder(dict):
-    """Chunk of text without spaces or line ends -> its ids as little-endian 32-bit bytes.
+class Encoder:
+    """Ids of chunks of text without spaces or line ends, as little-endian 32-bit bytes.
 
     The vocabulary drops white space and marks word ends, so words encode alone, and the ids of many
-    words given to the library in one call fall apart again at the ids that end a word.
+    words given to the library in one call fall apart again at the ids that end a word. A word of
+    letters a-z is a chunk, too, and remembered once; other words are remembered behind a space.
     """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.split = WordSplitter(tokenizer_file)
         suffix = self.split.suffix
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith(suffix)
-        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def learn(self, chunks: set[str]) -> None:
-        if len(self) + len(chunks) > CACHE_ENTRIES:
-            self.clear()
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        parts: dict[str, list[str]] = {}
-        for c in chunks.difference(self):
-            if "<|" in c:
-                self[c] = self.encode(c).tobytes()
-            else:
-                parts[c] = self.split(c)
-        new = list(set().union(*parts.values()).difference(self.words)) if parts else []
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
+    def encode_words(self, words: list[str]) -> Iterator[bytes]:
+        for at in range(0, len(words), 2000):
+            some = words[at : at + 2000]
             ids = self.encode(" ".join(some))
             cut = 4 * np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
             raw = ids.tobytes()
             if len(cut) == len(some) + 1:
-                self.words.update(zip(some, [raw[i:j] for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False)], strict=True))
+                yield from [raw[i:j] for i, j in zip(cut.tolist(), cut[1:].tolist(), strict=False)]
             else:
-                self.words.update((w, self.encode(w).tobytes()) for w in some)
-        word = self.words.__getitem__
+                yield from [self.encode(w).tobytes() for w in some]
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """What is known, with all of ``chunks`` in it."""
+        if len(self.known) + len(chunks) > CACHE_ENTRIES // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        parts: dict[str, list[str]] = {}
+        for c in chunks.difference(known):
+            if c in older:
+                known[c] = older[c]
+            elif "<|" in c:
+                known[c] = self.encode(c).tobytes()
+            else:
+                parts[c] = self.split(c)
+        words = {w: w if w.isascii() and w.isalpha() else " " + w for w in chain.from_iterable(parts.values())}
+        new = []
+        for w, key in words.items():
+            if key in older:
+                known[key] = older[key]
+            elif key not in known:
+                new.append(w)
+        known.update(zip(map(words.__getitem__, new), self.encode_words(new), strict=True))
         for c, p in parts.items():
-            self[c] = word(p[0]) if len(p) == 1 else b"".join(map(word, p))
+            known[c] = b"".join([known[words[w]] for w in p]) if len(p) != 1 else known[words[p[0]]]
+        return known
 
 
 _encoders: dict[str, Encoder] = {}
@@ -87,12 +99,12 @@ def encode_texts(texts: list[str], tokenizer_file: str) -> Iterator[bytes]:
     """The ids of each text as bytes."""
     if tokenizer_file not in _encoders:
         _encoders[tokenizer_file] = Encoder(tokenizer_file)
-    ids = _encoders[tokenizer_file]
-    for at in range(0, len(texts), 512):
-        chunked = [t.replace("\n", " ").split(" ") for t in texts[at : at + 512]]
-        ids.learn(set(chain.from_iterable(chunked)))
+    encoder = _encoders[tokenizer_file]
+    for at in range(0, len(texts), 256):
+        chunked = [t.replace("\n", " ").split(" ") for t in texts[at : at + 256]]
+        ids = encoder.learn(set(chain.from_iterable(chunked))).__getitem__
         for c in chunked:
-            yield b"".join(map(ids.__getitem__, c))
+            yield b"".join(map(ids, c))
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
