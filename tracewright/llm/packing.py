@@ -173,6 +173,8 @@ def pack(df: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int =
                     cut = raw[4 * at : 4 * (at + capacity)]
                     n = len(cut) // 4
                     items.append((n, [{"doc_id": doc, "piece": k, "start": at, "length": n, "ids_crc32": zlib.crc32(cut), "offset": 0}]))
+        # workers outlive the stage, so what they remember goes with the task
+        _encoders.pop(tokenizer_file, None)
         yield from _emit(items, capacity, slack, 0)
 
     def merge(level: int):
