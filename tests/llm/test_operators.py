@@ -364,3 +364,20 @@ def test_chat_round_trip(spark):
     assert full[1].text.startswith(full[0].text) and sum(len(r.text) for r in full) == got[1].expanded_chars
     assert all(own not in r.text for r in full)
     assert chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
+
+
+def test_chat_digests_come_from_written_examples(spark, monkeypatch):
+    """Every assistant turn is written with all turns before it, and what is counted is what was written."""
+    rows = [(c, t, "assistant" if t % 2 else "user", f"<|im_end|>{c} {t} " * (t + 1)) for c in range(7) for t in range(c)] + [(9, 0, "user", "no reply"), (None, 0, "assistant", "x")]
+    seg = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: r for r in chat.read_back(seg).collect()}
+    text = {r: f"<|im_start|>{r[2]}\n{r[3].replace('<|', '<' + chr(92) + '|')}<|im_end|>\n" for r in rows}
+    for c in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == c]
+        want = ["".join(text[x] for x in own[: i + 1]) for i, r in enumerate(own) if r[2] == "assistant"]
+        assert [r.text for r in chat.expand(seg).where(F.col("conv_id").eqNullSafe(c)).orderBy("example").collect()] == want
+        assert (got[c].n_turns, got[c].n_examples, got[c].formatted_chars) == (len(own), len(want), sum(map(len, want)))
+    read = []
+    monkeypatch.setattr(chat, "_written", lambda s, f=chat._written: read.append(s) or f(s))
+    chat.read_back(seg)
+    assert read == [seg]

@@ -3,13 +3,13 @@
 A turn becomes a segment ``<|im_start|>role LF text<|im_end|> LF``; control strings inside roles and texts
 are escaped reversibly (each ``<``, backslashes, ``|`` gets one more backslash). Every assistant turn
 is the target of its own example: all preceding turns of the conversation are its context, and only
-that reply's text is trainable. Examples of a conversation share their prefixes, so the stored form
-is the segments once and, on each target's segment, the number of its example; ``expand`` writes
-examples out in full.
+that reply's text is trainable. ``expand`` writes every example in full, so a conversation's output
+grows with the square of its turns; ``read_back`` digests conversations from those written examples
+and from the turns after the last target, which are in none of them.
 
 Defined cases: a null text or role is empty; turns sort by turn, role, text, nulls first; a null
-conversation id is a conversation; a conversation without assistant turns has segments and no
-example; repeated rows are turns each; an empty table gives an empty table; other columns are
+conversation id is a conversation; a conversation without assistant turns has no example and
+formatted_chars of 0, but its turns are read back; repeated rows are turns each; an empty table gives an empty table; other columns are
 ignored.
 """
 
@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 START, END, TARGET = "<|im_start|>", "<|im_end|>", "assistant"
-SEGMENT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.S)
+SEGMENT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
+BATCH_CHARS = 4 << 20
 _ESCAPED = re.compile(r"<\\(\\*)\|")
 
 
@@ -69,77 +70,110 @@ def in_order(segments: DataFrame) -> DataFrame:
     return segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
 
-def expand(segments: DataFrame) -> DataFrame:
-    """Examples in full: (conv_id, example, target_turn, text, loss_start, loss_end).
+def _written(segments: DataFrame) -> DataFrame:
+    """Examples in full, then, with a null example, the turns after a conversation's last target.
 
-    The size of a conversation's examples grows with the square of its turns; the prefix is built
-    turn by turn, one example at a time.
+    A conversation's rows follow each other in one partition. The prefix is built turn by turn; a
+    batch ends at BATCH_CHARS, so few examples are held at once.
     """
+    names = ["conv_id", "example", "target_turn", "text", "loss_start", "loss_end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv: object = object()
-        prefix, example = "", 0
-        names = ["conv_id", "example", "target_turn", "text", "loss_start", "loss_end"]
+        prefix, at, example, chars = "", 0, 0, 0
+        rows: list[tuple] = []
+        kinds: list[pa.DataType] = []
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for b in batches:
-            for r in b.to_pylist():
-                if r["conv_id"] != conv:
-                    conv, prefix, example = r["conv_id"], "", 0
-                whole = prefix + r["segment"]
-                if r["is_target"]:
-                    row = [r["conv_id"], example, r["turn"], whole, len(prefix) + r["loss_start"], len(prefix) + r["loss_end"]]
-                    kinds = [b.schema.field("conv_id").type, pa.int64(), b.schema.field("turn").type, pa.string(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
-                    example += 1
+            kinds = [b.schema.field("conv_id").type, pa.int64(), b.schema.field("turn").type, pa.string(), pa.int64(), pa.int64()]
+            cols = (b.column(c).to_pylist() for c in ("conv_id", "turn", "segment", "loss_start", "loss_end", "is_target"))
+            for c, turn, segment, start, end, target in zip(*cols, strict=True):
+                if c != conv:
+                    if at < len(prefix):
+                        rows.append((conv, None, None, prefix[at:], None, None))
+                        chars += len(prefix) - at
+                    conv, prefix, at, example = c, "", 0, 0
+                whole = prefix + segment
+                if target:
+                    rows.append((c, example, turn, whole, len(prefix) + start, len(prefix) + end))
+                    at, example = len(whole), example + 1
+                    chars += at
                 prefix = whole
+                if chars >= BATCH_CHARS:
+                    yield flush()
+                    rows, chars = [], 0
+        if at < len(prefix):
+            rows.append((conv, None, None, prefix[at:], None, None))
+        if rows:
+            yield flush()
 
     kinds = dict(segments.dtypes)
-    rows = in_order(segments)
-    return rows.mapInArrow(run, f"conv_id {kinds['conv_id']}, example long, target_turn {kinds['turn']}, text string, loss_start long, loss_end long")
+    return in_order(segments).mapInArrow(run, f"conv_id {kinds['conv_id']}, example long, target_turn {kinds['turn']}, text string, loss_start long, loss_end long")
+
+
+def expand(segments: DataFrame) -> DataFrame:
+    """Examples in full: (conv_id, example, target_turn, text, loss_start, loss_end)."""
+    return _written(segments).where("example is not null")
 
 
 def read_back(segments: DataFrame) -> DataFrame:
-    """Parse stored segments and digest each conversation, a turn at a time.
+    """Write all examples out, read them back and digest each conversation.
 
-    (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples);
-    formatted_chars counts the characters of the conversation's segments, which every example of it
-    is a prefix of; expanded_chars those of all its examples written out.
+    (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples,
+    expanded_chars); the loss is what the examples' masks bound, the turns are parsed from the last
+    example, which each earlier one must be a prefix of, and the turns after it. formatted_chars
+    counts the characters of the examples read; expanded_chars is the same number.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_examples", "expanded_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[list] = []
-        cur: list | None = None
-        kind = None
+        done: list[tuple] = []
+        conv: object = object()
+        begun, kind = False, None
+        whole, loss_chars, loss_sha, chars, examples = "", 0, hashlib.sha256(), 0, 0
+
+        def close() -> None:
+            turns, n, at = hashlib.sha256(), 0, 0
+            for m in SEGMENT.finditer(whole):
+                if m.start() != at:
+                    break
+                turns.update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode("utf-8", "surrogatepass"))
+                n, at = n + 1, m.end()
+            if at != len(whole):
+                raise ValueError(f"conversation {conv}: malformed turns")
+            done.append((conv, n, turns.hexdigest(), loss_chars, loss_sha.hexdigest(), chars, examples, chars))
 
         def flush() -> pa.RecordBatch:
             kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-            cols = [pa.array([x.hexdigest() if hasattr(x, "hexdigest") else x for x in c], k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)]
-            return pa.RecordBatch.from_arrays(cols, names)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names)
 
         for b in batches:
             kind = b.schema.field("conv_id").type
-            cols = (b.column(c).to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_end"))
-            for conv, segment, start, end in zip(*cols, strict=True):
-                if cur is None or cur[0] != conv:
-                    if len(done) >= 5000:
-                        yield flush()
-                        done = []
-                    cur = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-                    done.append(cur)
-                m = SEGMENT.fullmatch(segment)
-                if m is None:
-                    raise ValueError(f"conversation {conv}: malformed segment")
-                cur[1] += 1
-                cur[2].update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode("utf-8", "surrogatepass"))
-                cur[5] += len(segment)
-                if start is not None:
-                    loss = unescape(segment[start:end])
-                    cur[3] += len(loss)
-                    cur[4].update(loss.encode("utf-8", "surrogatepass"))
-                    cur[6] += 1
-                    cur[7] += cur[5]
-        if done:
+            cols = (b.column(c).to_pylist() for c in ("conv_id", "example", "text", "loss_start", "loss_end"))
+            for c, example, text, start, end in zip(*cols, strict=True):
+                if not begun or c != conv:
+                    if begun:
+                        close()
+                        if len(done) >= 5000:
+                            yield flush()
+                            done = []
+                    begun, conv = True, c
+                    whole, loss_chars, loss_sha, chars, examples = "", 0, hashlib.sha256(), 0, 0
+                if example is None:
+                    whole += text
+                    continue
+                if example != examples or not text.startswith(whole) or text[end:] != END + "\n":
+                    raise ValueError(f"conversation {conv}: malformed example {example}")
+                loss = unescape(text[start:end])
+                loss_chars += len(loss)
+                loss_sha.update(loss.encode("utf-8", "surrogatepass"))
+                whole, chars, examples = text, chars + len(text), examples + 1
+        if begun:
+            close()
             yield flush()
 
-    rows = in_order(segments).select("conv_id", "segment", "loss_start", "loss_end")
+    rows = _written(segments).select("conv_id", "example", "text", "loss_start", "loss_end")
     return rows.mapInArrow(run, f"conv_id {dict(segments.dtypes)['conv_id']}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long, expanded_chars long")
