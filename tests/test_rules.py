@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from tracewright.operators import adapters, detect, order, privacy, rank, study
+from tracewright.plans import registry, unit_queries
 from tracewright.streaming import live
 
 
@@ -64,3 +65,21 @@ def test_state_carries_over_batches(spark, tmp_path):
     assert [(r.event_id, r.repeats) for r in out.collect()] == [(2, 3)]
     out = live.run_to_table(live.nudges(live.tail(spark, str(tmp_path / "landing"), schema, 1)), str(tmp_path / "nudges"))
     assert [(r.event_id, r.edits) for r in out.collect()] == [(2, 3)]
+
+
+def test_locate_seeks_every_event(spark):
+    """All events are candidates, ties and the cut at five included, and no window gets more than five rows a marker and task."""
+    rows = [(m, u, 100 * u % 700 + m) for m in range(1, 6) for u in range(m * m)] + [(1, 0, 5), (None, 7, 1)]
+    hits = spark.createDataFrame(rows, "marker long, user_id long, t long").select("marker", "user_id", F.timestamp_seconds("t").alias("ts"))
+    got = {r.marker: (r.sessions, r.verdict, r.candidates) for r in unit_queries.locate(hits).collect()}
+    want = {}
+    for m in {r[0] for r in rows}:
+        newest = {}
+        for _, u, t in (r for r in rows if r[0] == m):
+            newest[u] = max(t, newest.get(u, t))
+        top = sorted(newest, key=lambda u: (-newest[u], u))[:5]
+        want[m] = (len(newest), "verified" if len(newest) == 1 else "ambiguous", ",".join(map(str, top)))
+    assert got == want
+    assert "WindowGroupLimit" in unit_queries.locate(hits)._jdf.queryExecution().executedPlan().toString()
+    found = registry.queries()["j18_locate_all_tool_ids"](spark, SF)
+    assert {r.marker for r in found.collect()} == {r.event_id % 5000 for r in adapters.events(spark, SF).select("event_id").collect()}

@@ -227,11 +227,29 @@ r AS (SELECT *, row_number() OVER (PARTITION BY marker ORDER BY mtime DESC, user
 SELECT marker, n AS sessions, CASE WHEN n=1 THEN 'verified' ELSE 'ambiguous' END AS verdict, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY rn) AS candidates FROM r WHERE rn<=5 GROUP BY marker, n""")
 def j16(spark, d):
     ev = adapters.events(spark, d).where("event_id % 11 = 0")
-    m = ev.groupBy((F.col("event_id") % 7).alias("marker"), "user_id").agg(F.max("ts").alias("mtime"))
-    w = Window.partitionBy("marker")
-    r = m.select("*", F.row_number().over(w.orderBy(F.desc("mtime"), "user_id")).alias("rn"), F.count("*").over(w).alias("n")).where("rn <= 5")
+    return locate(ev.select((F.col("event_id") % 7).alias("marker"), "user_id", "ts"))
+
+
+@query("j18_locate_all_tool_ids", """WITH m AS (SELECT event_id%5000 AS marker, user_id, max(ts) AS mtime FROM events GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY marker ORDER BY mtime DESC, user_id) AS rn, count(*) OVER (PARTITION BY marker) AS n FROM m)
+SELECT marker, n AS sessions, CASE WHEN n=1 THEN 'verified' ELSE 'ambiguous' END AS verdict, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY rn) AS candidates FROM r WHERE rn<=5 GROUP BY marker, n""")
+def j18(spark, d):
+    """Every tool id of the logs (raw_lines' own), sought in every event."""
+    return locate(adapters.events(spark, d).select((F.col("event_id") % 5000).alias("marker"), "user_id", "ts"))
+
+
+def locate(hits: DataFrame) -> DataFrame:
+    """(marker, sessions, verdict, candidates): the sessions that hold a marker, the five newest named.
+
+    The rank stands alone in its window, so each task keeps five rows a marker before the shuffle; the
+    count is a grouped one.
+    """
+    m = hits.groupBy("marker", "user_id").agg(F.max("ts").alias("mtime"))
+    n = m.groupBy("marker").agg(F.count("*").alias("n")).select(F.col("marker").alias("_marker"), "n")
+    r = m.withColumn("rn", F.row_number().over(Window.partitionBy("marker").orderBy(F.desc("mtime"), F.asc_nulls_last("user_id")))).where("rn <= 5")
     c = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "user_id"))), lambda x: x["user_id"].cast("string")), ",")
-    return r.groupBy("marker", "n").agg(c.alias("candidates")).select(big("marker"), big("n", "sessions"), F.when(F.col("n") == 1, "verified").otherwise("ambiguous").alias("verdict"), "candidates")
+    top = r.groupBy("marker").agg(c.alias("candidates")).join(n, F.col("marker").eqNullSafe(F.col("_marker")))
+    return top.select(big("marker"), big("n", "sessions"), F.when(F.col("n") == 1, "verified").otherwise("ambiguous").alias("verdict"), "candidates")
 
 
 # ---- aggregates ----------------------------------------------------------------------------
