@@ -1,7 +1,13 @@
 """Raw logs written to files: line numbers, damage, replays, subagents, decisions, tasks, tokens."""
 
+import hashlib
 import json
+from pathlib import Path
 
+from pyspark.sql import functions as F
+
+from tests.conftest import SF
+from tracewright.plans import registry
 from tracewright.sources import manifest, transcripts as T
 
 SID = "aaaaaaaa-1111-2222-3333-444444444444"
@@ -86,3 +92,32 @@ def test_manifest_finds_changes(spark, tmp_path):
     found = manifest.scan(spark, str(tmp_path))
     assert {r.path[-7:] for r in manifest.changed(found, known).collect()} == {"b.jsonl", "c.jsonl"}
     assert {r.path[-7:]: r.state for r in manifest.verify(found, known).collect()} == {"a.jsonl": "ok", "b.jsonl": "corrupt", "c.jsonl": "unlisted"}
+
+
+def test_manifest_hashes_files_beyond_a_row(spark, tmp_path):
+    """A file that Spark refuses as one row is hashed all the same, to its plain SHA-256."""
+    sizes = {"one.bin": 1, "whole chunk.bin": manifest.CHUNK, "odd name %41.bin": manifest.CHUNK * 2 + 17}
+    (tmp_path / "sub").mkdir()
+    for name, n in sizes.items():
+        (tmp_path / "sub" / name).write_bytes(bytes(i * 7 % 251 for i in range(n)))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        got = {r.path.rsplit("/", 1)[-1]: (r.size, r.sha256) for r in manifest.scan(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {name: (n, hashlib.sha256((tmp_path / "sub" / name).read_bytes()).hexdigest()) for name, n in sizes.items()}
+
+
+def test_s08_is_the_inventory(spark):
+    """Every file once as ok, or once as new and once as unlisted, against the folder itself."""
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)
+    try:
+        got = {}
+        for r in registry.queries()["s08_manifest"](spark, SF).collect():
+            got.setdefault((r.name, r.size), []).append(r.state)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert set(got) == {(p.name, p.stat().st_size) for p in Path(SF).rglob("*.parquet")}
+    paths = spark.createDataFrame([(f"file:{p}", p.name) for p in Path(SF).rglob("*.parquet")], "path string, name string")
+    known = {r.name for r in paths.where(F.pmod(F.xxhash64("path"), F.lit(2)) == 0).collect()}
+    assert {n: sorted(s) for (n, _), s in got.items()} == {n: ["ok"] if n in known else ["new", "unlisted"] for n, _ in got}

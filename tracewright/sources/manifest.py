@@ -2,12 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import hashlib
+from urllib.parse import quote
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+CHUNK = 1 << 20
+
+
+def sha256_of(uri: str, size: int) -> str:
+    """SHA-256 of a file's first ``size`` bytes, CHUNK at a time, so memory doesn't follow the size."""
+    from pyarrow import fs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        store, path = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        store, path = fs.FileSystem.from_uri(quote(uri.replace("s3a:", "s3:", 1), safe=":/@"))
+    h, left = hashlib.sha256(), size
+    with store.open_input_file(path) as f:
+        while left:
+            chunk = f.read(min(CHUNK, left))
+            if not chunk:
+                raise OSError(f"{uri}: {left} of {size} bytes are missing")
+            h.update(chunk)
+            left -= len(chunk)
+    return h.hexdigest()
+
+
+def _at_store(spark: SparkSession, folder: str) -> Column:
+    """A listed file's path at the store behind ``folder``, whose own path may be a mount table's (viewfs)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed, real = store.makeQualified(path).toString(), store.resolvePath(path).toString()
+    return F.concat(F.lit(real), F.substring("path", len(listed) + 1, 1 << 20))
 
 
 def scan(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
+    """(path, size, mtime, sha256) of the files below ``folder``.
+
+    Files are only listed by Spark, so none becomes a row; a task then streams each through SHA-256,
+    which takes its bytes in order, and only where the hash is used. Spark lists no empty files and none
+    whose name begins with ``_`` or ``.``.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
+    sha256 = F.udf(lambda uri, size: sha256_of(uri, size), "string")(_at_store(spark, folder), "length")
+    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), sha256.alias("sha256"))
 
 
 def changed(found: DataFrame, manifest: DataFrame) -> DataFrame:
