@@ -83,6 +83,36 @@ def test_subagents_decisions_and_tasks(spark, tmp_path):
     assert [t.text for t in T.agent_texts(ev).collect()] == ["done"]
 
 
+def test_sibling_agents_go_to_the_oldest_claimant(spark, tmp_path):
+    """Sibling files by spawns' ids: the oldest claimant has one, no claimant misses it, foldered sessions claim none."""
+    d = tmp_path / "-home-x"
+    sid = [f"{i}aaaaaaa-1111-2222-3333-444444444444" for i in range(4)]
+    spawn = lambda day, *ids: [x for i in ids for x in (use(f"s{i}", "Task", f"2026-01-0{day}T00:00:00Z"), got(f"s{i}", extra={"agentId": i}))]
+    files = {
+        f"{sid[0]}.jsonl": spawn(2, "a", "both", "gone"), f"{sid[1]}.jsonl": spawn(1, "both"), f"{sid[2]}.jsonl": spawn(3, "a", "in"),
+        f"{sid[2]}/subagents/agent-in.jsonl": [use("e", "Edit", "2026-01-03T00:00:00Z")], f"{sid[3]}.jsonl": spawn(4, *[f"m{i:02d}" for i in range(70)]),
+        **{f"agent-{i}.jsonl": [use("e", "Edit", "2026-01-03T00:00:00Z")] for i in ("a", "both", "unclaimed", *[f"m{i:02d}" for i in range(70)])},
+    }
+    for name, lines in files.items():
+        (d / name).parent.mkdir(parents=True, exist_ok=True)
+        (d / name).write_text("\n".join(map(json.dumps, lines)) + "\n")
+    ev = T.parse(T.scan_lines(spark, str(tmp_path)))
+    b = T.blocks(ev)
+    spawned = T.spawns(T.tool_calls(b), T.results(b))
+
+    def owners(rows):
+        b = T.blocks(rows)
+        return sorted((r.lane, r.session_id) for r in T.actions(T.tool_calls(b), T.results(b)).where("lane is not null").collect())
+
+    many = [(f"m{i:02d}", sid[3]) for i in range(64)]
+    claims = T.sibling_claims(ev, spawned)
+    assert owners(T.with_siblings(ev, claims)) == sorted([("a", sid[0]), ("both", sid[1]), ("in", sid[2]), *many])
+    missing = {r.session_id: (r.spawned, r.missing) for r in T.missing_children(spawned, ev, claims).collect()}
+    assert missing == {sid[0]: (3, 1), sid[1]: (1, 0), sid[2]: (2, 1), sid[3]: (70, 6)}
+    units = spark.createDataFrame([(s, i) for i, s in enumerate(sid)], "session_id string, unit_id long")
+    assert owners(T.with_siblings(ev, T.sibling_claims(ev, spawned, units))) == sorted([("a", sid[0]), ("both", sid[0]), ("both", sid[1]), ("in", sid[2]), *many])
+
+
 def test_manifest_finds_changes(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("1\n")
     (tmp_path / "b.jsonl").write_text("2\n")

@@ -217,6 +217,46 @@ def p14(spark, d):
     return T.usage(T.parse(raw_lines(spark, d))).select("session_id", "input", "output")
 
 
+def sibling_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Events as spawns in their user's log, and sibling agent files c0 to c39 in each of five folders."""
+    ev = adapters.events(spark, d)
+    user, tool = F.col("user_id").cast("string"), F.concat(F.lit("t"), F.col("event_id").cast("string"))
+    folder = F.concat(F.lit("p"), (F.col("user_id") % 5).cast("string"), F.lit("/"))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    call = F.to_json(F.struct(F.lit("assistant").alias("type"), stamp.alias("timestamp"), F.struct(F.array(F.struct(F.lit("tool_use").alias("type"), tool.alias("id"), F.lit("Task").alias("name"))).alias("content")).alias("message")))
+    child = F.concat(F.lit("c"), (F.col("event_id") % 50).cast("string"))
+    result = F.to_json(F.struct(F.lit("user").alias("type"), stamp.alias("timestamp"), F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), tool.alias("tool_use_id"))).alias("content")).alias("message"), F.struct(child.alias("agentId")).alias("toolUseResult")))
+    both = F.explode(F.array(F.struct((F.col("event_id") * 2).alias("line_no"), call.alias("value")), F.struct((F.col("event_id") * 2 + 1).alias("line_no"), result.alias("value")))).alias("l")
+    main = ev.select(F.concat(folder, user, F.lit(".jsonl")).alias("file"), user.alias("session_id"), F.lit(None).cast("string").alias("agent_id"), both).select("file", "session_id", "agent_id", "l.line_no", "l.value")
+    agent = F.concat(F.lit("c"), (F.col("id") % 40).cast("string"))
+    name = F.concat(F.lit("p"), F.floor(F.col("id") / 40).cast("string"), F.lit("/agent-"), agent, F.lit(".jsonl"))
+    line = F.to_json(F.struct(F.lit("assistant").alias("type"), F.struct(F.array(F.struct(F.lit("tool_use").alias("type"), F.lit("e").alias("id"), F.lit("Edit").alias("name"))).alias("content")).alias("message")))
+    sub = spark.range(200).select(name.alias("file"), F.lit(None).cast("string").alias("session_id"), agent.alias("agent_id"), F.lit(0).cast("bigint").alias("line_no"), line.alias("value"))
+    return main.unionByName(sub)
+
+
+def spawned_of(events: DataFrame) -> DataFrame:
+    b = T.blocks(events)
+    return T.spawns(T.tool_calls(b), T.results(b))
+
+
+@query("d04_sibling_owner", """WITH m AS (SELECT user_id, min(ts) AS t FROM events GROUP BY ALL),
+c AS (SELECT DISTINCT 'p' || user_id%5 || '/agent-c' || event_id%50 || '.jsonl' AS file, user_id FROM events WHERE event_id%50<40)
+SELECT file, arg_min(CAST(c.user_id AS VARCHAR), (t, CAST(c.user_id AS VARCHAR))) AS session_id, CAST(1 AS BIGINT) AS actions FROM c JOIN m ON m.user_id=c.user_id GROUP BY file""")
+def d04(spark, d):
+    """Sibling agent files under the oldest session that claims each."""
+    ev = T.parse(sibling_lines(spark, d))
+    rows = T.with_siblings(ev, T.sibling_claims(ev, spawned_of(ev))).where("agent_id is not null")
+    return T.tool_calls(T.blocks(rows)).groupBy("file", "session_id").agg(F.count("*").alias("actions"))
+
+
+@query("j04_missing_children", "SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS spawned, count(*) FILTER (event_id%50>=40) AS missing FROM events GROUP BY ALL")
+def j04(spark, d):
+    ev = T.parse(sibling_lines(spark, d))
+    s = spawned_of(ev)
+    return T.missing_children(s, ev, T.sibling_claims(ev, s))
+
+
 @query("s08_manifest")
 def s08(spark, d):
     """Inventory of the corpus folder's files against a manifest that lacks every other one."""

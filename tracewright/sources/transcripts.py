@@ -182,9 +182,45 @@ def spawns(calls: DataFrame, got: DataFrame) -> DataFrame:
     return s.join(got.select("file", "tool_use_id", "child_id"), ["file", "tool_use_id"], "left")
 
 
-def missing_children(spawned: DataFrame, lines: DataFrame) -> DataFrame:
-    """Per session, spawned children whose file isn't there."""
-    there = lines.where("agent_id is not null").select("session_id", F.col("agent_id").alias("child_id")).distinct().withColumn("found", F.lit(True))
+def sibling_claims(events: DataFrame, spawned: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """(session_id, child_id, file, owner): sibling files agent-<id>.jsonl that a session's own spawns name.
+
+    A session with a subagents folder claims none. Of a unit's claimants (``units``: session_id,
+    unit_id; without it the corpus is one) the oldest owns a file. MAX_SUBAGENTS files a session, by path.
+    """
+    at = F.regexp_extract("file", "^(.*/)?[^/]+$", 1)
+    mains = events.where("agent_id is null and session_id is not null").groupBy("file", "session_id").agg(F.min("own_ts").alias("first_ts"))
+    foldered = events.where("agent_id is not null and session_id is not null").select("session_id").distinct()
+    siblings = events.where("agent_id is not null and session_id is null").select("file", F.col("agent_id").alias("child_id"), at.alias("_dir")).distinct()
+    asked = spawned.where("child_id is not null").select("file", "child_id").join(mains, "file").select("session_id", "child_id", "first_ts", at.alias("_dir")).distinct()
+    found = asked.join(foldered, "session_id", "left_anti").join(siblings, ["_dir", "child_id"])
+    found = found.withColumn("_rn", F.row_number().over(Window.partitionBy("session_id").orderBy("file"))).where(F.col("_rn") <= MAX_SUBAGENTS)
+    found = found.withColumn("unit_id", F.lit(0)) if units is None else found.join(units.select("session_id", "unit_id"), "session_id")
+    oldest = Window.partitionBy("unit_id", "file").orderBy(F.asc_nulls_last("first_ts"), "session_id")
+    return found.withColumn("owner", F.row_number().over(oldest) == 1).select("session_id", "child_id", "file", "owner")
+
+
+def with_siblings(lines: DataFrame, claims: DataFrame) -> DataFrame:
+    """Lines or events with sibling agent files under the sessions that own them; unclaimed files are left out.
+
+    A file that several units own is there once for each, told apart by ``#session`` after its name.
+    Of the files in a subagents folder the first MAX_SUBAGENTS by path stay.
+    """
+    several = F.count("*").over(Window.partitionBy("file")) > 1
+    own = claims.where("owner").select("file", F.col("session_id").alias("_owner"), several.alias("_several"))
+    rows = lines.join(own, "file", "left").withColumn("file", F.when(F.col("_several"), F.concat("file", F.lit("#"), "_owner")).otherwise(F.col("file")))
+    rows = rows.withColumn("session_id", F.coalesce("session_id", "_owner")).where("agent_id is null or session_id is not null").drop("_owner", "_several")
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy("file"))
+    beyond = rows.where("agent_id is not null").select("session_id", "file").distinct().withColumn("_rn", rank).where(F.col("_rn") > MAX_SUBAGENTS).select("file")
+    return rows.join(beyond, "file", "left_anti").select(*lines.columns)
+
+
+def missing_children(spawned: DataFrame, lines: DataFrame, claims: DataFrame | None = None) -> DataFrame:
+    """Per session, spawned children whose file isn't there; a claimed sibling is, whoever owns it."""
+    there = lines.where("agent_id is not null and session_id is not null").select("session_id", F.col("agent_id").alias("child_id"))
+    if claims is not None:
+        there = there.unionByName(claims.select("session_id", "child_id"))
+    there = there.distinct().withColumn("found", F.lit(True))
     both = spawned.join(there, ["session_id", "child_id"], "left")
     return both.groupBy("session_id").agg(F.count("*").alias("spawned"), F.count_if(F.col("found").isNull()).alias("missing"))
 
