@@ -252,6 +252,21 @@ def test_lattice_recall_at_the_threshold():
     assert met.mean() > 0.999
 
 
+def test_lattice_recall_of_the_shape_beyond_a_million():
+    """Two blocks, five tables: what near_duplicates takes for more than 1,000,000 distinct vectors."""
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((20000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * z
+    grid = lattice_dedup.Lattice(64, 5, 2, 0.5, 1.1)
+    a, b = grid.project(x), grid.project(y)
+    met = (grid.meets(grid.homes(a), b) | grid.meets(grid.homes(b), a)).any(axis=1)
+    assert met.mean() > 0.999
+
+
 def test_e8_points():
     p = lattice_dedup.short_points()
     assert dict(zip(*np.unique((p**2).sum(axis=1) // 4, return_counts=True), strict=True)) == {0: 1, 2: 240, 4: 2160}
