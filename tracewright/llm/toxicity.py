@@ -7,7 +7,10 @@ hide it; other characters inside a word (``i.d.i.o.t``) and single letters in a
 
 Training takes a bounded sample of labelled documents (``max_docs`` of each label, by hash). Words
 that stand out in toxic ones (likelihood ratio beyond chance among all words seen), or whose stem
-does, are positive instances, words of clean ones negative; ``landmarks`` of both span the Nystroem map, and a
+does, are positive instances, words of clean ones negative. So the machine learns from words, not from
+whole sentences, and at most ``instances`` telling words and as many stem words are taken, strongest
+first; copies with an inserted letter are made of the first 200 only, so evasive spellings of rarer
+insults are not trained on; ``landmarks`` of both span the Nystroem map, and a
 squared-hinge machine is fitted in it, once more after the clean words it took for insults joined
 the negatives. A Nystroem machine is linear in the landmarks' subsequences, so scoring a word is a
 sum over one table. A document's probability is a logistic of its highest word margin and the numbers
