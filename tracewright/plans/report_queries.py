@@ -271,12 +271,12 @@ def pr1(spark, d):
     return privacy.pseudonymise(raw_lines(spark, d), ["session_id", "line_no"]).select("session_id", "line_no", "value", F.array_join("unknown", ",").alias("unknown"))
 
 
-@query("pr2_audit", B.sql(B.ACTIONS, "SELECT CAST(unit_id AS VARCHAR) AS session_id, count(*)*2 AS lines_before, count(*)*2 AS lines_after, true AS structure_kept, CAST(0 AS BIGINT) AS leaks FROM a GROUP BY ALL"))
+@query("pr2_audit", B.sql(B.ACTIONS, "SELECT CAST(unit_id AS VARCHAR) AS session_id, count(*)*2 AS lines_before, count(*)*2 AS lines_after, true AS structure_kept, true AS ids_kept, true AS usage_kept, CAST(0 AS BIGINT) AS leaks FROM a GROUP BY ALL"))
 def pr2(spark, d):
     before = raw_lines(spark, d).where("session_id is not null")
     after = privacy.pseudonymise(before, ["session_id", "line_no"])
     out = privacy.audit(before, after, "session_id", ["/home/u", "/p/f"])
-    return out.select("session_id", "lines_before", "lines_after", "structure_kept", big("leaks"))
+    return out.select("session_id", "lines_before", "lines_after", "structure_kept", "ids_kept", "usage_kept", big("leaks"))
 
 
 # ---- streams -------------------------------------------------------------------------------
