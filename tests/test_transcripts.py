@@ -10,7 +10,7 @@ from tests.conftest import SF
 from tracewright.plans import registry
 from tracewright.sources import manifest, transcripts as T
 
-SID = "aaaaaaaa-1111-2222-3333-444444444444"
+SID = "5e551011-0b0e-4a11-9c0d-e5f0a1b2c3d4"
 
 
 def use(i, name, ts, mid="m1", **args):
