@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..operators import adapters, assemble, detect, rank
+from ..operators import adapters, assemble, detect, payloads, rank
 from ..sources.scratch import kept as written
 from . import base_sql as B
 from .unit_queries import joined
@@ -191,3 +191,60 @@ def l03(spark, d):
     a = written(u.actions, "actions")
     f = written(detect.all_findings(a, written(u.turns, "turns")), "findings")
     return rank.needs_review(f, rank.rank_files(f, a)).select("unit_id", F.col("pos").cast("bigint").alias("pos"), "file", "n_findings")
+
+
+COUNTERS = SQL["a14_units_from_logs"].split("SELECT unit_id, count(*) AS members", 1)[0].removeprefix("WITH ").removeprefix(LOGS)
+MERGED = """un AS (SELECT unit_id, count(*) AS members, CAST(sum(untimestamped) AS BIGINT) AS untimestamped, CAST(coalesce(sum(input),0) AS BIGINT) AS input, CAST(sum(messages)*2 AS BIGINT) AS output, CAST(sum(missing) AS BIGINT) AS missing FROM mi GROUP BY unit_id)"""
+
+
+@query("l04_unit_overview", "WITH " + UNIT_FINDINGS + COUNTERS.rstrip() + ",\n" + MERGED + """,
+q AS (SELECT DISTINCT unit_id, file FROM f WHERE file IS NOT NULL AND kind IN ('churn','rework','re_read','failure_loop','blind_write_attempt','action_loop')),
+ed AS (SELECT unit_id, file_path AS file, count(*) AS edits FROM a WHERE kind IN ('Edit','Write') GROUP BY ALL),
+rk AS (SELECT unit_id, file, row_number() OVER (PARTITION BY unit_id ORDER BY coalesce(edits,0)=0, """ + B.TIER + """, coalesce(edits,0) DESC, file) AS rank FROM q LEFT JOIN ed USING (unit_id, file)),
+tp AS (SELECT unit_id, count(*) AS ranked_files, string_agg(file, ',' ORDER BY rank) FILTER (rank<=3) AS top_files FROM rk GROUP BY ALL),
+fr AS (SELECT unit_id, session_ix, segment, min(pos) FILTER (kind IN ('Edit','Write')) AS fe, min(pos) FILTER (kind='Read') AS r FROM ow WHERE pos<10 AND size>=5 GROUP BY ALL HAVING fe IS NOT NULL),
+mv AS (SELECT unit_id, round(avg(CASE WHEN r<fe THEN 0.0 ELSE 1.0 END), 2) AS patch_first_share FROM fr GROUP BY ALL),
+tt AS (SELECT unit_id, count(*) AS actions, count(*) FILTER (kind='Edit') AS edits, count(*) FILTER (kind='Write') AS writes, count(*) FILTER (kind='Read') AS reads, count(*) FILTER (kind='Bash') AS bash, count(DISTINCT file_path) AS files_touched,
+ count(*) FILTER (kind IN ('Edit','Write') AND is_error=false) AS file_ops, count(*) FILTER (kind IN ('Edit','Write') AND is_error IS DISTINCT FROM false) AS file_ops_unconfirmed, CAST(coalesce(sum(write_lines) FILTER (is_error=false),0) AS BIGINT) AS lines_written,
+ count(DISTINCT file_path) FILTER (kind='Read') AS fr, count(DISTINCT file_path) FILTER (kind IN ('Edit','Write')) AS fe, arg_min(eff, idx) AS started, arg_max(eff, idx) AS ended FROM a GROUP BY ALL),
+gp AS (SELECT unit_id, CAST(max(dropped) AS BIGINT) AS dropped, coalesce(string_agg(CAST(CAST(round(gap_min,2) AS DECIMAL(18,2)) AS VARCHAR), ',' ORDER BY session_ix) FILTER (session_ix>0), '') AS gaps FROM km GROUP BY ALL)
+SELECT unit_id, members, dropped, gaps, actions, edits, writes, reads, bash, files_touched, file_ops, file_ops_unconfirmed, lines_written, untimestamped, missing, output, CASE WHEN input>0 THEN CAST(0 AS DOUBLE) END AS cache_hit_ratio, round(CAST(fr AS DOUBLE)/nullif(fe,0), 2) AS read_edit_ratio,
+ started, CASE WHEN TRY_CAST(nullif(ended,'') AS TIMESTAMP)>=TRY_CAST(nullif(started,'') AS TIMESTAMP) THEN (CAST(floor(epoch(CAST(ended AS TIMESTAMP))) AS BIGINT)-CAST(floor(epoch(CAST(started AS TIMESTAMP))) AS BIGINT))//60 END AS duration_min, coalesce(ranked_files,0) AS ranked_files, coalesce(top_files,'') AS top_files, patch_first_share
+FROM un JOIN tt USING (unit_id) JOIN gp USING (unit_id) LEFT JOIN tp USING (unit_id) LEFT JOIN mv USING (unit_id)""")
+def l04(spark, d):
+    """Totals, tokens, health, top files and what was merged, of each unit."""
+    u = assemble.assemble(log_lines(spark, d))
+    a, t = written(u.actions, "actions"), written(u.turns, "turns")
+    o = payloads.overview(u, a, t, rank.rank_files(written(detect.all_findings(a, t), "findings"), a))
+    gaps = F.array_join(F.transform("gaps_min", lambda g: g.cast("decimal(18,2)").cast("string")), ",").alias("gaps")
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("members", "dropped", "actions", "edits", "writes", "reads", "bash", "files_touched", "file_ops", "file_ops_unconfirmed", "lines_written", "missing", "output", "duration_min", "ranked_files")]
+    return o.select("unit_id", *whole, gaps, F.col("untimestamped_lines").alias("untimestamped"), "cache_hit_ratio", "read_edit_ratio", "started", F.coalesce(F.array_join("top_files", ","), F.lit("")).alias("top_files"), "patch_first_share")
+
+
+@query("l05_review_context", B.sql(LOGS, """, rq AS (SELECT unit_id, text, row_number() OVER (PARTITION BY unit_id ORDER BY ts, session_ix, line_no) AS rn FROM t WHERE origin='Human'),
+ra AS (SELECT unit_id, count(*) AS n, string_agg(text, '|' ORDER BY rn) FILTER (rn<=12) AS s FROM rq GROUP BY ALL),
+fi AS (SELECT DISTINCT unit_id, file_path FROM a WHERE kind IN ('Edit','Write') AND is_error IS DISTINCT FROM true),
+fn AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY file_path) AS rn FROM fi), fa2 AS (SELECT unit_id, count(*) AS n, string_agg(file_path, '|' ORDER BY rn) FILTER (rn<=12) AS s FROM fn GROUP BY ALL),
+fc AS (SELECT unit_id, command, arg_max(is_error, idx) AS bad, max(idx) AS idx FROM a WHERE kind='Bash' AND command IN ('cargo test','npm run lint') GROUP BY ALL),
+fk AS (SELECT unit_id, count(*) AS n, string_agg(command, '|' ORDER BY idx) AS s FROM fc WHERE bad GROUP BY ALL),
+uk AS (SELECT unit_id, count(*) FILTER (origin='Unknown') AS n FROM t GROUP BY ALL)
+SELECT unit_id, coalesce(ra.n,0) AS requests_total, coalesce(ra.s,'') AS requests, coalesce(fa2.n,0) AS files_edited_total, coalesce(fa2.s,'') AS files_edited, coalesce(fk.n,0) AS failing_commands_total, coalesce(fk.s,'') AS failing_commands, coalesce(uk.n,0) AS unattributed_turns, coalesce(uk.n,0)>0 AS coverage_incomplete, greatest(coalesce(ra.n,0), coalesce(fa2.n,0), coalesce(fk.n,0))>12 AS truncated
+FROM (SELECT DISTINCT unit_id FROM km) LEFT JOIN ra USING (unit_id) LEFT JOIN fa2 USING (unit_id) LEFT JOIN fk USING (unit_id) LEFT JOIN uk USING (unit_id)"""))
+def l05(spark, d):
+    """What was asked, changed and still fails in each unit, as samples with totals."""
+    u = assemble.assemble(log_lines(spark, d))
+    r = payloads.review_context(u, written(u.actions, "actions"), written(u.turns, "turns"))
+    shown = [F.coalesce(F.array_join(c, "|"), F.lit("")).alias(c) for c in ("requests", "files_edited", "failing_commands")]
+    return r.select("unit_id", *shown, *[F.col(c).cast("bigint").alias(c) for c in ("requests_total", "files_edited_total", "failing_commands_total", "unattributed_turns")], "coverage_incomplete", "truncated")
+
+
+@query("c06_claims_interrupted", """WITH c AS (SELECT conv_id//2 AS unit_id, conv_id%2 AS session_ix, turn AS line_no, role, CASE WHEN role='user' AND (conv_id+turn)%3=0 THEN '[Request interrupted by user] ' ELSE '' END || coalesce(text,'') AS text FROM conversations),
+m AS (SELECT unit_id, session_ix, line_no, text LIKE '[Request interrupted by user%' AS stop, row_number() OVER (PARTITION BY unit_id, session_ix ORDER BY line_no)-1 AS w FROM c WHERE role='user'),
+p AS (SELECT *, (SELECT count(*) FROM m WHERE m.unit_id=c.unit_id AND m.session_ix=c.session_ix AND m.line_no<c.line_no) AS w FROM c WHERE role='assistant'),
+l AS (SELECT unit_id, session_ix, w, arg_max(text, line_no) AS text, max(line_no) AS line_no FROM p GROUP BY ALL)
+SELECT l.unit_id, l.session_ix, CAST(l.line_no AS BIGINT) AS line_no, l.text, coalesce(m.stop, false) AS interrupted FROM l LEFT JOIN m USING (unit_id, session_ix, w)""")
+def c06b(spark, d):
+    """Claims of conversations, two to a unit, and whether an interrupt closed each one's window."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").select(F.floor(F.col("conv_id") / 2).alias("unit_id"), (F.col("conv_id") % 2).alias("session_ix"), F.col("turn").cast("bigint").alias("line_no"), "role", F.concat(F.when((F.col("role") == "user") & ((F.col("conv_id") + F.col("turn")) % 3 == 0), "[Request interrupted by user] ").otherwise(""), F.coalesce("text", F.lit(""))).alias("text"))
+    prose = c.where("role = 'assistant'").withColumn("block_pos", F.lit(0))
+    return payloads.claims(prose, c.where("role = 'user'").withColumn("origin", F.lit("Human"))).select("unit_id", "session_ix", "line_no", "text", "interrupted")
