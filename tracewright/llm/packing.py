@@ -24,31 +24,33 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise
+from .common import materialise, trim
 from .token_counts import WordSplitter
 
 #: Chunks and words a worker remembers; past half of them the older half goes. This bounds memory, not results.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
 
 
 class Encoder:
     """Ids of chunks of text without spaces or line ends, as little-endian 32-bit bytes.
 
     The vocabulary drops white space and marks word ends, so words encode alone, and the ids of many
-    words given to the library in one call fall apart again at the ids that end a word. A word of
-    letters a-z is a chunk, too, and remembered once; other words are remembered behind a space.
+    words given to the library in one call fall apart again at the ids that end a word. Chunks that
+    only the library can split are given to it whole. A plain word is a chunk, too, and remembered
+    once; other words are remembered behind a space.
     """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.split = WordSplitter(tokenizer_file)
+        self.tokenizer = self.split.tokenizer
         suffix = self.split.suffix
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith(suffix)
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -66,43 +68,56 @@ class Encoder:
             else:
                 yield from [self.encode(w).tobytes() for w in some]
 
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """What is known, with all of ``chunks`` in it."""
+    def learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """What is known, with all of the distinct ``chunks`` in it."""
         if len(self.known) + len(chunks) > CACHE_ENTRIES // 2:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        parts: dict[str, list[str]] = {}
-        for c in chunks.difference(known):
+        known, older, split = self.known, self.older, self.split
+        plain, find = split.plain, split.find
+        parts: list[tuple[str, list[str]]] = []
+        new: dict[str, None] = {}
+        for c in chunks:
+            if c in known:
+                continue
             if c in older:
                 known[c] = older[c]
-            elif "<|" in c:
-                known[c] = self.encode(c).tobytes()
+                continue
+            m = plain(c)
+            if m:
+                keys = [m[1].lower(), " " + m[2]] if m[2] else [m[1].lower()]
+            elif c.isascii() and "<|" not in c:
+                keys = [w if w.isalpha() else " " + w for w in find(c.lower())]
             else:
-                parts[c] = self.split(c)
-        words = {w: w if w.isascii() and w.isalpha() else " " + w for w in chain.from_iterable(parts.values())}
-        new = []
-        for w, key in words.items():
-            if key in older:
-                known[key] = older[key]
-            elif key not in known:
-                new.append(w)
-        known.update(zip(map(words.__getitem__, new), self.encode_words(new), strict=True))
-        for c, p in parts.items():
-            known[c] = b"".join([known[words[w]] for w in p]) if len(p) != 1 else known[words[p[0]]]
+                known[c] = self.encode(c).tobytes()
+                continue
+            parts.append((c, keys))
+            for k in keys:
+                if k not in known:
+                    if k in older:
+                        known[k] = older[k]
+                    else:
+                        new[k] = None
+        known.update(zip(new, self.encode_words([k.lstrip(" ") for k in new]), strict=True))
+        for c, keys in parts:
+            known[c] = known[keys[0]] if len(keys) == 1 else b"".join([known[k] for k in keys])
         return known
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encode_texts(texts: list[str], tokenizer_file: str) -> Iterator[bytes]:
-    """The ids of each text as bytes."""
+def encoder_of(tokenizer_file: str) -> Encoder:
+    """One encoder a worker process and vocabulary."""
     if tokenizer_file not in _encoders:
         _encoders[tokenizer_file] = Encoder(tokenizer_file)
-    encoder = _encoders[tokenizer_file]
+    return _encoders[tokenizer_file]
+
+
+def encode_texts(texts: list[str], encoder: Encoder) -> Iterator[bytes]:
+    """The ids of each text as bytes."""
     for at in range(0, len(texts), 256):
         chunked = [t.replace("\n", " ").split(" ") for t in texts[at : at + 256]]
-        ids = encoder.learn(set(chain.from_iterable(chunked))).__getitem__
+        ids = encoder.learn(list(set(chain.from_iterable(chunked)))).__getitem__
         for c in chunked:
             yield b"".join(map(ids, c))
 
@@ -164,9 +179,10 @@ def pack(df: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int =
 
     def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = []
+        encoder = encoder_of(tokenizer_file)
         end = int(end_id).to_bytes(4, "little")
         for b in batches:
-            ids = encode_texts(b.column("text").to_pylist(), tokenizer_file)
+            ids = encode_texts(b.column("text").to_pylist(), encoder)
             for doc, raw in zip(b.column("doc_id").to_pylist(), ids, strict=True):
                 raw += end
                 for k, at in enumerate(range(0, len(raw) // 4, capacity)):
@@ -174,7 +190,8 @@ def pack(df: DataFrame, tokenizer_file: str, capacity: int = 4096, end_id: int =
                     n = len(cut) // 4
                     items.append((n, [{"doc_id": doc, "piece": k, "start": at, "length": n, "ids_crc32": zlib.crc32(cut), "offset": 0}]))
         # workers outlive the stage, so what they remember goes with the task
-        _encoders.pop(tokenizer_file, None)
+        encoder.forget()
+        trim()
         yield from _emit(items, capacity, slack, 0)
 
     def merge(level: int):

@@ -5,22 +5,26 @@ is its number of initial symbols minus the merges made: adjacent pairs wait in a
 symbols of a word form a doubly linked list, and the lowest-ranked, leftmost pair merges first. No
 identifiers are made. Words repeat, so each task remembers counts of white-space separated chunks.
 
+Chunks of ASCII characters, and of Latin-1 letters with ASCII marks behind them, are split into words
+here; all others by the library's own normalizer and splitter, whose Unicode tables are its own.
+
 Defined cases: a null or empty text has 0 bytes and 0 tokens; a null id is kept; repeated rows give
-repeated rows; an empty table gives an empty table; other columns of the input are ignored.
+repeated rows; very long texts and words are counted whole; equal ranks in a word merge from the left;
+an empty table gives an empty table; other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Chunks and words a worker remembers before it starts anew; this bounds memory, not results.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 600_000
 
 
 def byte_symbols() -> list[str]:
@@ -75,9 +79,14 @@ def merged_length(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 class WordSplitter:
     """The words that the vocabulary's normalizer and splitter make of a chunk without special strings."""
 
+    #: Letters that every version of Unicode since 1.1 has as letters, composed, and marks behind them.
+    plain = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+
     def __init__(self, tokenizer_file: str):
         import regex
+        from tokenizers import Tokenizer
 
+        self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.spec = json.load(open(tokenizer_file, encoding="utf-8"))
         self.suffix = self.spec["model"].get("end_of_word_suffix") or ""
         steps = self.spec["pre_tokenizer"]["pretokenizers"]
@@ -86,12 +95,17 @@ class WordSplitter:
         self.find = regex.compile(pattern.replace(r"^\s", r"^\p{White_Space}")).findall
         self.special = regex.compile("|".join(regex.escape(t["content"]) for t in self.spec["added_tokens"]) or r"(?!)")
 
-    def __call__(self, chunk: str) -> list[str]:
-        if chunk.isascii():
-            return [chunk.lower()] if chunk.isalpha() else self.find(chunk.lower())
-        chunk = unicodedata.normalize("NFC", chunk)
-        # the library lower-cases a character at a time, str.lower looks around a capital sigma
-        return self.find(chunk.lower() if "\u03a3" not in chunk else "".join([c.lower() for c in chunk]))
+    def __call__(self, chunk: str) -> list[str] | None:
+        """Words as texts; None if only the library can tell."""
+        m = self.plain(chunk)
+        if m:
+            return [m[1].lower(), m[2]] if m[2] else [m[1].lower()]
+        return self.find(chunk.lower()) if chunk.isascii() else None
+
+    def symbols(self, chunk: str) -> list[str]:
+        """Words as the symbols of their bytes, by the library's normalizer and splitter."""
+        t = self.tokenizer
+        return [w for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(chunk))]
 
 
 class Counter(dict):
@@ -106,14 +120,21 @@ class Counter(dict):
         self.symbols = byte_symbols()
         self.words: dict[str, int] = {}
 
+    def merged(self, symbols: Iterable[str]) -> int:
+        s = list(symbols)
+        s[-1] += self.suffix
+        return merged_length(s, self.ranks)
+
     def word(self, word: str) -> int:
         n = self.words.get(word)
         if n is None:
-            s = [self.symbols[b] for b in word.encode("utf-8", "surrogatepass")]
-            s[-1] += self.suffix
-            n = self.words[word] = merged_length(s, self.ranks)
+            n = self.words[word] = self.merged(self.symbols[b] for b in word.encode("utf-8", "surrogatepass"))
         return n
 
+    def piece(self, chunk: str) -> int:
+        words = self.split(chunk)
+        return sum(map(self.merged, self.split.symbols(chunk))) if words is None else sum(map(self.word, words))
+
     def __missing__(self, chunk: str) -> int:
         if len(self) > CACHE_ENTRIES:
             self.clear()
@@ -121,9 +142,9 @@ class Counter(dict):
             self.words.clear()
         if "<|" in chunk:
             pieces = self.split.special.split(chunk)
-            n = len(pieces) - 1 + sum(sum(map(self.word, self.split(p))) for p in pieces)
+            n = len(pieces) - 1 + sum(map(self.piece, pieces))
         else:
-            n = sum(map(self.word, self.split(chunk)))
+            n = self.piece(chunk)
         self[chunk] = n
         return n
 
