@@ -24,10 +24,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 LEVELS = ("domain", "lang", "source")
 MAX_LEAVES = 200_000
+#: Rows of a leaf that are summed one by one.
+SMALL = 50_000
 
 
 def default_domain() -> Column:
@@ -89,20 +91,51 @@ def solve(leaves: dict[tuple, int], budget: float, weights: Mapping[tuple, float
     return out
 
 
-def plan_mix(docs: DataFrame, budget_share: float = 0.5, weights: Mapping[tuple, float] | None = None, epochs: int = 2, seed: int = 5, buckets_log2: int = 8, domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
-    """All documents with their columns and ``_domain`` and ``_copies``, how often each is taken.
+LEAF = ["d", "l", "s"]
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    """Rows of one leaf, whose names may be null."""
+    return a["d"].eqNullSafe(b["d"]) & a["l"].eqNullSafe(b["l"]) & a["s"].eqNullSafe(b["s"])
 
-    The budget is ``budget_share`` of all tokens.
+
+def _last_inside(keys: DataFrame, quota: DataFrame, bits: int) -> DataFrame:
+    """(leaf, cut): the greatest order of each leaf up to which its documents' tokens fit into ``rest``.
+
+    Sums over ranges of the order tell in which range a leaf's budget ends; that range is divided
+    again, until it holds at most SMALL rows, and those are summed one by one. Leaves whose documents
+    all fit are given no cut.
     """
+    shift = 63
+    ranges = quota.where("rest >= 0").select(*LEAF, "rest", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("before"))
+    while True:
+        hi = F.lit((1 << shift) - 1)
+        inside = keys.join(F.broadcast(ranges.withColumnsRenamed({c: f"q{c}" for c in LEAF})), F.col("d").eqNullSafe(F.col("qd")) & F.col("l").eqNullSafe(F.col("ql")) & F.col("s").eqNullSafe(F.col("qs")) & (F.col("o") >= F.col("lo")) & (F.col("o") - F.col("lo") <= hi))
+        most = inside.groupBy(*LEAF).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= SMALL or shift == 0:
+            break
+        shift = max(0, shift - bits)
+        part = inside.groupBy(*LEAF, "rest", "before", F.shiftright("o", shift).alias("k")).agg(F.sum("n").alias("n"))
+        upto = Window.partitionBy(*LEAF).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        running = part.withColumn("upto", F.col("before") + F.sum("n").over(upto)).where(F.col("upto") > F.col("rest") + 1e-6)
+        ends = running.groupBy(*LEAF).agg(F.min_by(F.struct("rest", "k", "upto", "n"), "k").alias("e"))
+        done = ranges
+        ranges = materialise(ends.select(*LEAF, "e.rest", F.shiftleft("e.k", shift).alias("lo"), (F.col("e.upto") - F.col("e.n")).alias("before")), "ranges")
+        release(done)
+    peers = Window.partitionBy(*LEAF).orderBy("o").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = inside.withColumn("sum", F.col("before") + F.sum("n").over(peers)).groupBy(*LEAF).agg(F.max(F.when(F.col("sum") <= F.col("rest") + 1e-6, F.col("o"))).alias("last"), F.max_by("sum", "o").alias("all"), F.first("rest").alias("rest"), F.first("lo").alias("lo"))
+    whole = F.lit((1 << 63) - 1)
+    return fits.select(*LEAF, F.when(F.col("all") <= F.col("rest") + 1e-6, whole).otherwise(F.coalesce("last", F.col("lo") - 1)).alias("cut"))
+
+
+def _planned(docs: DataFrame, budget_share: float, weights: Mapping[tuple, float] | None, epochs: int, seed: int, buckets_log2: int, domain: Column | None, tokens: Column | None) -> DataFrame:
+    """(row, d, copies): every document as a struct, its domain and how often it is taken."""
     weights = weights or {}
     tokens = word_tokens(F.col("text")) if tokens is None else tokens
     order = F.xxhash64(F.lit(seed), "doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1))
-    shift = 63 - buckets_log2
-    base = docs.withColumn("_domain", default_domain() if domain is None else domain).withColumn("_order", order)
-    leaf = [F.col("_domain").alias("d"), F.col("lang").alias("l"), F.col("source").alias("s")]
-    bucket = F.shiftright("_order", shift).alias("k")
-    sums = materialise(base.select(*leaf, bucket, tokens.alias("n")).groupBy("d", "l", "s", "k").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "leaf_sums")
-    totals = sums.groupBy("d", "l", "s").agg(F.sum("n").alias("n")).limit(MAX_LEAVES + 1).collect()
+    leaf = [(default_domain() if domain is None else domain).alias("d"), F.col("lang").alias("l"), F.col("source").alias("s")]
+    keys = materialise(docs.select(*leaf, order.alias("o"), F.coalesce(tokens, F.lit(0)).cast("long").alias("n")), "keys")
+    totals = keys.groupBy(*LEAF).agg(F.sum("n").alias("n")).limit(MAX_LEAVES + 1).collect()
     if len(totals) > MAX_LEAVES:
         raise ValueError(f"more than {MAX_LEAVES} sources; give coarser ones")
     leaves = {(r["d"], r["l"], r["s"]): r["n"] for r in totals}
@@ -112,35 +145,31 @@ def plan_mix(docs: DataFrame, budget_share: float = 0.5, weights: Mapping[tuple,
         n = leaves[path]
         taken = all(weights.get(path[: i + 1], 1.0) > 0 for i in range(3))
         full = int((t + 1e-6) // n) if n else int(taken)
-        quota.append((*path, full, max(0.0, t - full * n) if n and taken else -1.0))
-    quota = docs.sparkSession.createDataFrame(quota, "qd string, ql string, qs string, full int, rest double")
-
-    def same(d: str, l: str, s: str) -> Column:  # noqa: E741
-        return F.col(d).eqNullSafe(F.col("qd")) & F.col(l).eqNullSafe(F.col("ql")) & F.col(s).eqNullSafe(F.col("qs"))
-
-    # the bucket of each leaf in which its budget ends; quota has at most MAX_LEAVES rows
-    upto = Window.partitionBy("d", "l", "s").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = sums.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
-    ends = running.join(F.broadcast(quota), same("d", "l", "s")).where((F.col("upto") > F.col("rest")) & (F.col("before") <= F.col("rest")) & (F.col("n") > 0))
-    ends = ends.groupBy("qd", "ql", "qs").agg(F.min_by(F.struct("k", "before", "rest"), "k").alias("e")).select("qd", "ql", "qs", "e.k", "e.before", "e.rest")
-    ends = materialise(ends, "leaf_ends")
-    inside = base.join(F.broadcast(ends), same("_domain", "lang", "source") & (F.shiftright("_order", shift) == F.col("k")))
-    inside = inside.select("qd", "ql", "qs", "k", "before", "rest", "_order", tokens.alias("n"))
-    peers = Window.partitionBy("qd", "ql", "qs").orderBy("_order").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    fits = inside.withColumn("sum", F.col("before") + F.sum("n").over(peers)).where(F.col("sum") <= F.col("rest") + 1e-6)
-    last = fits.groupBy("qd", "ql", "qs").agg(F.max("_order").alias("last"))
-    cuts = ends.select(F.col("qd").alias("d"), F.col("ql").alias("l"), F.col("qs").alias("s"), (F.shiftleft("k", shift) - 1).alias("floor"))
-    cuts = cuts.join(last, same("d", "l", "s"), "left").select("d", "l", "s", F.coalesce("last", "floor").alias("cut"))
-    never = F.when(F.col("rest") < 0, F.lit(-1)).otherwise(F.lit((1 << 63) - 1))
-    plan = quota.join(cuts, same("d", "l", "s"), "left").select("qd", "ql", "qs", "full", F.coalesce("cut", never).alias("cut"))
+        quota.append((*path, full, max(0.0, t - full * n) if n and taken and full < epochs else -1.0))
+    quota = materialise(docs.sparkSession.createDataFrame(quota, "d string, l string, s string, full int, rest double"), "quota")
+    cuts = _last_inside(keys, quota, buckets_log2)
+    plan = quota.join(cuts, _same(quota, cuts), "left").select(*[quota[c] for c in LEAF], "full", F.coalesce("cut", F.when(F.col("rest") >= 0, (1 << 63) - 1).otherwise(-1)).alias("cut"))
     plan = materialise(plan, "leaf_plan")
-    out = base.join(F.broadcast(plan), same("_domain", "lang", "source"), "left")
-    whole = F.coalesce("full", F.lit(0))
-    # a leaf without tokens has no epochs to cut
-    copies = whole + F.when((F.col("_order") <= F.col("cut")) & (whole < epochs), 1).otherwise(0)
-    return out.withColumn("_copies", copies.cast("int")).select(*docs.columns, "_domain", "_copies")
+    release(keys)
+    release(quota)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *leaf, order.alias("o"))
+    # plan has at most MAX_LEAVES rows
+    out = rows.join(F.broadcast(plan), _same(rows, plan), "left")
+    copies = F.coalesce("full", F.lit(0)) + F.when(F.col("o") <= F.col("cut"), 1).otherwise(0)
+    return out.select("row", rows["d"].alias("d"), copies.cast("int").alias("copies"))
+
+
+def plan_mix(docs: DataFrame, budget_share: float = 0.5, weights: Mapping[tuple, float] | None = None, epochs: int = 2, seed: int = 5, buckets_log2: int = 8, domain: Column | None = None, tokens: Column | None = None) -> DataFrame:
+    """All documents with their columns and ``_domain`` and ``_copies``, how often each is taken.
+
+    The budget is ``budget_share`` of all tokens. Columns of those two names are replaced.
+    """
+    out = _planned(docs, budget_share, weights, epochs, seed, buckets_log2, domain, tokens)
+    keep = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("_domain", "_copies")]
+    return out.select(*keep, F.col("d").alias("_domain"), F.col("copies").alias("_copies"))
 
 
 def mix(docs: DataFrame, budget_share: float = 0.8, weights: Mapping[tuple, float] | None = None, seed: int = 5) -> DataFrame:
     """The documents taken, each at most once, with the columns of ``docs``."""
-    return plan_mix(docs, budget_share, weights, 1, seed).where("_copies > 0").select(*docs.columns)
+    out = _planned(docs, budget_share, weights, 1, seed, 8, None, None).where("copies > 0")
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
