@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -11,11 +12,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is taken and kept in the
-    session's configuration.
+    Only where that is unset on a local master (tests on one machine) a temporary folder is taken and
+    kept in the session's configuration; on a cluster executors would not see each other's rows there.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.tracewright.scratch", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.tracewright.scratch", path)
     return path.rstrip("/")
@@ -38,6 +41,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def trim() -> None:
+    """Give freed memory back to the system where the C library can: Spark's Python workers outlive their tasks."""
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of ``materialise`` that nothing reads any more."""
     path = getattr(df, "_scratch", None)
@@ -54,7 +64,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: (node long, component long), component the least node.
 
-    ``edges`` has columns u, v (long). Alternating large-star and small-star rounds (Kiveris et al.,
+    ``edges`` has columns u, v (long); an edge with a null end is none. Alternating large-star and small-star rounds (Kiveris et al.,
     2014): each round is two grouped minima and joins, the edge list never grows by more than one
     edge a node, and the number of rounds is logarithmic. The edges of each round are written to the
     shared folder; the driver only sees a count of changed edges. Nodes without edges don't appear.

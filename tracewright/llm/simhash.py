@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, materialise, release, trim
 
 SEED = 42
 #: Node pairs of one frontier; more are walked in turns.
@@ -47,16 +47,17 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * ones > last, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(df: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of (doc_id long, fp long); fp is the 64 bits as a signed number."""
+def _fingerprint_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The first column and the fingerprint of the last, the text."""
+    for b in batches:
+        fp = np.array([fingerprint(t, width) for t in b.column(b.num_columns - 1).to_pylist()], dtype=np.uint64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [b.schema.names[0], "fp"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = np.array([fingerprint(t, width) for t in b.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
+def fingerprints(df: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of (doc_id long, fp long); fp is the 64 bits as a signed number."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(lambda it: _fingerprint_rows(it, width), "doc_id long, fp long")
 
 
 def _parts(blocks: int) -> list[tuple[int, int]]:
@@ -177,6 +178,7 @@ def link(nodes: DataFrame, budget: int = 4, blocks: int | None = None) -> DataFr
             root = trie_links(bits, trie, sum(parts[j][1] for j in chosen), budget)
             linked = np.flatnonzero(root != np.arange(len(root)))
             yield pa.RecordBatch.from_arrays([pa.array(node[at[linked]]), pa.array(node[at[root[linked]]])], ["u", "v"])
+        trim()
 
     return keyed.repartition("t", "key").mapInArrow(run, "u long, v long")
 
@@ -193,3 +195,26 @@ def near_duplicates(df: DataFrame, budget: int = 4, width: int = 4, id_col: str
     named = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     out = docs.join(named, "fp", "left")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, budget: int = 4, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of linked texts, with all its columns: that of the least id, null last.
+
+    Groups come from texts alone: texts that aren't linked stay, whatever ids they have. Of equal ids
+    the least hash of the whole row stays, so a lost and repeated task chooses the same row.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    others = F.to_json(F.struct(F.col(text_col).isNull().alias("no"), *[F.col(f"`{c}`") for c in df.columns if c != text_col]))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.xxhash64(text, others)
+    rows = df.select(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).cast("long").alias("id"), own.alias("h")).alias("key"), text.alias("text"))
+    keyed = materialise(rows.mapInArrow(lambda it: _fingerprint_rows(it, width), "key struct<no: boolean, id: long, h: long>, fp long"), "keys")
+    nodes = materialise(keyed.groupBy("fp").agg(F.min("key").alias("key")).select(F.col("fp").alias("node"), "fp", "key"), "nodes")
+    comp = connected_components(link(nodes.select("node", "fp"), budget))
+    grouped = nodes.join(comp, "node", "left").select(F.coalesce("component", "node").alias("c"), "key")
+    first = materialise(grouped.groupBy("c").agg(F.min("key").alias("key")).select("key.no", "key.id", "key.h"), "first")
+    release(keyed)
+    out = df.select(row.alias("r"), F.col(id_col).isNull().alias("no"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), own.alias("h"))
+    first = first.select("no", F.coalesce("id", F.lit(0)).alias("id"), "h")
+    # rows alike in every column have one key: one of them stays
+    return out.join(first, ["no", "id", "h"], "left_semi").groupBy("no", "id", "h").agg(F.first("r").alias("r")).select("r.*")

@@ -31,16 +31,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import materialise, release
+from .common import materialise, release, trim
 
 ANCHOR = 64
 #: Starts of a document that are handled at once.
 STRETCH = 4 << 20
 #: Bytes of windows in a shard; windows of one anchor in a task.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 TASK_WINDOWS = 30_000
 #: Documents whose windows or results a task holds at a time.
-ROWS = 500
+ROWS = 200
 _MULT = [np.uint64(int(m, 16)) for m in ("9E3779B97F4A7C15", "C2B2AE3D27D4EB4F", "165667B19E3779F9", "D6E8FEB86659FD93")]
 
 
@@ -276,6 +276,8 @@ def _shard_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
     if rows:
         yield from close()
     yield from give(open_)
+    open_ = []
+    trim()
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,8 +336,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([name[x] for x in some], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([min(texts[x], 2) for x in some], pa.int32()), pa.array([x[1] for x in some], pa.binary())], schema=_WINDOWS_ARROW)
 
 
-def _cut(raw: bytes, spans: list[dict] | None, length: int) -> tuple[int, int, bytes]:
-    """(bytes removed, removed runs, the rest)."""
+def _cut(raw: bytes, spans: list[dict] | None, length: int, characters: bool = False) -> tuple[int, int, bytes]:
+    """(bytes removed, removed runs, the rest); with ``characters`` those that are cut in part go whole."""
     if not spans:
         return 0, 0, raw
     step = np.zeros(len(raw) + 1, np.int32)
@@ -345,6 +347,10 @@ def _cut(raw: bytes, spans: list[dict] | None, length: int) -> tuple[int, int, b
         np.add.at(step, (starts[:, None] + runs[None, :, 0]).ravel(), 1)
         np.add.at(step, (starts[:, None] + runs[None, :, 1] + length).ravel(), -1)
     gone = np.cumsum(step[:-1]) > 0
+    if characters:
+        begins = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+        begins[0] = True
+        gone = np.logical_or.reduceat(gone, np.flatnonzero(begins))[np.cumsum(begins) - 1]
     edges = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
     return int(gone.sum()), edges, np.frombuffer(raw, np.uint8)[~gone].tobytes()
 
@@ -359,8 +365,11 @@ def _dealt(rows: DataFrame, hot: DataFrame) -> DataFrame:
     return pairs.select("anchor", part.cast("int").alias("part"), "wid", "n", "win")
 
 
-def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of (doc_id, carried columns, n_bytes, n_removed, n_spans, kept binary)."""
+def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
+    """Rows of (doc_id, carried columns, n_bytes, n_removed, n_spans, kept binary).
+
+    With ``characters`` what is left is UTF-8 again: a character that a cut would halve goes whole.
+    """
     if length < ANCHOR + 8:
         raise ValueError(f"length must be at least {ANCHOR + 8}")
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
@@ -386,10 +395,11 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             raws = b.column("raw").to_pylist()
-            out = [_cut(r, s, length) for r, s in zip(raws, b.column("spans").to_pylist(), strict=True)]
+            out = [_cut(r, s, length, characters) for r, s in zip(raws, b.column("spans").to_pylist(), strict=True)]
             cols = [b.column(c) for c in ["doc_id", *own]]
             cols += [pa.array([len(r) for r in raws], pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+        trim()
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[o]}" for c, o in zip(names, ["doc_id", *own], strict=True)) + ", n_bytes long, n_removed long, n_spans long, kept binary"
