@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..operators import adapters, assemble, detect, payloads, rank
+from ..operators import adapters, assemble, context, detect, payloads, rank
+from ..functions.scalars import is_boundary_turn, is_interrupt, is_quotable_turn
+from ..sources import transcripts as T
 from ..sources.scratch import kept as written
 from . import base_sql as B
 from .unit_queries import joined
@@ -248,3 +250,108 @@ def c06b(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet").select(F.floor(F.col("conv_id") / 2).alias("unit_id"), (F.col("conv_id") % 2).alias("session_ix"), F.col("turn").cast("bigint").alias("line_no"), "role", F.concat(F.when((F.col("role") == "user") & ((F.col("conv_id") + F.col("turn")) % 3 == 0), "[Request interrupted by user] ").otherwise(""), F.coalesce("text", F.lit(""))).alias("text"))
     prose = c.where("role = 'assistant'").withColumn("block_pos", F.lit(0))
     return payloads.claims(prose, c.where("role = 'user'").withColumn("origin", F.lit("Human"))).select("unit_id", "session_ix", "line_no", "text", "interrupted")
+
+
+# ---- extraction from raw lines -----------------------------------------------------------------
+
+@query("s02_read_lines", B.sql(LOGS, "SELECT file, count(*) AS lines, CAST(max(line_no) AS BIGINT) AS last_line FROM lw GROUP BY file"))
+def s02(spark, d):
+    return log_lines(spark, d).groupBy("file").agg(F.count("*").alias("lines"), F.max("line_no").alias("last_line"))
+
+
+@query("p08_user_texts", B.sql(LOGS, "SELECT file, CAST(line_no AS BIGINT) AS line_no, stamp AS effective_ts, CASE event_id%3 WHEN 0 THEN 'Human' WHEN 1 THEN 'NonHuman' ELSE 'Unknown' END AS origin, CASE WHEN event_id%4=0 THEN 'no revert that' ELSE 'please continue' END AS text FROM e3 WHERE kind='turn'"))
+def p08(spark, d):
+    return T.user_texts(T.parse(log_lines(spark, d))).select("file", "line_no", "effective_ts", "origin", "text")
+
+
+@query("p17_spawns", B.sql(LOGS, "SELECT file, CAST(0 AS BIGINT) AS line_no, CASE WHEN user_id%7=3 THEN 's' || user_id ELSE 'none' END AS child_id FROM e3 WHERE place='m' AND user_id%7 IN (3,4) AND nth=1"))
+def p17(spark, d):
+    b = T.blocks(T.parse(log_lines(spark, d)))
+    return T.spawns(T.tool_calls(b), T.results(b)).select("file", "line_no", "child_id")
+
+
+@query("p18_permission_mode", B.sql(LOGS, "SELECT file, CAST(line_no AS BIGINT) AS line_no, auto_here AS auto_accept_here, eff AS effective_ts FROM lw"))
+def p18(spark, d):
+    return T.parse(log_lines(spark, d)).select("file", "line_no", "auto_accept_here", "effective_ts")
+
+
+@query("p06_read_hunks", B.sql(LOGS, "SELECT file, 't' || event_id AS tool_use_id, k AS lo, k + event_id%20 AS hi FROM e3 WHERE kind='Edit' AND answered"))
+def p06(spark, d):
+    r = T.results(T.blocks(T.parse(log_lines(spark, d))))
+    return r.select("file", "tool_use_id", F.explode("hunks").alias("h")).select("file", "tool_use_id", F.col("h.lo").cast("bigint").alias("lo"), F.col("h.hi").cast("bigint").alias("hi"))
+
+
+@query("p01_explode_blocks", B.sql(LOGS, "SELECT file, CAST(line_no AS BIGINT) AS line_no, 'tool_use' AS kind FROM e3 WHERE kind<>'turn' UNION ALL SELECT file, CAST(line_no+1 AS BIGINT), 'tool_result' FROM e3 WHERE answered UNION ALL SELECT file, CAST(unnest([0,1]) AS BIGINT), unnest(['tool_use','tool_result']) FROM e3 WHERE place='m' AND user_id%7 IN (3,4) AND nth=1"))
+def p01(spark, d):
+    """Blocks of lines whose content is an array; a turn's text is none."""
+    return T.blocks(T.parse(log_lines(spark, d))).select("file", "line_no", T.text_at("block", "$.type").alias("kind"))
+
+
+def talk_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as raw lines: turns, some interrupted or meta, prose, some of it the harness's, questions, tasks."""
+    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    turn, conv = F.col("turn"), F.col("conv_id")
+    n = turn.cast("string")
+
+    def assistant(*blocks: Column, **more: Column) -> Column:
+        return _json(type="assistant", message=F.struct(*[v.alias(k) for k, v in more.items()], F.array(*blocks).alias("content")))
+
+    def use(i: Column, name: str, given: Column) -> Column:
+        return F.struct(F.lit("tool_use").alias("type"), i.alias("id"), F.lit(name).alias("name"), given.alias("input"))
+
+    def result(i: Column, extra: Column) -> Column:
+        return _json(type="user", message=F.struct(F.array(F.struct(F.lit("tool_result").alias("type"), i.alias("tool_use_id"))).alias("content")), toolUseResult=extra)
+
+    said = _json(type="user", isMeta=conv % 11 == 0, origin=F.when(conv % 3 == 0, F.struct(F.lit("human").alias("kind"))), message=F.struct(F.concat(F.when((conv + turn) % 3 == 0, "[Request interrupted by user] ").otherwise(""), F.col("text")).alias("content")))
+    prose = assistant(F.struct(F.lit("text").alias("type"), F.concat(F.lit("  "), F.col("text"), F.lit(" ")).alias("text")), model=F.when(conv % 7 == 0, "<synthetic>").otherwise("m"))
+    q = F.concat(F.lit("Q"), n)
+    options = F.transform(F.array(F.lit("A"), F.lit("B"), F.lit("B")), lambda x: F.struct(x.alias("label")))
+    question = F.struct(q.alias("question"), options.alias("options"))
+    ask = assistant(use(F.concat(F.lit("q"), n), "AskUserQuestion", F.struct(F.when(turn % 8 == 5, F.array(question, question)).otherwise(F.array(question)).alias("questions"))))
+    answer = result(F.concat(F.lit("q"), n), F.struct(F.create_map(q, F.lit("B")).alias("answers")))
+    make = assistant(use(F.concat(F.lit("k"), n), "TaskCreate", F.struct(F.concat(F.lit("S"), n).alias("subject"))))
+    made = result(F.concat(F.lit("k"), n), F.struct(F.struct(n.alias("id")).alias("task")))
+    move = assistant(use(F.concat(F.lit("u"), n), "TaskUpdate", F.struct(n.alias("taskId"), F.when(turn % 8 == 3, "completed").otherwise("in_progress").alias("status"))))
+    moved = result(F.concat(F.lit("u"), n), F.struct((conv % 5 != 0).alias("success")))
+    lines = F.when(F.col("role") == "user", F.array(said)).when(F.col("role") == "assistant", F.when(turn % 4 == 1, F.array(prose, ask, answer)).when(turn % 4 == 3, F.array(prose, make, made, move, moved)).otherwise(F.array(prose))).otherwise(F.array(_json(type="system")))
+    name = F.concat(F.lit("c/"), F.lpad(conv.cast("string"), 36, "0"), F.lit(".jsonl"))
+    rows = c.select(name.alias("file"), F.lpad(conv.cast("string"), 36, "0").alias("session_id"), turn.alias("t"), F.posexplode(lines).alias("pos", "value"))
+    return rows.select("file", "session_id", F.lit(None).cast("string").alias("agent_id"), (F.col("t") * 8 + F.col("pos")).alias("line_no"), "value")
+
+
+TALK = """c AS (SELECT conv_id, turn, role, coalesce(text,'') AS text, 'c/' || lpad(CAST(conv_id AS VARCHAR), 36, '0') || '.jsonl' AS file, CAST(turn AS BIGINT)*8 AS line_no FROM conversations),
+ut AS (SELECT file, line_no, CASE WHEN conv_id%3=0 THEN 'Human' ELSE 'Unknown' END AS origin, CASE WHEN (conv_id+turn)%3=0 THEN '[Request interrupted by user] ' ELSE '' END || text AS text FROM c WHERE role='user' AND conv_id%11<>0)"""
+
+
+@query("p10_turn_predicates", B.sql(TALK, "SELECT file, line_no, true AS boundary, origin='Human' AS quotable, text LIKE '[Request interrupted by user%' AS interrupt FROM ut WHERE trim(text)<>''"))
+def p10(spark, d):
+    """Turns that bound a window, turns that may be quoted, and interrupts."""
+    t = T.user_texts(T.parse(talk_lines(spark, d)))
+    return t.select("file", "line_no", is_boundary_turn(F.col("origin")).alias("boundary"), is_quotable_turn(F.col("origin")).alias("quotable"), is_interrupt(F.col("text")).alias("interrupt"))
+
+
+@query("p13_agent_texts", B.sql(TALK, "SELECT file, line_no, left(trim(text, chr(32) || chr(9) || chr(10) || chr(13)), 4000) AS text FROM c WHERE role='assistant' AND conv_id%7<>0 AND trim(text, chr(32) || chr(9) || chr(10) || chr(13))<>''"))
+def p13(spark, d):
+    """Prose without the harness's own notices."""
+    return T.agent_texts(T.parse(talk_lines(spark, d))).select("file", "line_no", "text")
+
+
+@query("p15_decisions", B.sql(TALK, "SELECT file, line_no+1 AS line_no, 'Q' || turn AS question, 'A,B,B' AS options, CASE WHEN turn%8<>5 THEN 'B' END AS answer FROM c, (SELECT unnest([1,2]) AS o) WHERE role='assistant' AND turn%4=1 AND (o=1 OR turn%8=5)"))
+def p15(spark, d):
+    """Questions with their answers; a question asked twice in one call keeps none."""
+    b = T.blocks(T.parse(talk_lines(spark, d)))
+    return T.decisions(T.tool_calls(b), T.results(b)).select("file", "line_no", "question", F.array_join("options", ",").alias("options"), "answer")
+
+
+@query("p16_task_events", B.sql(TALK, "SELECT file, line_no+1 AS line_no, CAST(turn AS VARCHAR) AS id, 'S' || turn AS subject, 'pending' AS status FROM c WHERE role='assistant' AND turn%4=3 UNION ALL SELECT file, line_no+3, CAST(turn AS VARCHAR), NULL, CASE WHEN turn%8=3 THEN 'completed' ELSE 'in_progress' END FROM c WHERE role='assistant' AND turn%4=3 AND conv_id%5<>0"))
+def p16(spark, d):
+    b = T.blocks(T.parse(talk_lines(spark, d)))
+    return T.task_events(T.tool_calls(b), T.results(b)).select("file", "line_no", "id", "subject", "status")
+
+
+@query("c04_unfinished_from_logs", B.sql(TALK, "SELECT file, CAST(turn AS VARCHAR) AS id, 'S' || turn AS subject, CASE WHEN conv_id%5=0 THEN 'pending' ELSE 'in_progress' END AS status FROM c WHERE role='assistant' AND turn%4=3 AND (conv_id%5=0 OR turn%8<>3)"))
+def c04log(spark, d):
+    """Tasks whose last confirmed state is neither completed nor deleted."""
+    b = T.blocks(T.parse(talk_lines(spark, d)))
+    events = T.task_events(T.tool_calls(b), T.results(b))
+    return context.unfinished_tasks(events, ["file", "lane", "id"], F.struct("line_no", "block_pos"), ["completed", "deleted"]).select("file", "id", "subject", "status")
