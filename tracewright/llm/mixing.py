@@ -6,11 +6,11 @@ take goes to its siblings by their weights, and only what no sibling can take is
 parent, shared out among the parent's own siblings. Each leaf then takes whole epochs of its
 documents and, of one more, the prefix in a seeded order whose tokens fit.
 
-The tree (one row a leaf) is solved on the driver: its size is that of the vocabulary of sources, at
-most ``MAX_LEAVES``, never that of the documents. The prefix is found in two steps: sums
-over ranges of the seeded hash tell in which range a leaf's budget ends, and only that range's rows
-are summed one by one, without their texts. Documents then meet their leaf's cut in a broadcast join
-of at most ``MAX_LEAVES`` rows; they are never shuffled.
+A tree of at most ``MAX_LEAVES`` leaves is solved on the driver; a larger one by joins and grouped sums,
+a level at a time, with the same result. Sums over ranges of the seeded hash tell in which range a
+leaf's budget ends; ranges are divided until few rows are left, and only those are summed one by one,
+without their texts. Documents then meet their leaf's cut in a join, a broadcast one while there are at
+most ``MAX_LEAVES`` leaves; then they are never shuffled.
 
 Defined cases: null and empty texts have no tokens and stay with their leaf's full epochs, or where the order puts them
 before the cut; null domains, languages and sources are leaves of their own; weights default to 1; a
@@ -94,12 +94,63 @@ def solve(leaves: dict[tuple, int], budget: float, weights: Mapping[tuple, float
 LEAF = ["d", "l", "s"]
 
 
+def _shared(children: DataFrame, above: DataFrame, by: list[str]) -> DataFrame:
+    """``share_out`` for all parents at once: children (by, name columns, w, cap) with ``tokens``.
+
+    Children that can't take their share are filled and leave, a grouped sum a round; rounds end when
+    no parent has one.
+    """
+    rows = materialise(children.where("w > 0 and cap > 0").withColumn("full", F.lit(False)), "children")
+    while True:
+        taken = rows.groupBy(*by).agg(F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).alias("used"), F.sum(F.when(F.col("full"), 0.0).otherwise(F.col("w"))).alias("open"))
+        level = above.join(taken, _equal(above, taken, by)).select(*[above[c] for c in by], (above["budget"] - taken["used"]).alias("left"), taken["open"])
+        share = F.when(F.col("open") > 0, F.col("left") * F.col("w") / F.col("open")).otherwise(0.0)
+        now = rows.join(level, _equal(rows, level, by)).select(*[rows[c] for c in rows.columns], share.alias("share"))
+        now = materialise(now.select(*[c for c in rows.columns if c != "full"], (F.col("full") | (F.col("cap") <= F.col("share"))).alias("full"), F.col("full").alias("was"), "share"), "children")
+        release(rows)
+        rows = now.select(*[c for c in now.columns if c not in ("was", "share")])
+        if not now.where("full and not was").limit(1).count():
+            return now.select("*", F.when(F.col("full"), F.col("cap")).otherwise(F.greatest("share", F.lit(0.0))).alias("tokens")).drop("full", "was", "share")
+
+
+def _equal(a: DataFrame, b: DataFrame, by: list[str]) -> Column:
+    on = F.lit(True)
+    for c in by:
+        on = on & a[c].eqNullSafe(b[c])
+    return on
+
+
+def solve_table(leaves: DataFrame, budget_share: float, weights: Mapping[tuple, float], epochs: int) -> DataFrame:
+    """``solve`` for any number of leaves (d, l, s, n): adds ``tokens``, 0 for leaves that take nothing."""
+    spark = leaves.sparkSession
+
+    def weighted(rows: DataFrame, depth: int) -> DataFrame:
+        own = [(*k, float(v)) for k, v in weights.items() if len(k) == depth]
+        if not own:
+            return rows.withColumn("w", F.lit(1.0))
+        table = spark.createDataFrame(own, ", ".join(f"{c} string" for c in LEAF[:depth]) + ", given double")
+        return rows.join(F.broadcast(table), _equal(rows, table, LEAF[:depth]), "left").select(*[rows[c] for c in rows.columns], F.coalesce("given", F.lit(1.0)).alias("w"))
+
+    def summed(rows: DataFrame, depth: int) -> DataFrame:
+        return weighted(rows.where("w > 0").groupBy(*LEAF[:depth]).agg(F.sum("cap").alias("cap")), depth)
+
+    sources = materialise(weighted(leaves.select(*LEAF, (F.col("n") * epochs).cast("double").alias("cap")), 3), "sources")
+    langs = materialise(summed(sources, 2), "langs")
+    domains = materialise(summed(langs, 1), "domains")
+    room = domains.where("w > 0").agg(F.sum("cap").alias("cap"))
+    root = leaves.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).join(room).select(F.least(F.col("n") * budget_share, F.coalesce("cap", F.lit(0.0))).alias("budget"))
+    top = _shared(domains, root, []).select("d", F.col("tokens").alias("budget"))
+    middle = _shared(langs, top, ["d"]).select("d", "l", F.col("tokens").alias("budget"))
+    given = _shared(sources, middle, ["d", "l"])
+    return leaves.join(given, _same(leaves, given), "left").select(*[leaves[c] for c in LEAF], leaves["n"], F.coalesce("tokens", F.lit(0.0)).alias("tokens"))
+
+
 def _same(a: DataFrame, b: DataFrame) -> Column:
     """Rows of one leaf, whose names may be null."""
     return a["d"].eqNullSafe(b["d"]) & a["l"].eqNullSafe(b["l"]) & a["s"].eqNullSafe(b["s"])
 
 
-def _last_inside(keys: DataFrame, quota: DataFrame, bits: int) -> DataFrame:
+def _last_inside(keys: DataFrame, quota: DataFrame, bits: int, small: bool = True) -> DataFrame:
     """(leaf, cut): the greatest order of each leaf up to which its documents' tokens fit into ``rest``.
 
     Sums over ranges of the order tell in which range a leaf's budget ends; that range is divided
@@ -110,7 +161,8 @@ def _last_inside(keys: DataFrame, quota: DataFrame, bits: int) -> DataFrame:
     ranges = quota.where("rest >= 0").select(*LEAF, "rest", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("before"))
     while True:
         hi = F.lit((1 << shift) - 1)
-        inside = keys.join(F.broadcast(ranges.withColumnsRenamed({c: f"q{c}" for c in LEAF})), F.col("d").eqNullSafe(F.col("qd")) & F.col("l").eqNullSafe(F.col("ql")) & F.col("s").eqNullSafe(F.col("qs")) & (F.col("o") >= F.col("lo")) & (F.col("o") - F.col("lo") <= hi))
+        own = ranges.withColumnsRenamed({c: f"q{c}" for c in LEAF})
+        inside = keys.join(F.broadcast(own) if small else own, F.col("d").eqNullSafe(F.col("qd")) & F.col("l").eqNullSafe(F.col("ql")) & F.col("s").eqNullSafe(F.col("qs")) & (F.col("o") >= F.col("lo")) & (F.col("o") - F.col("lo") <= hi))
         most = inside.groupBy(*LEAF).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         if most <= SMALL or shift == 0:
             break
@@ -135,26 +187,34 @@ def _planned(docs: DataFrame, budget_share: float, weights: Mapping[tuple, float
     order = F.xxhash64(F.lit(seed), "doc_id", "text").bitwiseAND(F.lit((1 << 63) - 1))
     leaf = [(default_domain() if domain is None else domain).alias("d"), F.col("lang").alias("l"), F.col("source").alias("s")]
     keys = materialise(docs.select(*leaf, order.alias("o"), F.coalesce(tokens, F.lit(0)).cast("long").alias("n")), "keys")
-    totals = keys.groupBy(*LEAF).agg(F.sum("n").alias("n")).limit(MAX_LEAVES + 1).collect()
-    if len(totals) > MAX_LEAVES:
-        raise ValueError(f"more than {MAX_LEAVES} sources; give coarser ones")
-    leaves = {(r["d"], r["l"], r["s"]): r["n"] for r in totals}
-    solved = solve(leaves, budget_share * sum(leaves.values()), weights, epochs)
-    quota = []
-    for path, t in solved.items():
-        n = leaves[path]
-        taken = all(weights.get(path[: i + 1], 1.0) > 0 for i in range(3))
-        full = int((t + 1e-6) // n) if n else int(taken)
-        quota.append((*path, full, max(0.0, t - full * n) if n and taken and full < epochs else -1.0))
-    quota = materialise(docs.sparkSession.createDataFrame(quota, "d string, l string, s string, full int, rest double"), "quota")
-    cuts = _last_inside(keys, quota, buckets_log2)
+    totals = materialise(keys.groupBy(*LEAF).agg(F.sum("n").alias("n")), "leaves")
+    small = totals.count() <= MAX_LEAVES
+    if small:
+        leaves = {(r["d"], r["l"], r["s"]): r["n"] for r in totals.collect()}
+        solved = solve(leaves, budget_share * sum(leaves.values()), weights, epochs)
+        tokens_of = docs.sparkSession.createDataFrame([(*path, leaves[path], float(t)) for path, t in solved.items()], "d string, l string, s string, n long, tokens double")
+    else:
+        tokens_of = solve_table(totals, budget_share, weights, epochs)
+    never = [k for k, v in weights.items() if v <= 0]
+    path = [F.col(c) for c in LEAF]
+    barred = F.lit(False)
+    for k in never:
+        same = F.lit(True)
+        for c, v in zip(path, k, strict=False):
+            same = same & c.eqNullSafe(F.lit(v))
+        barred = barred | same
+    # a leaf without tokens takes all of its documents once, unless its weight is 0
+    full = F.when(F.col("n") > 0, F.floor((F.col("tokens") + 1e-6) / F.col("n"))).otherwise(F.when(barred, 0).otherwise(1)).cast("int")
+    quota = tokens_of.withColumn("full", full).withColumn("rest", F.when((F.col("n") > 0) & ~barred & (F.col("full") < epochs), F.greatest(F.col("tokens") - F.col("full") * F.col("n"), F.lit(0.0))).otherwise(-1.0))
+    quota = materialise(quota.select(*LEAF, "full", "rest"), "quota")
+    cuts = _last_inside(keys, quota, buckets_log2, small)
     plan = quota.join(cuts, _same(quota, cuts), "left").select(*[quota[c] for c in LEAF], "full", F.coalesce("cut", F.when(F.col("rest") >= 0, (1 << 63) - 1).otherwise(-1)).alias("cut"))
     plan = materialise(plan, "leaf_plan")
-    release(keys)
-    release(quota)
+    for table in (keys, quota, totals):
+        release(table)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *leaf, order.alias("o"))
-    # plan has at most MAX_LEAVES rows
-    out = rows.join(F.broadcast(plan), _same(rows, plan), "left")
+    # a plan of at most MAX_LEAVES rows is broadcast
+    out = rows.join(F.broadcast(plan) if small else plan, _same(rows, plan), "left")
     copies = F.coalesce("full", F.lit(0)) + F.when(F.col("o") <= F.col("cut"), 1).otherwise(0)
     return out.select("row", rows["d"].alias("d"), copies.cast("int").alias("copies"))
 
