@@ -209,14 +209,15 @@ def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 0, "z") for i, v in rows], "vec_id long, embedding array<float>, label int, n_links string")
 
 
-def test_lattice_links(spark):
+@pytest.mark.parametrize("shape", sorted(lattice_dedup.SHAPES))
+def test_lattice_links(spark, shape):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((60, 64))
     near = np.repeat(x[:15], 6, axis=0) + 0.14 * rng.standard_normal((90, 64))
     rows = [(i, [float(v) for v in np.float32(r)]) for i, r in enumerate(np.concatenate([x, near]))]
     rows += [(900, rows[0][1]), (901, rows[0][1])]
     bad = [(1000, None), (1001, []), (1002, [0.0] * 64), (1003, [float("nan")] * 64), (1004, [None] * 64), (1005, [1.0, 2.0])]
-    got = {r.vec_id: r for r in lattice_dedup.near_duplicates(vectors(spark, rows + bad)).collect()}
+    got = {r.vec_id: r for r in lattice_dedup.near_duplicates(vectors(spark, rows + bad), shape=lattice_dedup.SHAPES[shape]).collect()}
     m = np.array([r[1] for r in rows])
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     link = (m @ m.T >= 0.95) & ~np.eye(len(m), dtype=bool)
@@ -236,35 +237,27 @@ def test_lattice_hot_cells(spark, monkeypatch):
     rows = [(i, [float(v) for v in np.float32(c + 0.05 * rng.standard_normal(64))]) for i in range(70)]
     got = lattice_dedup.near_duplicates(vectors(spark, rows)).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(69, 0)}
+    odd = [(None, rows[0][1]), (5, rows[0][1]), (5, rows[1][1]), (None, None)]
+    got = lattice_dedup.near_duplicates(spark.createDataFrame(odd, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id is None, r.n_links, r.component_id, r.kept) for r in got if r.n_links) == [(False, 2, 5, True), (False, 2, 5, True), (True, 2, 5, False)]
 
 
-def test_lattice_recall_at_the_threshold():
+@pytest.mark.parametrize("dim", [8, 64, 384])
+@pytest.mark.parametrize("shape", sorted(lattice_dedup.SHAPES))
+def test_lattice_recall_at_the_threshold(shape, dim):
+    """Pairs at cosine 0.9501 that meet in a cell of some table and pass the signs there."""
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((2000, 64))
+    x = rng.standard_normal((4000, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     z = rng.standard_normal(x.shape)
     z -= (z * x).sum(axis=1, keepdims=True) * x
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * z
-    grid = lattice_dedup.Lattice(64, 4, 1, 0.5, 1.1)
+    grid = lattice_dedup.Lattice(dim, *(lattice_dedup.SHAPES[shape][k] for k in ("tables", "blocks", "width", "radius")))
     a, b = grid.project(x), grid.project(y)
     met = (grid.meets(grid.homes(a), b) | grid.meets(grid.homes(b), a)).any(axis=1)
-    assert met.mean() > 0.999
-
-
-def test_lattice_recall_of_the_shape_beyond_a_million():
-    """Two blocks, five tables: what near_duplicates takes for more than 1,000,000 distinct vectors."""
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal((20000, 64))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = rng.standard_normal(x.shape)
-    z -= (z * x).sum(axis=1, keepdims=True) * x
-    z /= np.linalg.norm(z, axis=1, keepdims=True)
-    y = 0.9501 * x + np.sqrt(1 - 0.9501**2) * z
-    grid = lattice_dedup.Lattice(64, 5, 2, 0.5, 1.1)
-    a, b = grid.project(x), grid.project(y)
-    met = (grid.meets(grid.homes(a), b) | grid.meets(grid.homes(b), a)).any(axis=1)
-    assert met.mean() > 0.999
+    met &= lattice_dedup.differing(grid.signs(x), grid.signs(y)) <= lattice_dedup.SIGNS
+    assert met.mean() > 0.998
 
 
 def test_e8_points():
@@ -302,6 +295,14 @@ def test_toxicity_held_out(spark):
     assert toxicity.score(docs(spark, []), model).count() == 0
 
 
+def test_word_scores_are_kernel_sums():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(rng.normal(size=32**3))
+    words = ["a", "ab", "aaaa", "abababab", "thereeth", "idiot", "é" * 9, "x" * 24]
+    code, weight = toxicity.subsequences(words)
+    assert np.allclose(model.scores(words), (model.table[code] * weight).sum(axis=1), atol=1e-5)
+
+
 def test_string_kernel_by_definition():
     w = ["idiot", "idxiot"]
     code, weight = toxicity.subsequences(w)
@@ -396,3 +397,101 @@ def test_chat_digests_come_from_written_examples(spark, monkeypatch):
     monkeypatch.setattr(chat, "_written", lambda s, f=chat._written: read.append(s) or f(s))
     chat.read_back(seg)
     assert read == [seg]
+
+
+def test_chat_digests_follow_the_stored_examples(spark):
+    rows = [(c, t, "assistant" if t % 2 else "user", f"text {c} {t}") for c in range(4) for t in range(2 * c + 1)]
+    stored = chat.store(chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    want = {r.conv_id: r for r in chat.digest(stored).collect()}
+    swapped = stored.withColumn("text", F.when(F.col("conv_id") == 2, F.replace("text", F.lit("text 2 1"), F.lit("TEXT 2 1"))).otherwise(F.col("text")))
+    got = {r.conv_id: r for r in chat.digest(swapped).collect()}
+    assert got[2].loss_sha256 != want[2].loss_sha256 and got[2].turns_sha256 != want[2].turns_sha256 and got[3] == want[3]
+    masked = stored.withColumn("loss_end", F.when((F.col("conv_id") == 3) & (F.col("example") == 1), F.col("loss_end") - 1).otherwise(F.col("loss_end")))
+    got = {r.conv_id: r for r in chat.digest(masked).collect()}
+    assert got[3].loss_chars == want[3].loss_chars - 1 and got[2] == want[2]
+    for broken in (stored.where("not (conv_id = 3 and example = 0)"), stored.withColumn("text", F.when((F.col("conv_id") == 3) & (F.col("example") == 0), F.replace("text", F.lit("text 3 0"), F.lit("text 3 9"))).otherwise(F.col("text")))):
+        with pytest.raises(Exception, match="conversation 3"):
+            chat.digest(broken).collect()
+
+
+def test_tokens_equal_the_library_for_all_code_points():
+    """Every code point below U+20000 beside a contraction and inside a word, and random odd strings."""
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary()
+    t, count, encoder = Tokenizer.from_file(path), token_counts.counter(path).text, packing.encoder_of(path)
+    texts = [f"'{chr(x)}> a{chr(x)}b" for x in range(0x20000) if not 0xD800 <= x < 0xE000]
+    rng = random.Random(1)
+    odd = [chr(x) for x in [*range(32, 0x250), *range(0x300, 0x400), 0x130, 0x1C5, 0x3A3, 0xA7CB, 0xA7DC, 0x85, 0x2028, 0x3000, 0x200B, 0x1F88, 0xAC00, 0x1100, 0x1161, 0x11A8, 0x1D15E, 0x2ADC, 0xFB1D]] + list("<|endoftext|> \n\t'sSdDlLmM")
+    texts += ["".join(rng.choices(odd, k=rng.randrange(1, 14))) for _ in range(20_000)]
+    wrong = []
+    for at in range(0, len(texts), 2000):
+        some = texts[at : at + 2000]
+        for x, want, got in zip(some, t.encode_batch(some, add_special_tokens=False), packing.encode_texts(some, encoder), strict=True):
+            if count(x) != len(want.ids) or np.asarray(want.ids, "<u4").tobytes() != got:
+                wrong.append(x)
+    assert not wrong
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["full", "cut", "k", "before", "rest", "qd", "ql", "qs", "_order", "d", "l", "s", "o", "n", "row", "copies"]
+    rng = random.Random(3)
+    rows = [(i, "w " * rng.randrange(30), "en", rng.choice(["s1", "s2"]), *range(len(names))) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{x} int" for x in names))
+    kept = mixing.mix(d, 0.5)
+    assert kept.columns == d.columns and {tuple(r)[4:] for r in kept.collect()} == {tuple(range(len(names)))}
+    own = d.withColumn("_domain", F.lit("mine")).withColumn("_copies", F.lit(9))
+    out = mixing.plan_mix(own, 0.5)
+    assert sorted(out.columns) == sorted(own.columns) and out.where("_domain = 'mine' or _copies = 9").count() == 0
+
+
+@pytest.mark.parametrize("weights", [{}, {("domain1",): 3.0, ("domain0", "de"): 0.0, ("domain2", "en", "s2"): 0.5}])
+def test_mixing_of_more_sources_than_the_driver_takes(spark, monkeypatch, weights):
+    rng = random.Random(8)
+    rows = [(i, "w " * rng.randrange(40), rng.choice(["en", "de", None]), rng.choice([None, *(f"s{k * k}" for k in range(9))])) for i in range(400)] + [(900, "", "xx", "empty")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = []
+    for most in (200_000, 3):
+        monkeypatch.setattr(mixing, "MAX_LEAVES", most)
+        got.append(sorted((r.doc_id, r._copies) for r in mixing.plan_mix(d, 0.7, weights, epochs=2, buckets_log2=2).collect()))
+    assert got[0] == got[1] and len({c for _, c in got[0]}) > 1
+
+
+@pytest.mark.parametrize("small", [1, 7, 1000])
+def test_mixing_prefix_is_the_longest_that_fits(spark, monkeypatch, small):
+    """Ranges are divided until they are small; the cut is where plain Python finds it."""
+    monkeypatch.setattr(mixing, "SMALL", small)
+    rng = random.Random(small)
+    rows = [("a", "x", str(i % 3), rng.randrange(1 << 63) if i % 5 else 77, rng.randrange(20)) for i in range(300)] + [(None, None, None, 5, 3)]
+    quota = [("a", "x", "0", 0, 400.0), ("a", "x", "1", 0, 0.0), ("a", "x", "2", 0, 1e6), (None, None, None, 1, 2.0)]
+    keys = spark.createDataFrame(rows, "d string, l string, s string, o long, n long")
+    got = {(r.d, r.l, r.s): r.cut for r in mixing._last_inside(keys, spark.createDataFrame(quota, "d string, l string, s string, full int, rest double"), 4).collect()}
+    for d, l, s, _, rest in quota:  # noqa: E741
+        own = [(o, n) for a, b, c, o, n in rows if (a, b, c) == (d, l, s)]
+        fits = [o for o, _ in own if sum(n for p, n in own if p <= o) <= rest]
+        taken = {o for o, _ in own if o <= got.get((d, l, s), 1 << 63)}
+        assert taken == set(fits)
+
+
+def test_toxicity_carries_columns_of_any_name(spark):
+    model = toxicity.Model(np.zeros(32**3), 0.0, (0.1,) * (len(toxicity.FEATURES) + 1))
+    d = docs(spark, ["a b. c", None]).withColumns({c: F.lit(5) for c in ("top", "past0", "sentence", "_text", "_c0", "_p")})
+    out = toxicity.score(d, model, carry=("top", "past0", "sentence", "_text", "_c0", "_p", "text")).collect()
+    assert [(r.top, r.past0, r._c0, r._p) for r in out] == [(5, 5, 5, 5)] * 2 and {r.text for r in out} == {"a b. c", None}
+    with pytest.raises(ValueError, match="carried"):
+        toxicity.score(d, model, carry=("predicted",))
+
+
+def test_toxicity_reads_texts_alike_by_arrow_and_by_word():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    model = toxicity.Model(rng.normal(size=32**3), -0.3, (0.0,))
+    texts = [t or "" for t in ODD] + ["i d i o t you. a b", "a " * 100, "One two. Three! four? No.x y", "x" * 90 + " " + "ab." * 40, "\u2003wide space. tail"]
+    got = toxicity._text_features(pa.array(texts), toxicity.Scores(model))
+    seen = toxicity.Scores(model)
+    for t, x in zip(texts, got, strict=True):
+        s = toxicity.sentences(t) or [[""]]
+        flat = [v for w in s for v in seen.learn(w)]
+        want = [max(flat), max(max(sum(seen.learn(w)) - 0.3, -5) for w in s), *(np.log1p(sum(v > lv for v in flat)) for lv in toxicity.LEVELS)]
+        assert np.allclose(x, want), t
