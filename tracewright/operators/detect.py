@@ -13,7 +13,7 @@ LINE_BIN = 50
 FINDING_COLUMNS = ["unit_id", "detector_ord", "kind", "tier", "exact", "confidence", "idxs", "file", "note", "nums"]
 
 
-def finding(rows: DataFrame, ord_: int, kind: Column | str, tier: str, exact: bool, confidence: Column | str, file: Column | None = None, note: Column | None = None, nums: Column | None = None) -> DataFrame:
+def finding(rows: DataFrame, ord_: int | Column, kind: Column | str, tier: str, exact: bool, confidence: Column | str, file: Column | None = None, note: Column | None = None, nums: Column | None = None) -> DataFrame:
     """Rows with unit_id and idxs in the findings' uniform shape."""
 
     def as_col(x: Column | str) -> Column:
@@ -21,7 +21,7 @@ def finding(rows: DataFrame, ord_: int, kind: Column | str, tier: str, exact: bo
 
     none = F.lit(None).cast("string")
     return rows.select(
-        "unit_id", F.lit(ord_).alias("detector_ord"), as_col(kind).alias("kind"), F.lit(tier).alias("tier"), F.lit(exact).alias("exact"), as_col(confidence).alias("confidence"),
+        "unit_id", (F.lit(ord_) if isinstance(ord_, int) else ord_).alias("detector_ord"), as_col(kind).alias("kind"), F.lit(tier).alias("tier"), F.lit(exact).alias("exact"), as_col(confidence).alias("confidence"),
         F.col("idxs").cast("array<bigint>").alias("idxs"), (none if file is None else file).alias("file"), (none if note is None else note).alias("note"),
         (F.lit(None).cast("map<string,double>") if nums is None else nums.cast("map<string,double>")).alias("nums"),
     )
@@ -159,6 +159,71 @@ def secrets_touched(actions: DataFrame) -> DataFrame:
     return finding(rows, 11, "secrets_file_touched", "T1", True, "high", F.col("file_path"))
 
 
+def per_file_findings(actions: DataFrame, churn_least: int = 2, re_read_least: int = 3) -> DataFrame:
+    """Churn, re-reads and secrets touched, from one grouping by unit and file."""
+    k = F.col("kind")
+    edit, read = is_edit(k), k == "Read"
+    rows = actions.where(F.col("file_path").isNotNull() & (edit | read))
+    per = rows.groupBy("unit_id", "file_path").agg(
+        F.sort_array(F.collect_list(F.when(edit, F.col("idx")))).alias("edited"), F.sort_array(F.collect_list(F.when(read, F.col("idx")))).alias("read"), F.sum(F.when(edit, F.coalesce("write_lines", F.lit(0)))).alias("lines"),
+        F.max_by("read_total_lines", F.when(read & F.col("read_total_lines").isNotNull(), F.col("idx"))).alias("total_lines"),
+    )
+    relative = F.when((F.col("total_lines") > 0) & (F.col("lines") > 0), F.map_from_arrays(F.array(F.lit("relative_churn")), F.array(F.col("lines") / F.col("total_lines"))))
+    none = F.lit(None).cast("map<string,double>")
+
+    def found(holds: Column, ord_: int, kind: str, idxs: Column, nums: Column) -> Column:
+        return F.when(holds, F.struct(F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), idxs.cast("array<bigint>").alias("idxs"), nums.cast("map<string,double>").alias("nums")))
+
+    edited, seen = F.col("edited"), F.col("read")
+    parts = [
+        found(F.size(edited) >= churn_least, 0, "churn", edited, relative), found(F.size(seen) >= re_read_least, 1, "re_read", seen, none),
+        found(is_secrets(F.col("file_path")), 11, "secrets_file_touched", F.sort_array(F.concat(edited, seen)), none),
+    ]
+    one = per.select("unit_id", "file_path", F.explode(F.array_compact(F.array(*parts))).alias("x")).select("unit_id", "file_path", "x.*")
+    return finding(one, F.col("ord"), F.col("kind"), "T1", True, "high", F.col("file_path"), nums=F.col("nums"))
+
+
+def single_action_findings(actions: DataFrame, size: int = 2000, seconds: float = 3.0) -> DataFrame:
+    """Blind writes, user's corrections and instant accepts, from one reading of the actions, without a shuffle."""
+    edit = is_edit(F.col("kind"))
+
+    def found(holds: Column, ord_: int, kind: str, tier: str, exact: bool, confidence: str, note: str | None) -> Column:
+        return F.when(holds, F.struct(F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), F.lit(tier).alias("tier"), F.lit(exact).alias("exact"), F.lit(confidence).alias("confidence"), F.lit(note).cast("string").alias("note")))
+
+    large = edit & F.col("lane").isNull() & ~F.col("auto_accept_here") & (F.col("write_len") >= size) & (F.col("approval_latency_s") <= seconds)
+    parts = [
+        found(edit & F.contains("error", F.lit("File has not been read yet")), 3, "blind_write_attempt", "T1", True, "high", None), found(F.col("user_modified"), 8, "user_corrected", "T2", True, "high", None),
+        found(large, 10, "large_write_instant_accept", "T2", False, "medium", "accepted within seconds"),
+    ]
+    rows = actions.select("unit_id", F.array("idx").cast("array<bigint>").alias("idxs"), F.col("file_path").alias("file"), F.explode(F.array_compact(F.array(*parts))).alias("x"))
+    return rows.select("unit_id", F.col("x.ord").alias("detector_ord"), "x.kind", "x.tier", "x.exact", "x.confidence", "idxs", "file", "x.note", F.lit(None).cast("map<string,double>").alias("nums"))
+
+
+def segment_findings(segments: DataFrame, limit: int = 400, size: int = 10, least: int = 5) -> DataFrame:
+    """Opening moves and review burden, from one grouping by segment."""
+    edit = is_edit(F.col("kind"))
+    w = Window.partitionBy("unit_id", "session_ix", "segment").orderBy("idx")
+    first = F.col("pos") < size
+    per = segments.withColumn("pos", F.row_number().over(w) - 1).groupBy("unit_id", "session_ix", "segment").agg(
+        F.count("*").alias("n"), F.min(F.when(first & edit, F.col("pos"))).alias("first_edit"), F.min(F.when(first & (F.col("kind") == "Read"), F.col("pos"))).alias("first_read"),
+        F.avg(F.when(first, F.when(edit, 1.0).otherwise(0.0))).alias("edit_fraction"), F.sort_array(F.collect_list(F.when(first, F.struct("pos", "idx")))).alias("opening"),
+        F.sort_array(F.collect_list(F.when(edit, F.col("idx")))).alias("edited"), F.sum(F.when(edit, F.col("write_lines"))).alias("lines"),
+    )
+    upto = F.transform(F.filter("opening", lambda x: x["pos"] <= F.col("first_edit")), lambda x: x["idx"])
+    read_first = F.coalesce(F.col("first_read") < F.col("first_edit"), F.lit(False))
+    move = F.create_map(F.lit("edit_fraction_first10"), F.col("edit_fraction"), F.lit("first_edit_index"), F.col("first_edit").cast("double"))
+
+    def found(holds: Column, ord_: int, kind: str, idxs: Column, note: Column, nums: Column) -> Column:
+        return F.when(holds, F.struct(F.lit(ord_).alias("ord"), F.lit(kind).alias("kind"), idxs.cast("array<bigint>").alias("idxs"), note.alias("note"), nums.cast("map<string,double>").alias("nums")))
+
+    parts = [
+        found((F.col("n") >= least) & F.col("first_edit").isNotNull(), 6, "opening_move", upto, F.when(read_first, "read-first").otherwise("patch-first"), move),
+        found(F.col("lines") > limit, 9, "review_burden", F.col("edited"), F.lit("lines written in one stretch"), F.create_map(F.lit("lines"), F.col("lines").cast("double"))),
+    ]
+    one = per.select("unit_id", F.explode(F.array_compact(F.array(*parts))).alias("x")).select("unit_id", "x.*")
+    return finding(one, F.col("ord"), F.col("kind"), "T1", False, "medium", note=F.col("note"), nums=F.col("nums"))
+
+
 _extra: dict[str, Callable[[dict], DataFrame]] = {}
 
 
@@ -168,9 +233,12 @@ def register_detector(name: str, detector: Callable[[dict], DataFrame]) -> None:
 
 
 def all_findings(actions: DataFrame, turns: DataFrame) -> DataFrame:
-    """Every detector's findings, in the fixed order of ``detector_ord``."""
+    """Every detector's findings, in the fixed order of ``detector_ord``.
+
+    Detectors that group alike share a grouping; each also stands alone above.
+    """
     segments = order.with_segments(actions, turns)
-    parts = [churn(actions), re_read(actions), rework(actions), blind_write_attempts(actions), failure_loops(actions), action_loops(actions), opening_move(segments), reverts_and_flips(actions, turns), user_corrections(actions), review_burden(segments), large_write_instant_accept(actions), secrets_touched(actions)]
+    parts = [per_file_findings(actions), rework(actions), single_action_findings(actions), failure_loops(actions), action_loops(actions), segment_findings(segments), reverts_and_flips(actions, turns)]
     parts += [d({"actions": actions, "turns": turns, "segments": segments}).select(*FINDING_COLUMNS) for d in _extra.values()]
     out = parts[0]
     for p in parts[1:]:

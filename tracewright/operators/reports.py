@@ -12,7 +12,7 @@ BLIND_KINDS = ["blind_write_attempt", "large_write_instant_accept", "review_burd
 
 def session_overview(actions: DataFrame, turns: DataFrame, overview: DataFrame) -> DataFrame:
     """Totals, spans, top files and the share of stretches opened by a patch; ``overview`` is a row a unit."""
-    findings = detect.all_findings(actions, turns)
+    findings = detect.all_findings(actions, turns).persist()  # read for ranks and their breakdowns
     top = rank.top_struggles(rank.rank_files(findings, actions)).groupBy("unit_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "file"))), lambda x: x["file"]), ",").alias("top_files"), F.max("total").alias("struggle_files"))
     moves = detect.opening_moves(order.with_segments(actions, turns)).groupBy("unit_id").agg(F.avg((~F.col("read_first")).cast("double")).alias("patch_first_share"))
     span = order.active_span(actions)

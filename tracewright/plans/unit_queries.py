@@ -43,6 +43,11 @@ def cached_actions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return acts(spark, d).persist(), turns(spark, d).persist()
 
 
+def kept_findings(a: DataFrame, t: DataFrame) -> DataFrame:
+    """All findings, kept while ranks and reports read them more than once."""
+    return detect.all_findings(a, t).persist()
+
+
 def findings_of(spark: SparkSession, d: str) -> DataFrame:
     a, t = cached_actions(spark, d)
     return detect.all_findings(a, t)
@@ -464,7 +469,7 @@ nr2 AS (SELECT q.*, rk.rank, row_number() OVER (PARTITION BY unit_id ORDER BY rk
 @query("r03_needs_review", B.sql(B.RANKED + REVIEW, "SELECT unit_id, pos, file, n AS n_findings FROM nr2 WHERE pos<=3"))
 def r03(spark, d):
     a, t = cached_actions(spark, d)
-    f = detect.all_findings(a, t)
+    f = kept_findings(a, t)
     return rank.needs_review(f, rank.rank_files(f, a)).select(big("unit_id"), big("pos"), "file", "n_findings")
 
 
@@ -474,7 +479,7 @@ pl AS (SELECT unit_id, file, list(p ORDER BY sp) AS ps FROM ph GROUP BY ALL)
 SELECT unit_id, file, concat_ws(', ', array_to_string(ps, ', '), CASE WHEN s>0 THEN 'secrets file touched' END, CASE WHEN fl>1 THEN 'flipped after pushback '||fl||'x' WHEN fl=1 THEN 'flipped after pushback' END, CASE WHEN uc>1 THEN 'user-corrected '||uc||'x' WHEN uc=1 THEN 'user-corrected' END, CASE WHEN tr>0 THEN 'self-reverted '||tr||'x' END, CASE WHEN lw>0 THEN lw||' large write'||CASE WHEN lw>1 THEN 's' ELSE '' END||' accepted instantly' END) AS reason FROM nr2 LEFT JOIN pl USING (unit_id, file) WHERE pos<=3"""))
 def x15(spark, d):
     a, t = cached_actions(spark, d)
-    f = detect.all_findings(a, t)
+    f = kept_findings(a, t)
     return rank.needs_review(f, rank.rank_files(f, a)).select(big("unit_id"), "file", rank.reason_sentence().alias("reason"))
 
 
