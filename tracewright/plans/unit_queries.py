@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars as X
-from ..operators import adapters, detect, order, rank
+from ..operators import adapters, detect, order, rank, relations
 from . import base_sql as B
 
 QUERIES: dict = {}
@@ -153,19 +153,12 @@ def w16(spark, d):
 
 @query("j05_asof_backward", B.sql(B.TURNS, "SELECT a.unit_id, a.idx, (SELECT max(t.line_no) FROM t WHERE t.unit_id=a.unit_id AND t.line_no<a.line_no) AS turn_line FROM a"))
 def j05(spark, d):
-    a, t = cached_actions(spark, d)
-    both = a.select("unit_id", "line_no", "idx", F.lit(None).cast("bigint").alias("turn_line")).unionByName(t.select("unit_id", "line_no", F.lit(None).cast("bigint").alias("idx"), F.col("line_no").cast("bigint").alias("turn_line")))
-    w = Window.partitionBy("unit_id").orderBy("line_no", F.col("idx").isNull()).rowsBetween(Window.unboundedPreceding, -1)
-    return both.select("unit_id", "idx", F.last("turn_line", ignorenulls=True).over(w).alias("turn_line")).where("idx is not null").select(big("unit_id"), big("idx"), big("turn_line"))
+    return relations.asof_backward(*cached_actions(spark, d), ["unit_id"]).select(big("unit_id"), "idx", big("turn_line"))
 
 
 @query("j06_asof_forward", B.sql(B.TURNS, "SELECT t.unit_id, t.line_no, coalesce((SELECT min(a.idx) FROM a WHERE a.unit_id=t.unit_id AND a.line_no>=t.line_no), (SELECT max(a.idx) FROM a WHERE a.unit_id=t.unit_id)) AS idx FROM t"))
 def j06(spark, d):
-    a, t = cached_actions(spark, d)
-    both = a.select("unit_id", "line_no", "idx", F.lit(False).alias("turn")).unionByName(t.select("unit_id", "line_no", F.lit(None).cast("bigint").alias("idx"), F.lit(True).alias("turn")))
-    ahead = Window.partitionBy("unit_id").orderBy("line_no").rangeBetween(0, Window.unboundedFollowing)
-    rows = both.select("unit_id", "line_no", "turn", F.coalesce(F.min("idx").over(ahead), F.max("idx").over(Window.partitionBy("unit_id"))).alias("at"))
-    return rows.where("turn").select(big("unit_id"), big("line_no"), big("at", "idx"))
+    return relations.asof_forward(*cached_actions(spark, d), ["unit_id"]).select(big("unit_id"), big("line_no"), "idx")
 
 
 @query("j07_interval_overlap", B.sql(B.FINDINGS, "SELECT unit_id, file_path, idx, e AS earlier FROM ov"))
@@ -209,17 +202,14 @@ def j13(spark, d):
 w AS (SELECT *, lag(b) OVER (PARTITION BY project ORDER BY b, sha) AS a FROM c)
 SELECT w.project, w.sha, count(*) AS sessions FROM w JOIN tr ON tr.project=w.project AND tr.last>w.a AND tr.first<=w.b WHERE w.a IS NOT NULL GROUP BY ALL"""))
 def j14(spark, d):
-    s = adapters.transcripts_from_events(spark, d)
-    w = commit_windows(spark, d).where("start is not null").alias("w")
-    hit = w.join(s.alias("s"), (F.col("w.project") == F.col("s.project")) & (F.col("s.last") > F.col("w.start")) & (F.col("s.first") <= F.col("w.end")))
-    return hit.groupBy(F.col("w.project").alias("project"), "sha").agg(F.count("*").alias("sessions"))
+    hit = relations.sessions_in_windows(adapters.transcripts_from_events(spark, d), commit_windows(spark, d))
+    return hit.groupBy("project", "sha").agg(F.count("*").alias("sessions"))
 
 
 def commit_windows(spark: SparkSession, d: str) -> DataFrame:
     """Purchases stand in for a project's commits; each window begins at the commit before it."""
     ev = adapters.events(spark, d).where("event_type = 'purchase'")
-    c = ev.select((F.col("user_id") % 50).alias("project"), F.col("event_id").alias("sha"), F.unix_seconds("ts").alias("end"))
-    return c.withColumn("start", F.lag("end").over(Window.partitionBy("project").orderBy("end", "sha")))
+    return relations.commit_windows(ev.select((F.col("user_id") % 50).alias("project"), F.col("event_id").alias("sha"), F.unix_seconds("ts").alias("epoch")))
 
 
 @query("j15_commit_windows", """SELECT user_id%50 AS project, event_id AS sha, lag(CAST(floor(epoch(ts)) AS BIGINT)) OVER (PARTITION BY user_id%50 ORDER BY CAST(floor(epoch(ts)) AS BIGINT), event_id) AS "start", CAST(floor(epoch(ts)) AS BIGINT) AS "end" FROM events WHERE event_type='purchase'""")
@@ -244,17 +234,7 @@ def j18(spark, d):
 
 
 def locate(hits: DataFrame) -> DataFrame:
-    """(marker, sessions, verdict, candidates): the sessions that hold a marker, the five newest named.
-
-    The rank stands alone in its window, so each task keeps five rows a marker before the shuffle; the
-    count is a grouped one.
-    """
-    m = hits.groupBy("marker", "user_id").agg(F.max("ts").alias("mtime"))
-    n = m.groupBy("marker").agg(F.count("*").alias("n")).select(F.col("marker").alias("_marker"), "n")
-    r = m.withColumn("rn", F.row_number().over(Window.partitionBy("marker").orderBy(F.desc("mtime"), F.asc_nulls_last("user_id")))).where("rn <= 5")
-    c = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", "user_id"))), lambda x: x["user_id"].cast("string")), ",")
-    top = r.groupBy("marker").agg(c.alias("candidates")).join(n, F.col("marker").eqNullSafe(F.col("_marker")))
-    return top.select(big("marker"), big("n", "sessions"), F.when(F.col("n") == 1, "verified").otherwise("ambiguous").alias("verdict"), "candidates")
+    return relations.locate(hits).select(big("marker"), big("n", "sessions"), "verdict", "candidates")
 
 
 # ---- aggregates ----------------------------------------------------------------------------
@@ -278,7 +258,7 @@ def usage(spark: SparkSession, d: str) -> DataFrame:
     """Order lines as usage lines of a message (the order) of a session (the customer); the last wins."""
     li, o = spark.read.parquet(f"{d}/lineitem.parquet"), spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_custkey")
     u = F.struct(F.col("l_quantity").cast("bigint").alias("input"), (F.col("l_partkey") % 1000).cast("bigint").alias("output"), F.col("l_suppkey").cast("bigint").alias("cache_read"), F.col("l_linenumber").cast("bigint").alias("creation"))
-    last = li.groupBy("l_orderkey").agg(F.max_by(u, F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")).alias("u"))
+    last = relations.last_wins(li, ["l_orderkey"], u, F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"), "u")
     return last.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "o_custkey", "u.*")
 
 
@@ -297,20 +277,18 @@ def a03(spark, d):
 @query("d02_tool_use_first_wins", "WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_id%101 ORDER BY ts, event_id) AS rn FROM events) SELECT user_id AS unit_id, event_id FROM x WHERE rn=1 OR event_id%101=0")
 def d02(spark, d):
     ev = adapters.events(spark, d).withColumn("tool", F.when(F.col("event_id") % 101 != 0, F.col("event_id") % 101))
-    rn = F.row_number().over(Window.partitionBy("user_id", "tool").orderBy("ts", "event_id"))
-    return ev.withColumn("rn", rn).where("rn = 1 or tool is null").select(F.col("user_id").alias("unit_id"), "event_id")
+    return relations.first_wins(ev, ["user_id"], "tool", ["ts", "event_id"]).select(F.col("user_id").alias("unit_id"), "event_id")
 
 
 @query("d03_result_last_wins", "SELECT user_id AS unit_id, event_id%101 AS tool, arg_max(event_type, (ts, event_id)) AS result FROM events GROUP BY ALL")
 def d03(spark, d):
     ev = adapters.events(spark, d)
-    return ev.groupBy(F.col("user_id").alias("unit_id"), (F.col("event_id") % 101).alias("tool")).agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("result"))
+    return relations.last_wins(ev, [F.col("user_id").alias("unit_id"), (F.col("event_id") % 101).alias("tool")], F.col("event_type"), F.struct("ts", "event_id"), "result")
 
 
 @query("d05_finding_idxs", B.sql(B.FINDINGS, "SELECT unit_id, array_to_string(list_sort(list_distinct(flatten(list(idxs)))), ',') AS idxs FROM f GROUP BY unit_id"))
 def d05(spark, d):
-    f = findings_of(spark, d).groupBy("unit_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("idxs")))).alias("idxs"))
-    return f.select(big("unit_id"), joined())
+    return relations.finding_idxs(findings_of(spark, d)).select(big("unit_id"), joined())
 
 
 OVERVIEW = """count(*) AS actions, count(DISTINCT file_path) AS files_touched, count(*) FILTER (kind='Edit') AS edits, count(*) FILTER (kind='Write') AS writes, count(*) FILTER (kind='Read') AS reads, count(*) FILTER (kind='Bash') AS bash,
@@ -330,7 +308,7 @@ def a04(spark, d):
 
 @query("a05_tool_error_rates", B.sql(B.ACTIONS, "SELECT unit_id, kind, count(*) FILTER (is_error) AS failed, count(*) AS total FROM a GROUP BY ALL"))
 def a05(spark, d):
-    return acts(spark, d).groupBy(big("unit_id"), "kind").agg(F.count_if("is_error").alias("failed"), F.count("*").alias("total"))
+    return relations.tool_error_rates(acts(spark, d)).select(big("unit_id"), "kind", "failed", "total")
 
 
 @query("a06_validation_share", B.sql(B.ACTIONS, "SELECT unit_id, round(coalesce(avg(CASE WHEN command LIKE '%test%' OR command LIKE '%lint%' THEN 1.0 ELSE 0.0 END) FILTER (kind='Bash'),0.0),6) AS share FROM a GROUP BY ALL"))
@@ -362,13 +340,12 @@ def a10(spark, d):
 
 @query("a11_changed_lines", B.sql(B.ACTIONS, "SELECT unit_id, file_path AS file, CAST(sum(write_lines) AS BIGINT) AS changed_lines FROM a WHERE kind IN ('Edit','Write') AND is_error=false GROUP BY ALL"))
 def a11(spark, d):
-    a = acts(spark, d).where(X.is_edit(F.col("kind")) & (F.col("is_error") == F.lit(False)))
-    return a.groupBy(big("unit_id"), F.col("file_path").alias("file")).agg(F.sum("write_lines").alias("changed_lines"))
+    return relations.changed_lines(acts(spark, d)).select(big("unit_id"), "file", "changed_lines")
 
 
 @query("a13_lane_merge", B.sql(B.ACTIONS, "SELECT unit_id, coalesce(lane,'main') AS lane, count(*) AS actions, bool_or(auto_here) FILTER (lane IS NULL) AS main_auto FROM a GROUP BY ALL"))
 def a13(spark, d):
-    return acts(spark, d).groupBy(big("unit_id"), F.coalesce("lane", F.lit("main")).alias("lane")).agg(F.count("*").alias("actions"), F.bool_or(F.when(F.col("lane").isNull(), F.col("auto_accept_here"))).alias("main_auto"))
+    return relations.lane_counters(acts(spark, d)).select(big("unit_id"), "lane", "actions", "main_auto")
 
 
 @query("a14_unit_merge", B.sql(B.UNITS, "SELECT project, CAST(unit AS BIGINT) AS unit, count(*) AS sessions, CAST(sum(lines) AS BIGINT) AS lines, arg_min(path, (first, path)) AS oldest FROM un GROUP BY ALL"))
@@ -379,8 +356,7 @@ def a14(spark, d):
 
 @query("a15_latency_active", B.sql(B.ACTIONS, "SELECT unit_id, coalesce(bool_or(NOT auto_here) FILTER (lane IS NULL), NOT bool_or(auto_here)) AS active FROM a GROUP BY ALL"))
 def a15(spark, d):
-    main = F.bool_or(F.when(F.col("lane").isNull(), ~F.col("auto_accept_here")))
-    return acts(spark, d).groupBy(big("unit_id")).agg(F.coalesce(main, ~F.bool_or("auto_accept_here")).alias("active"))
+    return relations.latency_active(acts(spark, d)).select(big("unit_id"), "active")
 
 
 @query("a16_multi_scope", B.sql(B.ACTIONS, f"SELECT project, unit_id, CAST(grouping(project, unit_id) AS BIGINT) AS level, {OVERVIEW} FROM a GROUP BY GROUPING SETS ((project, unit_id), (project), ())"))
