@@ -86,12 +86,12 @@ def missing_children(spawned: DataFrame, foldered: DataFrame, claims: DataFrame,
 def assemble(lines: DataFrame, idle_s: int = order.IDLE_S, cap: int = order.MEMBERS) -> Units:
     """The tables of all units in (file, session_id, agent_id, line_no, value) lines."""
     events = written(T.parse(lines).drop("value"), "events")  # read for spans, claims, calls, turns and counters
-    members = unit_members(events, idle_s, cap)
+    members = written(unit_members(events, idle_s, cap), "members")
     kept = members.where("kept").select("unit_id", "session_id", "session_ix")
     owned = own_files(events)
     b = T.blocks(owned.where("session_id is not null"))
     spawned = T.spawns(T.tool_calls(b.where("agent_id is null")), T.results(b.where("agent_id is null")))
-    claims = T.sibling_claims(owned, spawned, kept)
+    claims = written(T.sibling_claims(owned, spawned, kept), "claims")  # small, and every table below needs it
     rows = T.with_siblings(owned, claims).join(kept, "session_id")
     calls_of = T.blocks(rows)
     calls, got = T.tool_calls(calls_of), T.results(calls_of)
