@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, lattice_dedup, media, mixing, packing, quality, simhash, suffix_dedup, token_counts, toxicity
+from . import chat, exact_dedup, lattice_dedup, media, mixing, packing, quality, repair, simhash, suffix_dedup, token_counts, toxicity
 from .common import read_table
 
 
@@ -69,12 +69,29 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_copies").alias("copies"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents as the first snapshot, the others in two batches after it."""
+    return exact_dedup.exact_duplicates(exact_dedup.deal(read_table(spark, sf_dir, "documents"), (2, 1, 1), "doc_id"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lattice_dedup, op2_simhash, op4_packing, op5_media, op6_token_counts, op7_mixing, op8_chat, op9_suffix_dedup, op3_toxicity, op10_quality)
+    f.__name__: f for f in (op1_lattice_dedup, op2_simhash, op4_packing, op5_media, op6_token_counts, op7_mixing, op8_chat, op9_suffix_dedup, op3_toxicity, op10_quality, op12_exact_dedup, op13_conversation_repair)
 }
 
 OWN = "<|im_end|><|im_start|>assistant ok"
 
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string in SQL, a byte and then a bit at a time."""
+    byte = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)), xor(c, b))"
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda y: CAST(ascii(y) AS BIGINT)), lambda c, b: {byte}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
 SQL: dict[str, str] = {
     # every pair of usable vectors, and reachability along the links
     "op1_lattice_dedup": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
@@ -92,4 +109,28 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 coalesce(CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
 coalesce(CAST(sum(upto) FILTER (role = 'assistant') AS BIGINT), 0) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples, coalesce(CAST(sum(upto) FILTER (role = 'assistant') AS BIGINT), 0) AS expanded_chars
 FROM w GROUP BY conv_id""",
+    # of equal texts the longest original, then the smallest id
+    "op12_exact_dedup": r"""WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
+w AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w""",
+    # each state's least (cost, audit) row by row, audits whole; then the rows that an audit leaves
+    "op13_conversation_repair": rf"""WITH RECURSIVE src AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+k AS (SELECT *, {_crc32("key || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS k FROM src),
+hurt AS (SELECT key, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE k <> 0),
+ord AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, text, copy) AS pos FROM hurt),
+f AS (SELECT *, left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY key ORDER BY pos) AS prev, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY key, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' END AS fault FROM ord),
+ins(a, b, w, c) AS (VALUES (0, 0, '', 0), (1, 1, '', 0), (2, 2, '', 0), (3, 3, '', 0), (0, 2, 'I', 2), (1, 2, 'I', 2), (2, 3, 'I', 2), (3, 2, 'I', 2), (0, 3, 'II', 4), (1, 3, 'II', 4), (2, 2, 'II', 4), (3, 3, 'II', 4)),
+mv(a, b, r) AS (VALUES (0, 1, 's'), (0, 2, 'u'), (1, 2, 'u'), (3, 2, 'u'), (2, 3, 'a')),
+way AS (SELECT key, pos, st.s AS a, st.s AS b, 3 AS c, 'D' AS x FROM f, (VALUES (0), (1), (2), (3)) st(s) UNION ALL SELECT key, pos, a, b, CASE WHEN fault IS NULL THEN 0 ELSE 1 END, 'K' FROM f JOIN mv ON r = ini WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate') UNION ALL SELECT key, pos, a, b, CASE WHEN fault IS NULL THEN 2 ELSE 3 END, 'R' FROM f JOIN mv ON r IN ('u', 'a') WHERE coalesce(fault, '') NOT IN ('blank', 'duplicate')),
+step AS (SELECT way.key, way.pos, ins.a, way.b, min({{'c': CAST(ins.c + way.c AS BIGINT), 'w': ins.w || way.x}}) AS best FROM way JOIN ins ON ins.b = way.a GROUP BY ALL),
+dp AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS pos, 0 AS s, {{'c': CAST(0 AS BIGINT), 'w': ''}} AS best FROM f UNION ALL SELECT dp.key, step.pos, step.b, min({{'c': dp.best.c + step.best.c, 'w': dp.best.w || step.best.w}}) FROM dp JOIN step ON step.key = dp.key AND step.pos = dp.pos + 1 AND step.a = dp.s GROUP BY 1, 2, 3),
+done AS (SELECT dp.key, min({{'c': dp.best.c + ins.c, 'w': dp.best.w || ins.w}}) AS best FROM dp JOIN (SELECT key, max(pos) AS n FROM f GROUP BY key) z ON z.key = dp.key AND z.n = dp.pos JOIN ins ON ins.a = dp.s AND ins.b IN (0, 3) GROUP BY dp.key),
+tok AS (SELECT key, unnest(regexp_extract_all(best.w, 'I*[DKR]|I+$')) AS t, generate_subscripts(regexp_extract_all(best.w, 'I*[DKR]|I+$'), 1) AS pos FROM done),
+ltr AS (SELECT key, pos, unnest(string_split(t, '')) AS x, generate_subscripts(string_split(t, ''), 1) AS i FROM tok),
+line AS (SELECT ltr.*, f.role, f.text, row_number() OVER (PARTITION BY ltr.key ORDER BY ltr.pos, i) AS j FROM ltr LEFT JOIN f ON f.key = ltr.key AND f.pos = ltr.pos WHERE x <> 'D'),
+fin AS (SELECT *, max(CASE WHEN j = 1 AND x = 'K' AND left(role, 1) = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY key) AS sys FROM line),
+sha AS (SELECT key, sha256(string_agg(CASE WHEN x = 'K' THEN role WHEN (j - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE text END, chr(10) ORDER BY j)) AS h FROM fin GROUP BY key),
+cnt AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY key)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.w, '') AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, key FROM src) LEFT JOIN cnt USING (key) LEFT JOIN done USING (key) LEFT JOIN sha USING (key)""",
 }
