@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import chat, exact_dedup, lattice_dedup, media, mixing, packing, quality, repair, simhash, suffix_dedup, token_counts, toxicity
+from . import chat, exact_dedup, lattice_dedup, media, mixing, packing, prefix_trie, quality, repair, simhash, suffix_dedup, token_counts, toxicity
 from .common import read_table
 
 
@@ -78,8 +78,13 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair(read_table(spark, sf_dir, "conversations"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the sequences first, then the others into the trie of these."""
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"), (1, 3))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lattice_dedup, op2_simhash, op4_packing, op5_media, op6_token_counts, op7_mixing, op8_chat, op9_suffix_dedup, op3_toxicity, op10_quality, op12_exact_dedup, op13_conversation_repair)
+    f.__name__: f for f in (op1_lattice_dedup, op2_simhash, op4_packing, op5_media, op6_token_counts, op7_mixing, op8_chat, op9_suffix_dedup, op3_toxicity, op10_quality, op11_prefix_trie, op12_exact_dedup, op13_conversation_repair)
 }
 
 OWN = "<|im_end|><|im_start|>assistant ok"
@@ -109,6 +114,19 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 coalesce(CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
 coalesce(CAST(sum(upto) FILTER (role = 'assistant') AS BIGINT), 0) AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples, coalesce(CAST(sum(upto) FILTER (role = 'assistant') AS BIGINT), 0) AS expanded_chars
 FROM w GROUP BY conv_id""",
+    # whole prefixes as keys; a node's subtree are the nodes that have it among the prefixes of their least member
+    "op11_prefix_trie": f"""WITH own AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS donor, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+r AS (SELECT i.conv_id, 0 AS part, pos, role, text FROM ids i JOIN own o ON o.conv_id = i.donor AND o.pos <= i.h UNION ALL SELECT conv_id, 1, pos, role, text FROM ids JOIN own USING (conv_id) WHERE pos > h),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS depth, length(role) || ':' || role || length(text) || ':' || text AS s, length(text) AS len FROM r),
+p AS (SELECT conv_id, depth, len, sha256(string_agg(s, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k FROM t),
+a AS (SELECT conv_id, 0 AS depth, '' AS k, NULL AS pk, 0 AS len FROM ids UNION ALL SELECT conv_id, depth, k, coalesce(lag(k) OVER (PARTITION BY conv_id ORDER BY depth), ''), len FROM p),
+z AS (SELECT conv_id, max(depth) AS size FROM a GROUP BY conv_id),
+n AS (SELECT depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(pk) AS pk, any_value(len) AS len, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (depth = size), '')) AS ends_sha256 FROM a JOIN z USING (conv_id) GROUP BY depth, k),
+c AS (SELECT pk AS k, count(*) AS n_children FROM n WHERE pk IS NOT NULL GROUP BY pk),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN c USING (k)),
+s AS (SELECT a.k, count(*) FILTER (m.n_children = 0) AS n_leaves, CAST(sum((m.n_convs - 1) * m.len) AS BIGINT) AS saved_tokens FROM m JOIN a ON a.conv_id = m.conv_id AND a.depth <= m.depth GROUP BY a.k)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256 FROM m JOIN s USING (k) LEFT JOIN n q ON q.k = m.pk""",
     # of equal texts the longest original, then the smallest id
     "op12_exact_dedup": r"""WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 w AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM t)
