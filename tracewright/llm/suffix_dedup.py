@@ -16,9 +16,11 @@ document or another. Which starts repeat is found in four steps:
    than one task should hold are dealt out as pairs of chunks.
 
 Windows identical elsewhere repeat as a whole. No window is dropped, whatever its anchor's count.
+Texts are told apart by 128 bits of hash. A text that several rows have is read for its windows once a
+task, and all its rows lose all of it, so copies cost what they cost to read.
 
-Defined cases: null and empty texts and those shorter than ``length`` keep all; rows with equal id
-and text repeat each other; ids may be null; an empty table gives an empty table; documents of any
+Defined cases: null and empty texts and those shorter than ``length`` keep all; rows of equal text, with
+equal ids or not, repeat each other; ids may be null; an empty table gives an empty table; documents of any
 size are cut into overlapping stretches of starts; other columns are ignored
 unless carried, whatever their names.
 """
@@ -286,34 +288,60 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield b.slice(at, ROWS)
 
 
-WINDOWS = "anchor long, wid long, rid long, starts binary, n int, win binary"
-_WINDOWS_ARROW = pa.schema([("anchor", pa.int64()), ("wid", pa.int64()), ("rid", pa.int64()), ("starts", pa.binary()), ("n", pa.int32()), ("win", pa.binary())])
+#: Texts that a task remembers as read.
+REMEMBERED = 100_000
+TEXT = ["rid", "rid2"]
+WINDOWS = "anchor long, wid long, rid long, rid2 long, starts binary, n int, win binary"
+_WINDOWS_ARROW = pa.schema([("anchor", pa.int64()), ("wid", pa.int64()), ("rid", pa.int64()), ("rid2", pa.int64()), ("starts", pa.binary()), ("n", pa.int32()), ("win", pa.binary())])
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Each document's anchors, with 2 for those it has more than once and 1 for others."""
+    """Each text's anchors, with 2 for those it has more than once and 1 for others; its first one counts its rows.
+
+    Of a text that the task has met before only that count goes on, with its first anchor.
+    """
+    met: dict[tuple[int, int], int] = {}
     for b in _slices(batches):
-        found, owner, many = [], [], []
-        for rid, raw in zip(b.column("rid").to_pylist(), b.column("raw").to_pylist(), strict=True):
-            for _, x in stretches(raw, length):
+        found, owner, many, copies = [], [], [], []
+        for *text, raw in zip(*(b.column(c).to_pylist() for c in (*TEXT, "raw")), strict=True):
+            if (again := met.get(tuple(text))) is not None:
+                found.append(np.array([again], np.uint64))
+                owner.append(np.array([text]))
+                many.append(np.ones(1, np.int64))
+                copies.append(np.ones(1, np.int32))
+                continue
+            for at, x in stretches(raw, length):
                 h, n = np.unique(anchors(x, length)[0], return_counts=True)
+                if not at:
+                    if len(met) >= REMEMBERED:
+                        met.clear()
+                    met[tuple(text)] = int(h[0])
                 found.append(h)
-                owner.append(np.full(len(h), rid, np.int64))
+                owner.append(np.tile(np.array(text), (len(h), 1)))
                 many.append(np.minimum(n, 2))
+                copies.append((np.arange(len(h)) == 0).astype(np.int32) if not at else np.zeros(len(h), np.int32))
         if found:
-            cols = [np.concatenate(found).view(np.int64), np.concatenate(owner), np.concatenate(many).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", "rid", "n"])
+            own = np.concatenate(owner)
+            cols = [np.concatenate(found).view(np.int64), own[:, 0], own[:, 1], np.concatenate(many).astype(np.int32), np.concatenate(copies)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["anchor", *TEXT, "n", "copies"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Windows of the anchors in ``anchors``: a row with the text for each distinct window of a batch,
-    and a row with the starts for each document that has it."""
+    and a row with the starts for each document that has it, unless other rows have its whole text (``twin``)."""
     import xxhash
 
+    met: set[tuple[int, int]] = set()
     for b in _slices(batches):
         texts: dict[tuple[int, bytes], int] = {}
         rows: list[tuple] = []
-        for rid, raw, wanted in zip(b.column("rid").to_pylist(), b.column("raw").to_pylist(), b.column("anchors"), strict=True):
+        for *rid, raw, twin, wanted in zip(*(b.column(c).to_pylist() for c in (*TEXT, "raw", "twin")), b.column("anchors"), strict=True):
+            if twin:
+                if tuple(rid) in met:
+                    continue
+                if len(met) >= REMEMBERED:
+                    met.clear()
+                met.add(tuple(rid))
             wanted = np.unique(wanted.values.to_numpy()).view(np.uint64)
             own: dict[tuple[int, bytes], list[int]] = {}
             for at, x in stretches(raw, length):
@@ -322,22 +350,25 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                     lo = at + int(first[i])
                     own.setdefault((int(h[i].view(np.int64)), raw[lo : at + int(last[i]) + length]), []).append(lo)
             for key, starts in own.items():
-                texts[key] = texts.get(key, 0) + len(starts)
-                rows.append((key, rid, np.array(starts, "<i4").tobytes()))
+                texts[key] = texts.get(key, 0) + len(starts) + bool(twin)
+                if not twin:
+                    rows.append((key, *rid, np.array(starts, "<i4").tobytes()))
         name = {key: (xxhash.xxh64_intdigest(key[1]) ^ (1 << 63)) - (1 << 63) for key in texts}
         for at in range(0, len(rows), 50_000):
             some = rows[at : at + 50_000]
             k = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in some], pa.int64()), pa.array([name[r[0]] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_WINDOWS_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array([r[0][0] for r in some], pa.int64()), pa.array([name[r[0]] for r in some], pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array([r[2] for r in some], pa.int64()), pa.array([r[3] for r in some], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=_WINDOWS_ARROW)
         keys = list(texts)
         for at in range(0, len(keys), 10_000):
             some = keys[at : at + 10_000]
             k = len(some)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([name[x] for x in some], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([min(texts[x], 2) for x in some], pa.int32()), pa.array([x[1] for x in some], pa.binary())], schema=_WINDOWS_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([name[x] for x in some], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([min(texts[x], 2) for x in some], pa.int32()), pa.array([x[1] for x in some], pa.binary())], schema=_WINDOWS_ARROW)
 
 
-def _cut(raw: bytes, spans: list[dict] | None, length: int, characters: bool = False) -> tuple[int, int, bytes]:
-    """(bytes removed, removed runs, the rest); with ``characters`` those that are cut in part go whole."""
+def _cut(raw: bytes, spans: list[dict] | None, twin: bool | None, length: int, characters: bool = False) -> tuple[int, int, bytes]:
+    """(bytes removed, removed runs, the rest); a twin goes whole, with ``characters`` those that are cut in part."""
+    if twin and len(raw) >= length:
+        return len(raw), 1, b""
     if not spans:
         return 0, 0, raw
     step = np.zeros(len(raw) + 1, np.int32)
@@ -374,11 +405,12 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
         raise ValueError(f"length must be at least {ANCHOR + 8}")
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     own = [f"_c{i}" for i in range(len(carry))]  # carried columns may have any name meanwhile
-    docs = df.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)], F.xxhash64(id_col, text_col).alias("rid"), raw.alias("raw"))
-    seen = materialise(docs.select("rid", "raw").mapInArrow(lambda it: _anchor_rows(it, length), "anchor long, rid long, n int"), "anchors")
+    docs = df.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(o) for c, o in zip(carry, own, strict=True)], F.xxhash64(raw).alias("rid"), F.xxhash64(F.lit(1), raw).alias("rid2"), raw.alias("raw"))
+    seen = materialise(docs.select(*TEXT, "raw").mapInArrow(lambda it: _anchor_rows(it, length), "anchor long, rid long, rid2 long, n int, copies int"), "anchors")
+    twins = materialise(seen.where("copies > 0").groupBy(*TEXT).agg(F.sum("copies").alias("copies")).where("copies > 1").select(*TEXT, F.lit(True).alias("twin")), "twins")
     twice = seen.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    wanted = seen.join(twice, "anchor", "left_semi").groupBy("rid").agg(F.collect_list("anchor").alias("anchors"))
-    windows = materialise(docs.select("rid", "raw").join(wanted, "rid").mapInArrow(lambda it: _window_rows(it, length), WINDOWS), "windows")
+    wanted = seen.join(twice, "anchor", "left_semi").groupBy(*TEXT).agg(F.collect_set("anchor").alias("anchors")).join(twins, TEXT, "left")
+    windows = materialise(docs.select(*TEXT, "raw").join(wanted, TEXT).mapInArrow(lambda it: _window_rows(it, length), WINDOWS), "windows")
     release(seen)
 
     texts = windows.where("win is not null")
@@ -388,14 +420,15 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
         dealt = _dealt(texts.select("anchor", "wid", "n", "win"), hot)
     runs = dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part", "wid").mapInArrow(lambda it: _shard_rows(it, length), "anchor long, wid long, runs binary")
 
-    places = windows.where("starts is not null").select("anchor", "wid", "rid", "starts")
-    spans = places.join(runs, ["anchor", "wid"]).groupBy("rid").agg(F.collect_list(F.struct("starts", "runs")).alias("spans"))
+    places = windows.where("starts is not null").select("anchor", "wid", *TEXT, "starts")
+    spans = places.join(runs, ["anchor", "wid"]).groupBy(*TEXT).agg(F.collect_list(F.struct("starts", "runs")).alias("spans"))
+    gone = spans.withColumn("twin", F.lit(False)).unionByName(twins.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
     names = ["doc_id", *carry]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _slices(batches):
             raws = b.column("raw").to_pylist()
-            out = [_cut(r, s, length, characters) for r, s in zip(raws, b.column("spans").to_pylist(), strict=True)]
+            out = [_cut(r, s, t, length, characters) for r, s, t in zip(raws, b.column("spans").to_pylist(), b.column("twin").to_pylist(), strict=True)]
             cols = [b.column(c) for c in ["doc_id", *own]]
             cols += [pa.array([len(r) for r in raws], pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, [*names, "n_bytes", "n_removed", "n_spans", "kept"])
@@ -404,4 +437,4 @@ def remove_repeats(df: DataFrame, length: int = 200, id_col: str = "doc_id", tex
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[o]}" for c, o in zip(names, ["doc_id", *own], strict=True)) + ", n_bytes long, n_removed long, n_spans long, kept binary"
     # an anchor of several parts gives the runs of a window once a part; they add up
-    return docs.join(spans, "rid", "left").mapInArrow(cut, schema)
+    return docs.join(gone, TEXT, "left").mapInArrow(cut, schema)
