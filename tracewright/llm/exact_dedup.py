@@ -130,6 +130,10 @@ def _filters(digests: DataFrame, shards: int) -> DataFrame:
     return digests.select(_shard(shards).alias("shard"), "h").groupBy("shard").applyInArrow(build, FILTERS)
 
 
+def _sha(norm: Column) -> Column:
+    return F.unhex(F.sha2(norm, 256))
+
+
 def _shard(shards: int) -> Column:
     return F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")
 
@@ -154,14 +158,15 @@ def screen(digests: DataFrame, many: int, snapshot: Snapshot) -> DataFrame:
 
 
 def take_in(batch: DataFrame, snapshots: list[Snapshot]) -> tuple[DataFrame, Snapshot]:
-    """A batch of (id, n, h, sha, norm) against earlier snapshots.
+    """A batch of (id, n, h, norm) against earlier snapshots.
 
     Gives (h, sha, best, copies, owner) of the batch's distinct texts, owner the number of the snapshot
     that had the text first, and the batch as a snapshot of its own.
     """
     number = len(snapshots)
     best = F.max(F.struct("n", F.bitwise_not("id").alias("not_id")))  # the largest complement is the smallest id
-    texts = bucketed(batch.groupBy("h", "norm").agg(F.first("sha").alias("sha"), best.alias("best"), F.count("n").alias("copies")), f"snapshot{number}")
+    texts = batch.groupBy("h", "norm").agg(best.alias("best"), F.count("n").alias("copies")).withColumn("sha", _sha(F.col("norm")))
+    texts = bucketed(texts, f"snapshot{number}")
     many = texts.count()
     links = texts.select("h", "sha", "best", "copies", F.lit(None).cast("int").alias("owner"))
     if snapshots:
@@ -196,7 +201,7 @@ def exact_duplicates(batches: list[DataFrame], id_col: str = "doc_id", text_col:
     """(doc_id, keep_id, group_size, kept, text_sha256) of every row of the batches, taken in one after another."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = [
-        b.select(F.col(id_col).cast("long").alias("id"), F.length(text).alias("n"), F.translate(text, WHITE, "").alias("norm")).withColumn("h", digest(F.col("norm"))).withColumn("sha", F.unhex(F.sha2("norm", 256)))
+        b.select(F.col(id_col).cast("long").alias("id"), F.length(text).alias("n"), F.translate(text, WHITE, "").alias("norm")).withColumn("h", digest(F.col("norm")))
         for b in batches
     ]
     snapshots: list[Snapshot] = []
@@ -209,8 +214,9 @@ def exact_duplicates(batches: list[DataFrame], id_col: str = "doc_id", text_col:
     key = ["batch", "h", "sha"]
     members = None
     for k, batch in enumerate(rows):
-        some = batch.select(F.lit(k).alias("batch"), "h", "sha", "id", "n")
+        some = batch.select(F.lit(k).alias("batch"), "h", _sha(F.col("norm")).alias("sha"), "id", "n")
         members = some if members is None else members.unionByName(some)
+    members = materialise(members, "members")
     groups = links.groupBy("owner", "h", "sha").agg(F.max("best").alias("best"), F.sum("copies").alias("size"))
     resolved = links.select(*key, "owner").join(groups, ["owner", "h", "sha"])
     resolved = resolved.select(*key, "owner", F.col("best.n").alias("keep_n"), F.bitwise_not("best.not_id").alias("keep_id"), "size")
