@@ -39,9 +39,9 @@ TASK_VECTORS = 4096
 SIGNS = 17
 #: Pairs compared by their signs at once; pairs of a cell from which on it is one product.
 CHUNK, MATRIX = 1 << 21, 1 << 14
-#: Shapes by the number of distinct vectors: more blocks make more cells. Tests measure the recall of each.
+#: More blocks make more cells, which large tables need; DEFAULT is taken at every size. Tests measure the recall of each.
 SHAPES = {"small": {"tables": 4, "blocks": 1, "width": 0.6, "radius": 1.0}, "large": {"tables": 6, "blocks": 2, "width": 0.7, "radius": 1.0}}
-LARGE = 1_000_000
+DEFAULT = "large"
 
 
 def nearest_e8(y: np.ndarray) -> np.ndarray:
@@ -347,7 +347,7 @@ def _pair_rows(batches: Iterator[pa.RecordBatch], shape: tuple, kind: str, least
 def near_duplicates(df: DataFrame, cosine: float = 0.95, shape: dict | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Rows of (vec_id, n_links, component_id, kept) for every row of ``df``.
 
-    ``shape`` is one of SHAPES unless given: "large" for more than LARGE distinct vectors.
+    ``shape`` is SHAPES[DEFAULT] unless given, whatever the number of vectors.
     """
     kind = "<f4" if dict(df.dtypes)[vector_col] == "array<float>" else "<f8"
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("embedding")).mapInArrow(lambda it: _vectors(it, kind), "vec_id long, x binary")
@@ -355,8 +355,7 @@ def near_duplicates(df: DataFrame, cosine: float = 0.95, shape: dict | None = No
     rows = materialise(rows.select("*", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(7), "x").alias("h2")), "vectors")
     nodes = rows.where("x is not null").groupBy("h1", "h2").agg(F.first("x").alias("x"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    if shape is None:
-        shape = SHAPES["small" if nodes.count() <= LARGE else "large"]
+    shape = shape or SHAPES[DEFAULT]
     form = (shape["tables"], shape["blocks"], shape["width"], shape["radius"])
     given = nodes.select("node", "x")
     cells = given.mapInArrow(lambda it: _cell_rows(it, form, kind, False), CELLS)
