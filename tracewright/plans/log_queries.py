@@ -254,11 +254,6 @@ def c06b(spark, d):
 
 # ---- extraction from raw lines -----------------------------------------------------------------
 
-@query("s02_read_lines", B.sql(LOGS, "SELECT file, count(*) AS lines, CAST(max(line_no) AS BIGINT) AS last_line FROM lw GROUP BY file"))
-def s02(spark, d):
-    return log_lines(spark, d).groupBy("file").agg(F.count("*").alias("lines"), F.max("line_no").alias("last_line"))
-
-
 @query("p08_user_texts", B.sql(LOGS, "SELECT file, CAST(line_no AS BIGINT) AS line_no, stamp AS effective_ts, CASE event_id%3 WHEN 0 THEN 'Human' WHEN 1 THEN 'NonHuman' ELSE 'Unknown' END AS origin, CASE WHEN event_id%4=0 THEN 'no revert that' ELSE 'please continue' END AS text FROM e3 WHERE kind='turn'"))
 def p08(spark, d):
     return T.user_texts(T.parse(log_lines(spark, d))).select("file", "line_no", "effective_ts", "origin", "text")

@@ -292,6 +292,27 @@ def landed(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, str]:
     return live.tail(spark, f"{folder}/landing", LANDED), folder
 
 
+LANDINGS = 4
+
+
+def landed_out_of_order(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, str, str]:
+    """The events in LANDINGS files, a third of each one file late, with a closing mark a year on; and how late a row may be.
+
+    The mark has no user and moves the watermark behind all events, as the last line of a closed log would.
+    """
+    e = adapters.events(spark, d).select("event_id", "ts", "user_id", "event_type", (F.col("user_id") % 50).alias("project"), F.regexp_extract("props", r"(\d+)", 1).cast("bigint").alias("k"))
+    folder = scratch_path(spark, name)
+    lo, hi = e.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).head()
+    step = ((hi or 0) - (lo or 0)) // (LANDINGS - 1) + 1
+    at = F.floor((F.unix_seconds("ts") - F.lit(lo)) / step) + F.when(F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0, 1).otherwise(0)
+    e = e.withColumn("at", at)
+    for k in range(LANDINGS):  # a file source takes files in the order in which they were written
+        e.where(F.col("at") == k).drop("at").repartition(1).write.mode("append").parquet(f"{folder}/landing")
+    mark = spark.range(1).select(F.lit(None).cast("bigint").alias("event_id"), F.timestamp_seconds(F.lit(hi or 0) + 366 * 86_400).alias("ts"), *[F.lit(None).cast(t).alias(c) for c, t in (("user_id", "bigint"), ("event_type", "string"), ("project", "bigint"), ("k", "bigint"))])
+    mark.write.mode("append").parquet(f"{folder}/landing")
+    return live.tail(spark, f"{folder}/landing", LANDED, 1), folder, f"{2 * step} seconds"
+
+
 @query("st2_stream_dedup", "SELECT user_id, event_id%1000 AS call, min(event_id%1) AS z, count(*) AS n FROM events GROUP BY ALL")
 def st2(spark, d):
     """Replays of an event are dropped: the events land twice and come out once."""
@@ -311,22 +332,22 @@ def st3(spark, d):
 
 @query("st4_stream_modes", B.sql(B.LINES, "SELECT unit_id AS user_id, event_id, auto_here AS mode FROM lines"))
 def st4(spark, d):
-    s, folder = landed(spark, d, "modes")
-    return live.run_to_table(live.carried_modes(s), folder)
+    s, folder, late = landed_out_of_order(spark, d, "modes")
+    return live.run_to_table(live.carried_modes(s, late=late), folder).where("user_id is not null")
 
 
 @query("st5_stream_loops", B.sql(B.LINES, """, c AS (SELECT *, event_type || ':' || (k%3) AS call FROM lines), b AS (SELECT *, CASE WHEN call IS DISTINCT FROM lag(call) OVER (PARTITION BY unit_id ORDER BY line_no) THEN 1 ELSE 0 END AS brk FROM c),
 i AS (SELECT *, sum(brk) OVER (PARTITION BY unit_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM b), n AS (SELECT *, row_number() OVER (PARTITION BY unit_id, run ORDER BY line_no) AS r FROM i)
 SELECT unit_id AS user_id, event_id, call, r AS repeats FROM n WHERE r>=3"""))
 def st5(spark, d):
-    s, folder = landed(spark, d, "loops")
-    return live.run_to_table(live.live_loops(s), folder)
+    s, folder, late = landed_out_of_order(spark, d, "loops")
+    return live.run_to_table(live.live_loops(s, late=late), folder).where("user_id is not null")
 
 
 @query("st6_stream_nudges", B.sql(B.LINES, ", c AS (SELECT *, count(*) FILTER (event_type IN ('click','purchase')) OVER (PARTITION BY unit_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM lines) SELECT unit_id AS user_id, event_id, n AS edits FROM c WHERE event_type IN ('click','purchase') AND n%3=0"))
 def st6(spark, d):
-    s, folder = landed(spark, d, "nudges")
-    return live.run_to_table(live.nudges(s), folder)
+    s, folder, late = landed_out_of_order(spark, d, "nudges")
+    return live.run_to_table(live.nudges(s, late=late), folder).where("user_id is not null")
 
 
 @query("st7_stream_tumbling", "SELECT CAST(floor(epoch(time_bucket(INTERVAL 1 HOUR, ts))) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

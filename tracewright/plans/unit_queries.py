@@ -217,12 +217,11 @@ def j15(spark, d):
     return commit_windows(spark, d).select(big("project"), big("sha"), big("start"), big("end"))
 
 
-@query("j16_locate_by_id", """WITH m AS (SELECT event_id%7 AS marker, user_id, max(ts) AS mtime FROM events WHERE event_id%11=0 GROUP BY ALL),
+@query("j16_locate_by_id", """WITH m AS (SELECT event_id%7 AS marker, user_id, max(ts) AS mtime FROM events GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY marker ORDER BY mtime DESC, user_id) AS rn, count(*) OVER (PARTITION BY marker) AS n FROM m)
 SELECT marker, n AS sessions, CASE WHEN n=1 THEN 'verified' ELSE 'ambiguous' END AS verdict, string_agg(CAST(user_id AS VARCHAR), ',' ORDER BY rn) AS candidates FROM r WHERE rn<=5 GROUP BY marker, n""")
 def j16(spark, d):
-    ev = adapters.events(spark, d).where("event_id % 11 = 0")
-    return locate(ev.select((F.col("event_id") % 7).alias("marker"), "user_id", "ts"))
+    return locate(adapters.events(spark, d).select((F.col("event_id") % 7).alias("marker"), "user_id", "ts"))
 
 
 @query("j18_locate_all_tool_ids", """WITH m AS (SELECT event_id%5000 AS marker, user_id, max(ts) AS mtime FROM events GROUP BY ALL),

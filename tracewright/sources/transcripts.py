@@ -9,8 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import line_count, norm_cap
+from .scratch import kept
 
 MAX_FILE_BYTES = 256 << 20
+#: Splits of files whose first line numbers are broadcast, some 200 bytes each; beyond, they are joined by a shuffle.
+MAX_SPLITS = 200_000
 MAX_SUBAGENTS = 64
 PROSE_CAP = 4000
 
@@ -41,22 +44,48 @@ def project_dir(cwd: Column) -> Column:
     return F.regexp_replace(cwd, "[^A-Za-z0-9]", "-")
 
 
-def scan_lines(spark: SparkSession, folder: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """(file, stem, session_id, agent_id, line_no, value) of every *.jsonl below ``folder``; lines count from 0."""
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(folder)
+def scan_lines(spark: SparkSession, folder: str, max_bytes: int = MAX_FILE_BYTES, glob: str = "*.jsonl") -> DataFrame:
+    """(file, stem, session_id, agent_id, line_no, value) of every log below ``folder``; lines count from 0.
+
+    Lines are counted a split of a file first; running sums over a file's splits, a small table, give each split the
+    number of its first line, and a line's place in its split does the rest. So no text is shuffled, but it is
+    read twice. Files over ``max_bytes`` are left out; ``listing`` tells them.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n").text(folder)
     raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
-    w = Window.partitionBy("file").orderBy("block", "mid")
-    rows = raw.where(F.col("size") <= max_bytes).withColumn("line_no", F.row_number().over(w) - 1)
-    stem = F.regexp_extract("file", r"([^/]+)\.jsonl$", 1)
+    splits = kept(raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("mid").alias("first")), "splits")
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    splits_at = splits.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    if splits.count() <= MAX_SPLITS:
+        splits_at = F.broadcast(splits_at)
+    rows = raw.where(F.col("size") <= max_bytes).join(splits_at, ["file", "block"]).withColumn("line_no", F.col("mid") + F.col("shift"))
+    return _named(rows).drop("block", "mid", "size", "shift")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """Adds stem, agent_id and session_id as the file's name and folder state them."""
+    stem = F.regexp_extract("file", r"([^/]+)\.[a-z]+$", 1)
     rows = rows.withColumn("stem", stem).withColumn("agent_id", F.nullif(F.regexp_extract("stem", "^agent-(.+)$", 1), F.lit("")))
     parent = F.regexp_extract("file", r"/([^/]+)/subagents/[^/]+$", 1)
     own = F.when(F.col("stem").rlike("^[0-9A-Fa-f-]{36}$"), F.col("stem"))
-    return rows.withColumn("session_id", F.coalesce(F.when(F.col("agent_id").isNotNull(), F.nullif(parent, F.lit(""))), own)).drop("block", "mid", "size")
+    return rows.withColumn("session_id", F.coalesce(F.when(F.col("agent_id").isNotNull(), F.nullif(parent, F.lit(""))), own))
 
 
-def oversize(spark: SparkSession, folder: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").format("binaryFile").load(folder)
-    return files.where(F.col("length") > max_bytes).select("path", F.col("length").alias("size"))
+def listing(spark: SparkSession, folder: str, max_bytes: int = MAX_FILE_BYTES, glob: str = "*.jsonl") -> DataFrame:
+    """(file, project, session_id, agent_id, size, mtime, skipped, newest) of the logs below ``folder``; no file is opened.
+
+    project is the first folder below ``folder``; skipped says why a file isn't read: ``oversize``, ``empty`` or
+    ``name`` (no transcript's). newest counts a project's readable main transcripts from the latest on, from 0.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    files = _named(files.select(F.col("path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")))
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    below = F.substring_index(F.col("file"), root, -1)
+    why = F.when(F.col("size") > max_bytes, "oversize").when(F.col("size") == 0, "empty").when(F.col("session_id").isNull() & F.col("agent_id").isNull(), "name")
+    files = files.withColumn("project", F.when(F.contains(below, F.lit("/")), F.substring_index(below, "/", 1))).withColumn("skipped", why)
+    rank = F.row_number().over(Window.partitionBy("project", F.col("skipped").isNull() & F.col("agent_id").isNull()).orderBy(F.col("mtime").desc(), F.col("file").desc())) - 1
+    return files.select("file", "project", "session_id", "agent_id", "size", "mtime", "skipped", F.when(F.col("skipped").isNull() & F.col("agent_id").isNull(), rank).alias("newest"))
 
 
 def parse(lines: DataFrame) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections import namedtuple
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 IDLE = "1801 seconds"  # a gap of exactly half an hour still joins, at the stamps' resolution
 
@@ -34,25 +37,82 @@ def tumbling(events: DataFrame, size: str = "1 hour", slide: str | None = None,
     return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def _stateful(events: DataFrame, key: str, out: str, state: str, step: Callable) -> DataFrame:
-    """Rows of a key in time order through ``step(state, row) -> (state, output or None)``."""
-
-    def run(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        now = held.get if held.exists else None
-        done = []
-        for r in rows.itertuples(index=False):
-            now, got = step(now, r)
-            if got is not None:
-                done.append((k[0], *got))
-        if now is not None:
-            held.update(now)
-        yield pd.DataFrame(done, columns=[c.split()[0] for c in out.split(", ")])
-
-    return events.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
-
-
-def carried_modes(events: DataFrame) -> DataFrame:
+class InOrder(StatefulProcessor):
+    """A key's rows through ``step(state, row) -> (state, output or None)`` in order of (us, event_id).
+
+    Rows wait in map state, by time bucket and chunk, until the watermark has passed their bucket: a timer of the
+    bucket then releases it, so a task holds one chunk of input or one bucket of a key. Rows behind
+    the watermark are late and go. A row more than ``forget_ms`` after the key's last one finds no state, whether or
+    not the timer that clears the state has come.
+    """
+
+    def __init__(self, step: Callable, columns: list[str], out: list[str], bucket_ms: int, forget_ms: int):
+        self.step, self.columns, self.out, self.bucket_ms, self.forget_ms = step, columns, out, bucket_ms, forget_ms
+        self.row = namedtuple("row", columns)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket bigint, part bigint", "rows string")
+        self.held = handle.getValueState("held", "state string, seen bigint, parts bigint")
+
+    def _now(self) -> tuple:
+        return tuple(self.held.get()) if self.held.exists() else (None, None, 0)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state, seen, parts = self._now()
+        for chunk in rows:
+            chunk = chunk[chunk["event_id"].notna()]  # a row without id only moves the watermark
+            chunk = chunk.assign(bucket=chunk["us"] // (1000 * self.bucket_ms))
+            for bucket, some in chunk.groupby("bucket"):
+                self.waiting.updateValue((int(bucket), parts), (some[self.columns].to_json(orient="values"),))
+                self.handle.registerTimer((int(bucket) + 1) * self.bucket_ms)
+                parts += 1
+        self.held.update((state, seen, parts))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        all_ = [tuple(k) for k in self.waiting.keys()]
+        due = sorted(k for k in all_ if (k[0] + 1) * self.bucket_ms <= at)
+        text, seen, parts = self._now()
+        if not due:
+            if seen is not None and len(all_) == 0 and seen + self.forget_ms <= at:
+                self.held.clear()
+            return
+        state = tuple(json.loads(text)) if text else None
+        for bucket, some in groupby(due, key=lambda k: k[0]):
+            rows, done = [], []
+            for k in some:
+                rows += json.loads(self.waiting.getValue(k)[0])
+                self.waiting.removeKey(k)
+            for r in sorted(self.row(*r) for r in rows):
+                if seen is not None and r.us // 1000 - seen > self.forget_ms:
+                    state = None
+                state, got = self.step(state, r)
+                seen = r.us // 1000
+                if got is not None:
+                    done.append((key[0], *got))
+            if done:
+                yield pd.DataFrame(done, columns=self.out)
+        self.held.update((None if state is None else json.dumps(state), seen, parts))
+        self.handle.registerTimer(seen + self.forget_ms)
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(events: DataFrame, key: str, out: str, step: Callable, late: str, bucket_ms: int, forget_ms: int) -> DataFrame:
+    """``step`` over the rows of each key in time order, as far as the watermark has come."""
+    columns = ["us", "event_id", "event_type", "k"]
+    rows = events.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    processor = InOrder(step, columns, [c.split()[0] for c in out.split(", ")], bucket_ms, forget_ms)
+    return rows.groupBy(key).transformWithStateInPandas(processor, out, "append", "eventTime")
+
+
+LATE, BUCKET_MS, FORGET_MS = "1 hour", 60_000, 90 * 86_400_000
+
+
+def carried_modes(events: DataFrame, late: str = LATE, bucket_ms: int = BUCKET_MS, forget_ms: int = FORGET_MS) -> DataFrame:
     """Each event with the permission mode carried from earlier ones, false before the first."""
 
     def step(state, r):
@@ -60,10 +120,10 @@ def carried_modes(events: DataFrame) -> DataFrame:
         mode = True if r.k % 10 == 0 else False if r.k % 10 == 1 else mode
         return (mode,), (int(r.event_id), mode)
 
-    return _stateful(events, "user_id", "user_id long, event_id long, mode boolean", "mode boolean", step)
+    return _stateful(events, "user_id", "user_id long, event_id long, mode boolean", step, late, bucket_ms, forget_ms)
 
 
-def live_loops(events: DataFrame, least: int = 3) -> DataFrame:
+def live_loops(events: DataFrame, least: int = 3, late: str = LATE, bucket_ms: int = BUCKET_MS, forget_ms: int = FORGET_MS) -> DataFrame:
     """A row when a call repeats for the ``least``-th time in a row, and at each repeat after."""
 
     def step(state, r):
@@ -71,10 +131,10 @@ def live_loops(events: DataFrame, least: int = 3) -> DataFrame:
         n = state[1] + 1 if state and state[0] == call else 1
         return (call, n), ((int(r.event_id), call, n) if n >= least else None)
 
-    return _stateful(events, "user_id", "user_id long, event_id long, call string, repeats long", "call string, n long", step)
+    return _stateful(events, "user_id", "user_id long, event_id long, call string, repeats long", step, late, bucket_ms, forget_ms)
 
 
-def nudges(events: DataFrame, every: int = 3) -> DataFrame:
+def nudges(events: DataFrame, every: int = 3, late: str = LATE, bucket_ms: int = BUCKET_MS, forget_ms: int = FORGET_MS) -> DataFrame:
     """A row whenever a session's edits reach the last announced count and ``every`` more."""
 
     def step(state, r):
@@ -84,12 +144,17 @@ def nudges(events: DataFrame, every: int = 3) -> DataFrame:
             return (n, n), (int(r.event_id), n)
         return (n, told), None
 
-    return _stateful(events, "user_id", "user_id long, event_id long, edits long", "n long, told long", step)
+    return _stateful(events, "user_id", "user_id long, event_id long, edits long", step, late, bucket_ms, forget_ms)
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Process what has landed and return the result table; complete results replace the last ones."""
     spark = stream.sparkSession
+    spark.conf.set(_PROVIDER, ROCKS)  # map state and timers need it
     out, log = f"{folder}/out", f"{folder}/log"
     w = stream.writeStream.option("checkpointLocation", log).trigger(availableNow=True)
     if mode == "append":
