@@ -60,6 +60,9 @@ def test_state_carries_over_batches(spark, tmp_path):
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, project long, k long").withColumn("ts", F.to_timestamp("ts"))
     for i in range(5):
         df.where(F.col("event_id") == i).coalesce(1).write.mode("append").parquet(str(tmp_path / "landing"))
+    # rows are given out once the watermark is past them: a mark without an id moves it
+    mark = spark.sql("SELECT CAST(NULL AS long) event_id, timestamp '2026-01-02' ts, CAST(NULL AS long) user_id, CAST(NULL AS string) event_type, CAST(NULL AS long) project, CAST(NULL AS long) k")
+    mark.write.mode("append").parquet(str(tmp_path / "landing"))
     schema = "event_id long, ts timestamp, user_id long, event_type string, project long, k long"
     out = live.run_to_table(live.live_loops(live.tail(spark, str(tmp_path / "landing"), schema, 1)), str(tmp_path / "loops"))
     assert [(r.event_id, r.repeats) for r in out.collect()] == [(2, 3)]

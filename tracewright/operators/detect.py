@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import basename, is_edit, is_pushback, is_secrets
 from . import order
+from .mentions import mentions
 
 LINE_BIN = 50
 FINDING_COLUMNS = ["unit_id", "detector_ord", "kind", "tier", "exact", "confidence", "idxs", "file", "note", "nums"]
@@ -70,11 +71,13 @@ def blind_write_attempts(actions: DataFrame) -> DataFrame:
 def attribute_failures(actions: DataFrame) -> DataFrame:
     """Failed commands with the file they are about: one named in the command or its error, the longest
     name first, else the file last edited in the lane within five positions. Unattributed ones go."""
-    failed = actions.where((F.col("kind") == "Bash") & F.col("is_error"))
-    text = F.concat_ws(" ", "command", "error")
-    touched = actions.where(F.col("file_path").isNotNull()).select("unit_id", F.col("file_path").alias("file")).distinct()
-    named = failed.select("unit_id", "idx", text.alias("text")).join(touched, "unit_id").where(F.contains("text", F.col("file")) | ((basename(F.col("file")) != "") & F.contains("text", basename(F.col("file")))))
-    named = named.groupBy("unit_id", "idx").agg(F.max(F.struct(F.octet_length("file").alias("n"), F.col("file").alias("f"))).alias("m")).select("unit_id", "idx", F.col("m.f").alias("named_file"))
+    failed = actions.where((F.col("kind") == "Bash") & F.col("is_error")).select("unit_id", "idx", F.concat_ws(" ", "command", "error").alias("text"))
+    # a text with a path has its base name too; of files with one name the longest path, then the greatest, stands for all
+    own = F.when(basename(F.col("file")) != "", basename(F.col("file"))).otherwise(F.col("file"))
+    touched = actions.where(F.col("file_path").isNotNull()).select("unit_id", F.col("file_path").alias("file")).withColumn("name", own)
+    best = touched.groupBy("unit_id", "name").agg(F.max(F.struct(F.octet_length("file").alias("n"), F.col("file").alias("f"))).alias("m"))
+    named = mentions(failed, touched).join(best, ["unit_id", "name"])
+    named = named.groupBy("unit_id", "idx").agg(F.max("m").alias("m")).select("unit_id", "idx", F.col("m.f").alias("named_file"))
     near = order.preceding_edit(actions).where((F.col("kind") == "Bash") & F.col("is_error")).select("unit_id", "idx", "near_file")
     both = near.join(named, ["unit_id", "idx"], "left")
     return both.select("unit_id", "idx", F.coalesce("named_file", "near_file").alias("file_path"), F.col("named_file").isNull().alias("by_proximity")).where("file_path is not null")
@@ -255,8 +258,10 @@ def last_edit_verified(actions: DataFrame) -> DataFrame:
     runs = ok.where(F.col("kind") == "Bash").select("unit_id", "command", F.col("idx").alias("i"))
     runner = runs.where(contains_any(F.col("command"), RUNNERS)).groupBy("unit_id").agg(F.max("i").alias("runner_idx"))
     reads = ok.where(F.col("kind") == "Read").groupBy("unit_id", "file_path").agg(F.max("idx").alias("read_idx"))
-    names = last.select("unit_id", "file_path", "last_idx", basename(F.col("file_path")).alias("b"))
-    named = names.join(runs, "unit_id").where((F.col("i") > F.col("last_idx")) & F.contains("command", F.col("b"))).select("unit_id", "file_path").distinct().withColumn("named", F.lit(True))
+    names = last.withColumn("name", basename(F.col("file_path")))
+    in_command = mentions(runs.select("unit_id", F.col("i").alias("idx"), F.col("command").alias("text")), names).groupBy("unit_id", "name").agg(F.max("idx").alias("i"))
+    any_command = runs.where("command is not null").groupBy("unit_id").agg(F.max("i").alias("i")).withColumn("name", F.lit(""))  # an empty name is in every command
+    named = names.join(in_command.unionByName(any_command), ["unit_id", "name"]).where(F.col("i") > F.col("last_idx")).select("unit_id", "file_path", F.lit(True).alias("named"))
     out = last.join(reads, ["unit_id", "file_path"], "left").join(runner, "unit_id", "left").join(named, ["unit_id", "file_path"], "left")
     seen = F.coalesce(F.col("read_idx") > F.col("last_idx"), F.lit(False)) | F.coalesce(F.col("runner_idx") > F.col("last_idx"), F.lit(False)) | F.coalesce("named", F.lit(False))
     return out.select("unit_id", "file_path", seen.alias("verified"))

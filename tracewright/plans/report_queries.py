@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import redact
-from ..operators import adapters, detect, order, privacy, quality, rank, reports
-from ..sources import manifest, transcripts as T
+from ..operators import adapters, detect, order, privacy, quality, rank, reports, shrink
+from ..sources import transcripts as T
 from ..sources.scratch import scratch_path
 from ..streaming import live
 from . import base_sql as B
@@ -48,6 +48,40 @@ def t02(spark, d):
     return reports.struggle_areas(f, rank.rank_files(f, a)).select(big("unit_id"), big("rank"), "file", "class", "edits", "kinds", big("omitted"))
 
 
+#: Every cut's payload written out whole, the largest first; of these the first that fits, or the last.
+def shrunk(cap: int) -> str:
+    rule = shrink.RANKING_RULE
+    return f""", r AS (SELECT unit_id, file, kind, confidence, idxs, category, row_number() OVER (PARTITION BY unit_id, file, category ORDER BY o, idxs[1], idxs[-1]) AS rd FROM fc WHERE file IS NOT NULL AND category IS NOT NULL),
+s AS (SELECT *, count(*) OVER (PARTITION BY unit_id, file) AS n, row_number() OVER (PARTITION BY unit_id, file ORDER BY rd, list_position(['failure_loops','fumbles','rework','churn','re_read','action_loops'], category)) AS slot FROM r),
+j AS (SELECT *, '{{"kind":"' || kind || '","tier":"' || CASE WHEN kind IN ('rework','failure_loop') THEN 'T2' ELSE 'T1' END || '","exact":' || (kind<>'failure_loop') || ',"confidence":"' || confidence || '","idxs":[' || array_to_string(idxs[1:10], ',') || ']' || CASE WHEN len(idxs)>10 THEN ',"idxs_total":' || len(idxs) ELSE '' END || ',"file":"' || file || '"}}' AS x FROM s),
+e AS (SELECT rk.unit_id, rk.rank, p, max(coalesce(n,0))>p OR coalesce(bool_or(len(idxs)>10), false) AS hid, '{{"rank":' || rank || ',"file":"' || rk.file || '","class":"' || any_value(class) || '","edits":' || any_value(edits) || ',"breakdown":{{"' || replace(replace(any_value(breakdown), '=', '":'), ';', ',"') || '}},"findings":[' || coalesce(string_agg(x, ',' ORDER BY slot) FILTER (slot<=p), '') || ']' || CASE WHEN max(coalesce(n,0))>p THEN ',"findings_omitted":' || (max(n)-p) ELSE '' END || '}}' AS x FROM rk LEFT JOIN j USING (unit_id, file), (SELECT unnest([0,1,2,3,4]) AS p) WHERE rank<=20 GROUP BY rk.unit_id, rk.rank, rk.file, p),
+tot AS (SELECT unit_id, count(*) AS total FROM rk GROUP BY ALL),
+cut AS (SELECT unit_id, total, unnest(list_concat(list_transform(range(1, least(total,20)+1), lambda k: {{'k': CAST(k AS BIGINT), 'p': 4}}), list_transform([3,2,1,0], lambda p: {{'k': CAST(1 AS BIGINT), 'p': p}}))) AS c FROM tot),
+pay AS (SELECT cut.unit_id, c.k, c.p, '{{"v":2,"session":{{"id":"' || cut.unit_id || '","identified_by":"table"}},"ranking_rule":"{rule}","files":[' || string_agg(x, ',' ORDER BY rank) || '],"files_total":' || any_value(total) || ',"n_max":20,"findings_per_file_cap":' || c.p || ',"truncated":' || (any_value(total)>c.k OR bool_or(hid)) || '}}' AS payload FROM cut JOIN e ON e.unit_id=cut.unit_id AND e.p=c.p AND e.rank<=c.k GROUP BY cut.unit_id, c.k, c.p),
+fit AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY NOT (ceil(strlen(payload)/3.5)<={cap} OR (k=1 AND p=0)), k DESC, p DESC) AS rn FROM pay)
+SELECT u.unit_id, coalesce(k, 0) AS files, CAST(coalesce(p, 4) AS BIGINT) AS per_file, coalesce(payload, '{{"v":2,"session":{{"id":"' || u.unit_id || '","identified_by":"table"}},"ranking_rule":"{rule}","files":[],"files_total":0,"n_max":20,"findings_per_file_cap":4,"truncated":false}}') AS payload FROM (SELECT DISTINCT unit_id FROM a) u LEFT JOIN (SELECT * FROM fit WHERE rn=1) USING (unit_id)"""
+
+
+def struggle_payloads(spark: SparkSession, d: str, cap: int) -> DataFrame:
+    a, t = cached_actions(spark, d)
+    f = findings_of(spark, d)
+    units = a.select("unit_id").distinct().withColumn("session", F.to_json(F.struct(F.col("unit_id").cast("string").alias("id"), F.lit("table").alias("identified_by"))))
+    out = shrink.struggle_payloads(units, f, rank.rank_files(f, a), cap=cap, extra=())
+    return out.select(big("unit_id"), big("files"), big("per_file"), "payload")
+
+
+@query("t02_struggle_payload", B.sql(B.RANKED, shrunk(1500)))
+def t02b(spark, d):
+    """The whole payload of each unit, shrunk to the report's cap."""
+    return struggle_payloads(spark, d, 1500)
+
+
+@query("r07_two_stage_shrink", B.sql(B.RANKED, shrunk(170)))
+def r07(spark, d):
+    """Caps so small that files go and then findings."""
+    return struggle_payloads(spark, d, 170)
+
+
 @query("t03_file_story", B.sql(B.ACTIONS, """, s AS (SELECT *, CASE WHEN is_error THEN 'fail' ELSE 'ok' END AS outcome FROM a WHERE file_path IS NOT NULL),
 b AS (SELECT *, CASE WHEN outcome='ok' AND lag(outcome) OVER w='ok' AND kind=lag(kind) OVER w THEN 0 ELSE 1 END AS brk FROM s WINDOW w AS (PARTITION BY unit_id, file_path ORDER BY idx)),
 i AS (SELECT *, sum(brk) OVER (PARTITION BY unit_id, file_path ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM b),
@@ -257,15 +291,6 @@ def j04(spark, d):
     return T.missing_children(s, ev, T.sibling_claims(ev, s))
 
 
-@query("s08_manifest")
-def s08(spark, d):
-    """Inventory of the corpus folder's files against a manifest that lacks every other one."""
-    found = manifest.scan(spark, d, "*.parquet")
-    known = found.where(F.pmod(F.xxhash64("path"), F.lit(2)) == 0)
-    new = manifest.changed(found, known).select("path", "size", F.lit("new").alias("state"))
-    return new.unionByName(manifest.verify(found, known).join(found.select("path", "size"), "path").select("path", "size", "state")).select(F.element_at(F.split("path", "/"), -1).alias("name"), "size", "state")
-
-
 @query("pr1_pseudonymise")
 def pr1(spark, d):
     return privacy.pseudonymise(raw_lines(spark, d), ["session_id", "line_no"]).select("session_id", "line_no", "value", F.array_join("unknown", ",").alias("unknown"))

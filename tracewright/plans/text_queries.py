@@ -305,15 +305,3 @@ def r06(spark, d):
     t, _ = talk(spark, d)
     out = rank.greedy_skip(t.withColumn("cost", X.est_tokens(F.col("text"))), "unit_id", "line_no", "cost", 400)
     return out.select("unit_id", big("n"), "used", joined("kept"))
-
-
-@query("r07_two_stage_shrink", B.sql(B.RANKED, """, c AS (SELECT unit_id, rank, file, 100 + sum(strlen(file)+40) OVER (PARTITION BY unit_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used FROM rk WHERE rank<=20),
-k AS (SELECT unit_id, count(*) AS files, max(used) AS used FROM c WHERE used<=500 GROUP BY ALL)
-SELECT unit_id, files, CAST(greatest(least((500-used)//(files*30), 4), 0) AS BIGINT) AS per_file FROM k"""))
-def r07(spark, d):
-    """Files first, as many as fit; then findings a file, four at most, by what is left."""
-    from .unit_queries import ranked_of
-
-    kept = rank.budgeted_prefix(ranked_of(spark, d).where("rank <= 20"), ["unit_id"], [F.col("rank")], F.octet_length("file") + 40, 100, 500)
-    per = kept.groupBy(big("unit_id")).agg(F.count("*").alias("files"), F.max("used").alias("used"))
-    return per.select("unit_id", "files", F.greatest(F.least(F.floor((500 - F.col("used")) / (F.col("files") * 30)), F.lit(4)), F.lit(0)).cast("bigint").alias("per_file"))
