@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, SparkSession, functions as F
 
 # Path classes, secret names, token prefixes and phrases that results depend on.
@@ -205,11 +207,29 @@ def line_count(text: Column) -> Column:
     return F.when(text == "", 0).otherwise(F.size(F.split(text, "\n", -1)) - F.when(text.endswith("\n"), 1).otherwise(0))
 
 
+_OPERATOR = re.compile(r"(?<![\w`])(<=>|<=|>=|=|<|>|!|\+|-|\*|/|%|and|or|in|not)\(")
+
+
+def sql_of(column: Column) -> str:
+    """A Column as SQL text: operators, which print as functions of their names, are quoted as such outside of literals."""
+    parts = re.split(r"('(?:[^'\\]|\\.)*')", column._jc.node().sql(), flags=re.S)
+    return "".join(x if i % 2 else _OPERATOR.sub(r"`\1`(", x) for i, x in enumerate(parts))
+
+
+#: name -> (arguments, result, Column of them)
+SQL_FUNCTIONS = {
+    "norm_cap": ("s STRING", "STRING", lambda: norm_cap(F.col("s"))),
+    "elide_middle_160": ("s STRING", "STRING", lambda: elide_middle(F.col("s"), 160)),
+    "redact": ("s STRING", "STRING", lambda: redact(F.col("s"))),
+    "classify_path": ("p STRING", "STRING", lambda: classify_path(F.col("p"))),
+    "is_secrets": ("p STRING", "BOOLEAN", lambda: is_secrets(F.col("p"))),
+    "est_tokens": ("j STRING", "BIGINT", lambda: est_tokens(F.col("j"))),
+    "short_id": ("s STRING", "STRING", lambda: F.left("s", F.lit(8))),
+    "latency_secs": ("a STRING, b STRING", "DOUBLE", lambda: latency_secs(F.col("a"), F.col("b"))),
+}
+
+
 def register_sql(spark: SparkSession) -> None:
-    """The scalar functions that are useful in SQL, as temporary SQL functions."""
-    classes = {"code": CODE_EXT, "docs": DOCS_EXT, "config": CONFIG_EXT, "web": WEB_EXT}
-    ext = "substring_index(element_at(split(lower(p), '/'), -1), '.', -1)"
-    arms = " ".join(f"WHEN {ext} IN ({', '.join(repr(e) for e in v)}) THEN '{k}'" for k, v in classes.items())
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION extension_class(p STRING) RETURNS STRING RETURN CASE {arms} ELSE 'other' END")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION est_tokens(j STRING) RETURNS BIGINT RETURN ceil(octet_length(j) / 3.5)")
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION short_id(s STRING) RETURNS STRING RETURN left(s, 8)")
+    """The scalar functions as temporary SQL functions, each from the Column that the engine itself uses."""
+    for name, (given, result, column) in SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({given}) RETURNS {result} RETURN {sql_of(column())}")

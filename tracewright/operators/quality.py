@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scalars import basename
 from ..schemas import FINDING_KINDS
 
 TIERS, CONFIDENCES = ["T1", "T2", "T3"], ["high", "medium", "low"]
@@ -31,6 +32,72 @@ def check_payloads(payloads: DataFrame, cap_tokens: int) -> DataFrame:
     })
 
 
+PROVENANCE = ["tool_use_id", "explicit", "cli_latest"]
+
+
+def _at(v: Column, path: str, kind: str, of: str) -> Column:
+    """A value at a path if it is of that JSON type, else null."""
+    x = F.try_variant_get(v, path, "variant")
+    return F.when(F.schema_of_variant(x) == of, F.try_variant_get(v, path, kind))
+
+
+def _elements(payloads: DataFrame, of: Column) -> DataFrame:
+    """(unit_id, pos, value) of the elements of a payload's array, none where it is no array."""
+    rows = payloads.select("unit_id", of.alias("_array")).where("schema_of_variant(_array) LIKE 'ARRAY%'")
+    return rows.sparkSession.sql("SELECT p.unit_id, e.pos, e.value FROM {p} p, LATERAL variant_explode(p._array) e", p=rows)
+
+
+def check_reports(payloads: DataFrame, cap_tokens: int, provenance: list[str] = PROVENANCE) -> DataFrame:
+    """(unit_id, rule, place) of what is wrong in report payloads (unit_id, json), place the path of the value.
+
+    Every payload: version 2, a session with id and provenance, a true or false for truncated, the size. With files: a
+    ranking rule, a breakdown somewhere, class and edits and no score in each, and findings of known kind, tier and
+    confidence that cite indices. With a work unit: a gap fewer than sessions, ids of 8 characters, one each, a rule.
+    """
+    v = F.col("v")
+    p = payloads.withColumn("v", F.try_parse_json("json"))
+    ok = v.isNotNull()
+    ranked = ok & F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.files", "variant")).startswith("ARRAY"), F.lit(False))
+    unit = ok & F.try_variant_get(v, "$.work_unit", "variant").isNotNull()
+    sessions, gaps, ids = _at(v, "$.work_unit.sessions", "bigint", "BIGINT"), F.try_variant_get(v, "$.work_unit.joined_gaps_min", "array<double>"), F.try_variant_get(v, "$.work_unit.session_ids", "array<string>")
+
+    def empty(path: str) -> Column:
+        return F.coalesce(F.trim(_at(v, path, "string", "STRING")), F.lit("")) == ""
+
+    rules = {
+        "unreadable": ("$", ~ok), "too_large": ("$", F.ceil(F.octet_length("json") / 3.5) > cap_tokens), "version": ("$.v", ok & ~_at(v, "$.v", "bigint", "BIGINT").eqNullSafe(2)),
+        "session_id": ("$.session.id", ok & empty("$.session.id")), "provenance": ("$.session.identified_by", ok & ~F.coalesce(_at(v, "$.session.identified_by", "string", "STRING").isin(provenance), F.lit(False))),
+        "truncated": ("$.truncated", ok & _at(v, "$.truncated", "boolean", "BOOLEAN").isNull()), "ranking_rule": ("$.ranking_rule", ranked & empty("$.ranking_rule")), "weights": ("$.weights", ranked & F.try_variant_get(v, "$.weights", "variant").isNotNull()),
+        "unit_sessions": ("$.work_unit.sessions", unit & ~F.coalesce(sessions > 0, F.lit(False))), "unit_gaps": ("$.work_unit.joined_gaps_min", unit & (sessions > 0) & ~F.coalesce(F.size(gaps) == sessions - 1, F.lit(False))),
+        "unit_ids": ("$.work_unit.session_ids", unit & (sessions > 0) & ~F.coalesce((F.size(ids) == sessions) & F.forall(ids, lambda i: F.length(i) == 8), F.lit(False))), "unit_rule": ("$.work_unit.rule", unit & empty("$.work_unit.rule")),
+    }
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("rule"), F.lit(at).alias("place"))) for n, (at, c) in rules.items()]))
+    out = p.select("unit_id", F.explode(found).alias("x")).select("unit_id", "x.*")
+
+    files = _elements(p.where(ok), F.try_variant_get(v, "$.files", "variant")).withColumn("place", F.concat(F.lit("$.files["), F.col("pos").cast("string"), F.lit("]")))
+    e = F.col("value")
+    has = lambda k: F.try_variant_get(e, f"$.{k}", "variant").isNotNull()
+    per = {"class": ~has("class"), "edits": ~has("edits"), "score": has("score")}
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in per.items()]))
+    out = out.unionByName(files.select("unit_id", F.explode(found).alias("rule"), "place").select("unit_id", "rule", F.concat("place", F.lit("."), "rule").alias("place")))
+    shown = files.groupBy("unit_id").agg(F.bool_or(has("breakdown")).alias("any"))
+    out = out.unionByName(shown.where("not any").select("unit_id", F.lit("breakdown").alias("rule"), F.lit("$.files").alias("place")))
+
+    inner = files.select(F.struct("unit_id", "place").alias("unit_id"), F.try_variant_get(e, "$.findings", "variant").alias("f"))
+    f = _elements(inner, F.col("f"))
+    indices = F.try_variant_get(e, "$.idxs", "array<bigint>")
+    bad = {"kind": ~F.coalesce(_at(e, "$.kind", "string", "STRING").isin(FINDING_KINDS), F.lit(False)), "tier": ~F.coalesce(_at(e, "$.tier", "string", "STRING").isin(TIERS), F.lit(False)), "confidence": ~F.coalesce(_at(e, "$.confidence", "string", "STRING").isin(CONFIDENCES), F.lit(False)), "idxs": ~F.coalesce((F.size(indices) > 0) & F.forall(indices, lambda i: i >= 0), F.lit(False))}
+    found = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in bad.items()]))
+    of = f.select("unit_id", "pos", F.explode(found).alias("rule"))
+    return out.unionByName(of.select("unit_id.unit_id", F.concat(F.lit("finding_"), "rule").alias("rule"), F.concat("unit_id.place", F.lit(".findings["), F.col("pos").cast("string"), F.lit("]."), "rule").alias("place")))
+
+
+def check_top_files(debriefs: DataFrame, files: DataFrame) -> DataFrame:
+    """(unit_id, rule, file): ranked files (unit_id, file) whose base name a debrief (unit_id, text) doesn't mention."""
+    both = files.select("unit_id", "file").distinct().join(debriefs.select("unit_id", "text"), "unit_id")
+    return both.where(~F.coalesce(F.contains("text", basename(F.col("file"))), F.lit(False))).select("unit_id", F.lit("missing_file").alias("rule"), "file")
+
+
 def check_units(units: DataFrame) -> DataFrame:
     return violations(units, ["project", "unit"], {
         "gaps": F.col("gaps") != F.col("sessions") - 1, "ids": F.col("ids") != F.col("sessions"), "negative": (F.col("dropped") < 0) | (F.col("sessions") < 1),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import edit_stratum
+from .order_stats import ranked_values, upper_median
 
 # The rules, windows and outcomes that the study compares, and its smallest sound cell.
 PRODUCT_RULES = ["flagged_nr", "flagged_top3"]
@@ -110,9 +111,32 @@ def verdict(comparison: DataFrame) -> DataFrame:
 
 
 def anonymize(names: DataFrame, col: str = "project") -> DataFrame:
-    """proj-NN by sorted name; the distinct names are few next to the rows."""
-    known = names.select(col).distinct().withColumn("alias", F.concat(F.lit("proj-"), F.lpad(F.dense_rank().over(Window.orderBy(col)).cast("string"), 2, "0")))
-    return known
+    """proj-NN by sorted name, numbered over ranges of the distinct names."""
+    return ranked_values(names, col).select(F.col("value").alias(col), F.concat(F.lit("proj-"), F.when(F.col("number") < 10, "0").otherwise(""), F.col("number").cast("string")).alias("alias"))
+
+
+def token_ratio(ratios: DataFrame) -> DataFrame:
+    """(sessions, least, median, most) of (ratio); the upper median."""
+    ends = ratios.agg(F.count("ratio").alias("sessions"), F.min("ratio").alias("least"), F.max("ratio").alias("most"))
+    return ends.join(F.broadcast(upper_median(ratios, "ratio")), F.col("sessions") == F.col("rows")).select("sessions", "least", "median", "most")
+
+
+def zero_fire(edits: DataFrame, ranked: DataFrame, least: int = 3) -> DataFrame:
+    """(unit_id, edits): units of (unit_id, edits) with ``least`` edits or more and no ranked file."""
+    return edits.where(F.col("edits") >= least).join(ranked.select("unit_id").distinct(), "unit_id", "left_anti")
+
+
+def revisits(touches: DataFrame) -> DataFrame:
+    """(project, file, sessions, revisits, shortest_gap, longest_gap) of (project, file, session_seq).
+
+    A gap is how many of the project's sessions lie between two that follow each other among the file's; a file that
+    the next session touches again has gap 0. Repeated rows count once.
+    """
+    once = touches.select("project", "file", "session_seq").distinct()
+    before = F.lag("session_seq").over(Window.partitionBy("project", "file").orderBy("session_seq"))
+    gap = F.col("session_seq") - F.col("before") - 1
+    per = once.withColumn("before", before).groupBy("project", "file")
+    return per.agg(F.count("*").alias("sessions"), F.count("before").alias("revisits"), F.min(gap).alias("shortest_gap"), F.max(gap).alias("longest_gap"))
 
 
 def holdout(projects: DataFrame, frozen: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions.scalars import redact
 from ..operators import adapters, detect, order, privacy, quality, rank, reports, shrink
 from ..sources import transcripts as T
-from ..sources.scratch import scratch_path
+from ..sources.scratch import kept, scratch_path
 from ..streaming import live
 from . import base_sql as B
 from .unit_queries import OVERVIEW, acts, big, cached_actions, findings_of, joined, overview_columns
@@ -179,6 +179,36 @@ def dq2(spark, d):
     return quality.check_payloads(p, 400).select(big("unit_id"), "rule")
 
 
+BROKEN = ['"v":2', '"identified_by":"table"', shrink.RANKING_RULE, '"class":', '"truncated":', '"breakdown":', '"tier":"T1"', '"idxs":[']
+INSTEAD = ['"v":1', '"identified_by":"guess"', " ", '"klass":', '"cut":', '"score":', '"tier":"T9"', '"idxs":[-1,']
+
+
+@query("dq2_nested_payloads", B.sql(B.RANKED, f"""{shrunk(1500).rsplit("SELECT u.unit_id", 1)[0]}, b AS (SELECT fit.unit_id, k, unit_id%9 AS how FROM fit WHERE rn=1), x AS (SELECT b.*, unnest(range(0, k)) AS pos FROM b)
+SELECT unit_id, unnest([['version','$.v'],['provenance','$.session.identified_by'],['ranking_rule','$.ranking_rule']][how+1:how+1])[1] AS rule, unnest([['version','$.v'],['provenance','$.session.identified_by'],['ranking_rule','$.ranking_rule']][how+1:how+1])[2] AS place FROM b WHERE how<3
+UNION ALL SELECT unit_id, 'class', '$.files[' || pos || '].class' FROM x WHERE how=3 UNION ALL SELECT unit_id, 'truncated', '$.truncated' FROM b WHERE how=4
+UNION ALL SELECT unit_id, 'score', '$.files[' || pos || '].score' FROM x WHERE how=5 UNION ALL SELECT unit_id, 'breakdown', '$.files' FROM b WHERE how=5
+UNION ALL SELECT b.unit_id, CASE how WHEN 6 THEN 'finding_tier' ELSE 'finding_idxs' END, '$.files[' || (rank-1) || '].findings[' || (slot-1) || '].' || CASE how WHEN 6 THEN 'tier' ELSE 'idxs' END FROM b JOIN fit ON fit.unit_id=b.unit_id AND fit.rn=1 JOIN rk ON rk.unit_id=b.unit_id AND rk.rank<=b.k JOIN s ON s.unit_id=rk.unit_id AND s.file=rk.file AND s.slot<=fit.p WHERE how=7 OR (how=6 AND s.kind NOT IN ('rework','failure_loop'))"""))
+def dq2b(spark, d):
+    """Whole payloads, each unit's broken in one way of eight, or not at all."""
+    p, how = struggle_payloads(spark, d, 1500).where("files > 0"), F.col("unit_id") % 9
+    text = F.col("payload")
+    for k, (old, new) in enumerate(zip(BROKEN, INSTEAD, strict=True)):
+        text = F.when(how == k, F.replace("payload", F.lit(old), F.lit(new))).otherwise(text)
+    return quality.check_reports(kept(p.select("unit_id", text.alias("json")), "payloads"), 1600, ["table"]).select(big("unit_id"), "rule", "place")
+
+
+@query("dq4_top_files", B.sql(B.RANKED, """, z AS (SELECT *, string_split(file, '/')[-1] AS b FROM rk WHERE rank<=3), td AS (SELECT unit_id, 'see ' || string_agg(b, ' and ' ORDER BY rank) FILTER (rank<=1+unit_id%3) AS text FROM z GROUP BY ALL)
+SELECT unit_id, 'missing_file' AS rule, file FROM z JOIN td USING (unit_id) WHERE NOT contains(text, b)"""))
+def dq4b(spark, d):
+    """Debriefs that name one, two or three of the first three files."""
+    from .unit_queries import ranked_of
+
+    top = ranked_of(spark, d).where("rank <= 3").select("unit_id", "rank", "file").withColumn("b", F.element_at(F.split("file", "/"), -1))
+    text = top.groupBy("unit_id").agg(F.sort_array(F.collect_list(F.struct("rank", "b"))).alias("all"))
+    text = text.select("unit_id", F.concat(F.lit("see "), F.array_join(F.transform(F.filter("all", lambda x: x["rank"] <= 1 + F.col("unit_id") % 3), lambda x: x["b"]), " and ")).alias("text"))
+    return quality.check_top_files(text, top).select(big("unit_id"), "rule", "file")
+
+
 @query("dq3_unit_invariants", B.sql(B.UNITS, ", g AS (SELECT project, unit, count(*) AS sessions, count(*) FILTER (new=0) AS gaps FROM un GROUP BY ALL) SELECT project, CAST(unit AS BIGINT) AS unit, 'gaps' AS rule FROM g WHERE unit%5=0 AND gaps+1<>sessions-1"))
 def dq3(spark, d):
     m = order.work_units(adapters.transcripts_from_events(spark, d))

@@ -7,7 +7,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import scalars as X
-from ..operators import adapters, detect, order, study
+from ..operators import adapters, detect, order, order_stats, study
+from ..sources.scratch import kept
 from . import base_sql as B
 from .unit_queries import acts, big, findings_of
 
@@ -178,10 +179,21 @@ def v15(spark, d):
     c = spark.read.parquet(f"{d}/conversations.parquet")
     n = F.octet_length("text")
     x = c.groupBy("conv_id").agg(F.ceil(F.sum(n) / 3.5).alias("t"), F.ceil(F.sum(F.when(F.col("role") == "user", n).otherwise(0)) / 3.5).alias("p")).where("p > 0")
-    r = x.select((F.col("t") / F.col("p")).alias("ratio"))
-    # an exact percentile keeps a count per distinct value; its upper rank is the upper median
-    upper = F.expr("percentile_disc(0.5) within group (order by ratio desc)")
-    return r.agg(F.count("*").alias("sessions"), F.round(F.min("ratio"), 6).alias("least"), F.round(upper, 6).alias("median"), F.round(F.max("ratio"), 6).alias("most"))
+    r = study.token_ratio(x.select((F.col("t") / F.col("p")).alias("ratio")))
+    return r.select("sessions", *[F.round(c, 6).alias(c) for c in ("least", "median", "most")])
+
+
+@query("v15_zero_fire", B.sql(B.RANKED, """, e AS (SELECT unit_id, count(*) FILTER (kind IN ('Edit','Write')) AS edits, unit_id%50 AS project FROM a GROUP BY unit_id),
+n AS (SELECT e.*, unit_id IN (SELECT unit_id FROM rk) AS fires FROM e)
+SELECT project, count(*) AS units, count(*) FILTER (edits>=3) AS edit_heavy, count(*) FILTER (edits>=3 AND NOT fires) AS zero_fire FROM n GROUP BY project"""))
+def v15b(spark, d):
+    """Units with three edits or more in which no file is ranked, by project."""
+    from .unit_queries import ranked_of
+
+    e = acts(spark, d).groupBy("unit_id").agg(F.count_if(F.col("kind").isin("Edit", "Write")).alias("edits"))
+    none = study.zero_fire(e, ranked_of(spark, d)).select("unit_id", F.lit(1).alias("z"))
+    n = e.join(none, "unit_id", "left").groupBy((F.col("unit_id") % 50).cast("bigint").alias("project"))
+    return n.agg(F.count("*").alias("units"), F.count_if(F.col("edits") >= 3).alias("edit_heavy"), F.count("z").alias("zero_fire"))
 
 
 @query("v16_convergent", B.sql(B.RANKED, """, z AS (SELECT unit_id, rank, len(string_split(breakdown, ';')) AS n, regexp_replace(breakdown, '=[0-9]+', '', 'g') AS cats FROM rk WHERE rank<=3)
@@ -198,8 +210,10 @@ SELECT count(*) AS units, round(avg(n),6) AS mean, round(var_pop(n),6) AS varian
 def v17(spark, d):
     units = acts(spark, d).select("unit_id").distinct()
     n = units.join(findings_of(spark, d).groupBy("unit_id").agg(F.count("*").alias("n")), "unit_id", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
-    med = F.expr("percentile_disc(0.5) within group (order by n desc)")
-    return n.agg(F.count("*").alias("units"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.var_pop("n"), 6).alias("variance"), F.min("n").alias("least"), med.cast("bigint").alias("median"), F.max("n").alias("most"), F.round(F.avg((F.col("n") == 0).cast("double")), 6).alias("zero_share"), F.sum("n").alias("total"))
+    n = kept(n, "yields")
+    out = n.agg(F.count("*").alias("units"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.var_pop("n"), 6).alias("variance"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg((F.col("n") == 0).cast("double")), 6).alias("zero_share"), F.sum("n").alias("total"))
+    med = order_stats.upper_median(n, "n")
+    return out.join(F.broadcast(med), F.col("units") == F.col("rows")).select("units", "mean", "variance", "least", F.col("median").cast("bigint").alias("median"), "most", "zero_share", "total")
 
 
 @query("v18_class_breakdown", B.sql(PAIRS, f"SELECT {B.CLASS} AS class, count(*) AS n, count(*) FILTER (next3_strong) AS positive, round(avg(CASE WHEN next3_strong THEN 1.0 ELSE 0.0 END),6) AS rate FROM p GROUP BY ALL"))
@@ -229,6 +243,20 @@ def v20(spark, d):
     return b.groupBy(big("project"), "file").agg(F.count_distinct("unit_id").alias("units"), of("churn").alias("churn"), of("failure_loops").alias("failures"), F.sum("n").alias("total"))
 
 
+@query("v20_file_revisits", B.sql(B.TRANSCRIPTS, """, q AS (SELECT project, path, row_number() OVER (PARTITION BY project ORDER BY first, path)-1 AS seq FROM tr),
+e AS (SELECT DISTINCT q.project, q.seq, 'f' || (CAST(regexp_extract(props, '(\\d+)', 1) AS BIGINT)%12) AS file FROM events JOIN q ON q.path = user_id || '/' || strftime(ts, '%Y-%m-%d') WHERE event_type IN ('view','click','purchase')),
+g AS (SELECT *, seq - lag(seq) OVER (PARTITION BY project, file ORDER BY seq) - 1 AS gap FROM e)
+SELECT project, file, count(*) AS sessions, count(gap) AS revisits, min(gap) AS shortest_gap, max(gap) AS longest_gap FROM g GROUP BY ALL"""))
+def v20b(spark, d):
+    """Gaps between the sessions of a project that touch a file."""
+    seq = F.row_number().over(Window.partitionBy("project").orderBy("first", "path")) - 1
+    q = adapters.transcripts_from_events(spark, d).select("path", "project", seq.cast("bigint").alias("session_seq"))
+    e = adapters.events(spark, d).where(F.col("event_type").isin("view", "click", "purchase"))
+    file = F.concat(F.lit("f"), (F.regexp_extract("props", r"(\d+)", 1).cast("bigint") % 12).cast("string"))
+    touched = e.select(F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd")).alias("path"), file.alias("file")).distinct()
+    return study.revisits(touched.join(q, "path")).select(F.col("project").cast("bigint").alias("project"), "file", "sessions", "revisits", "shortest_gap", "longest_gap")
+
+
 @query("v21_window_fill", """WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT)+l_suppkey AS fill, l_shipdate, l_quantity FROM lineitem)
 SELECT l_orderkey AS session, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity) AS turn, fill FROM m""")
 def v21(spark, d):

@@ -130,10 +130,36 @@ z AS (SELECT doc_id, ln, wn, CASE WHEN lower(prev)='bearer' OR (strlen(word)>=16
 j AS (SELECT doc_id, ln, string_agg(word, ' ' ORDER BY wn) AS line FROM z GROUP BY ALL)
 SELECT doc_id, string_agg(line, chr(10) ORDER BY ln) AS text FROM j GROUP BY doc_id""")
 def x12(spark, d):
+    return secretive(spark, d).select("doc_id", X.redact(F.col("s")).alias("text"))
+
+
+def secretive(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with secrets of several forms added."""
     m = F.col("doc_id") % 10
     more = F.when(m == 0, " Bearer abc ghp_0123456789abcdef sk-short").when(m == 1, "\n-----BEGIN KEY-----\nzz\n-----END KEY----- tail").when(m == 2, " password: x API_KEY=hunter2 -----BEGIN X").otherwise("")
     text = F.concat(F.replace("text", F.lit(" = "), F.lit("=")), more)
-    return docs(spark, d).select("doc_id", text.alias("s")).select("doc_id", X.redact(F.col("s")).alias("text"))
+    return docs(spark, d).select("doc_id", text.alias("s"))
+
+
+# ---- the same functions called from SQL --------------------------------------------------------
+
+@query("sql_redact", SQL["x12_redact"])
+def sql_redact(spark, d):
+    X.register_sql(spark)
+    return spark.sql("SELECT doc_id, redact(s) AS text FROM {x}", x=secretive(spark, d))
+
+
+@query("sql_classify_path", f"WITH {PATHS} SELECT {KLASS} AS class, count(*) AS paths FROM r GROUP BY ALL")
+def sql_classify(spark, d):
+    X.register_sql(spark)
+    return spark.sql("SELECT classify_path(path) AS class, count(*) AS paths FROM {p} GROUP BY 1", p=paths(spark, d))
+
+
+@query("sql_text_functions", f"""SELECT doc_id, nullif(left(trim(regexp_replace(text, '{SP}', ' ', 'g')), 2000), '') AS norm, CASE WHEN length(text)>160 THEN left(text,80) || '…[' || (length(text)-160) || ' chars elided]…' || right(text,80) ELSE text END AS shown,
+CAST(ceil(strlen(text)/3.5) AS BIGINT) AS tokens, left(sha256(text),8) AS id FROM documents""")
+def sql_text(spark, d):
+    X.register_sql(spark)
+    return spark.sql("SELECT doc_id, norm_cap(text) AS norm, elide_middle_160(text) AS shown, est_tokens(text) AS tokens, short_id(sha2(text, 256)) AS id FROM {t}", t=docs(spark, d))
 
 
 @query("x11_excerpt", B.sql(B.ACTIONS, "SELECT unit_id, idx, left(coalesce(command, error, edit_new), 600) AS excerpt FROM a"))
