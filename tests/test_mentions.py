@@ -14,8 +14,9 @@ def test_against_a_plain_search(spark):
     word = lambda k: "".join(rng.choices("ab./é", k=k))
     names = [(u, word(rng.choice([0, 1, 2, 3, 4, 5, 8]))) for u in range(4) for _ in range(25)] + [(0, None), (9, "only")]
     texts = [(u, i, word(rng.choice([0, 1, 3, 10, 60]))) for u in range(5) for i in range(40)] + [(0, 99, None)]
-    got = sorted(tuple(r) for r in mentions(spark.createDataFrame(texts, "unit_id long, idx long, text string"), spark.createDataFrame(names, "unit_id long, name string")).collect())
-    assert got == sorted({(u, i, n) for u, i, t in texts for v, n in names if u == v and n and t and n in t})
+    for few in (0, 18, 100):  # all by the index, some, none
+        got = sorted(tuple(r) for r in mentions(spark.createDataFrame(texts, "unit_id long, idx long, text string"), spark.createDataFrame(names, "unit_id long, name string").distinct(), few).collect())
+        assert got == sorted({(u, i, n) for u, i, t in texts for v, n in names if u == v and n and t and n in t})
 
 
 def test_large_unit_in_seconds(spark):

@@ -76,8 +76,7 @@ def attribute_failures(actions: DataFrame) -> DataFrame:
     own = F.when(basename(F.col("file")) != "", basename(F.col("file"))).otherwise(F.col("file"))
     touched = actions.where(F.col("file_path").isNotNull()).select("unit_id", F.col("file_path").alias("file")).withColumn("name", own)
     best = touched.groupBy("unit_id", "name").agg(F.max(F.struct(F.octet_length("file").alias("n"), F.col("file").alias("f"))).alias("m"))
-    named = mentions(failed, touched).join(best, ["unit_id", "name"])
-    named = named.groupBy("unit_id", "idx").agg(F.max("m").alias("m")).select("unit_id", "idx", F.col("m.f").alias("named_file"))
+    named = mentions(failed, best).groupBy("unit_id", "idx").agg(F.max("m").alias("m")).select("unit_id", "idx", F.col("m.f").alias("named_file"))
     near = order.preceding_edit(actions).where((F.col("kind") == "Bash") & F.col("is_error")).select("unit_id", "idx", "near_file")
     both = near.join(named, ["unit_id", "idx"], "left")
     return both.select("unit_id", "idx", F.coalesce("named_file", "near_file").alias("file_path"), F.col("named_file").isNull().alias("by_proximity")).where("file_path is not null")
@@ -259,7 +258,7 @@ def last_edit_verified(actions: DataFrame) -> DataFrame:
     runner = runs.where(contains_any(F.col("command"), RUNNERS)).groupBy("unit_id").agg(F.max("i").alias("runner_idx"))
     reads = ok.where(F.col("kind") == "Read").groupBy("unit_id", "file_path").agg(F.max("idx").alias("read_idx"))
     names = last.withColumn("name", basename(F.col("file_path")))
-    in_command = mentions(runs.select("unit_id", F.col("i").alias("idx"), F.col("command").alias("text")), names).groupBy("unit_id", "name").agg(F.max("idx").alias("i"))
+    in_command = mentions(runs.select("unit_id", F.col("i").alias("idx"), F.col("command").alias("text")), names.select("unit_id", "name").distinct()).groupBy("unit_id", "name").agg(F.max("idx").alias("i"))
     any_command = runs.where("command is not null").groupBy("unit_id").agg(F.max("i").alias("i")).withColumn("name", F.lit(""))  # an empty name is in every command
     named = names.join(in_command.unionByName(any_command), ["unit_id", "name"]).where(F.col("i") > F.col("last_idx")).select("unit_id", "file_path", F.lit(True).alias("named"))
     out = last.join(reads, ["unit_id", "file_path"], "left").join(runner, "unit_id", "left").join(named, ["unit_id", "file_path"], "left")
