@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import scalars as X
 from ..operators import adapters, context, rank
 from . import base_sql as B
-from .unit_queries import acts, big, cached_actions, joined
+from .unit_queries import acts, big, joined
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
