@@ -26,6 +26,16 @@ def decisions(asked: DataFrame, matches: Column) -> DataFrame:
     return asked.withColumn("rejected", rejected).withColumn("resolution", state)
 
 
+def resolve_decisions(asked: DataFrame, actions: DataFrame) -> DataFrame:
+    """Decisions of units with the action that asked: ``idxs`` holds it where one call to ask stands on the decision's
+    line of its member, and is empty where none ('not_found') or several ('ambiguous') do."""
+    keys = ["unit_id", "session_ix", "line_no"]
+    calls = actions.where("kind = 'AskUserQuestion'").groupBy(*keys).agg(F.count("*").alias("matches"), F.min("idx").alias("idx"))
+    rows = asked.join(calls, keys, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    none = F.array().cast("array<bigint>")
+    return decisions(rows, F.col("matches")).withColumn("idxs", F.when(F.col("matches") == 1, F.array("idx")).otherwise(none)).drop("idx")
+
+
 def unfinished_tasks(events: DataFrame, by: list[str], order: Column, finished: list[str]) -> DataFrame:
     """Each task's last status and last known subject, of those not finished."""
     last = events.groupBy(*by).agg(F.max_by("status", order).alias("status"), F.max_by(F.col("subject"), F.when(F.col("subject").isNotNull(), order)).alias("subject"))

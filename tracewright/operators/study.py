@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalars import edit_stratum
+from . import rank, relations
 from .order_stats import ranked_values, upper_median
 
 # The rules, windows and outcomes that the study compares, and its smallest sound cell.
@@ -14,25 +15,69 @@ RULES = PRODUCT_RULES + BASELINE_RULES
 WINDOWS = ["next3", "within14d"]
 OUTCOMES = ["weak", "strong"]
 MIN_CELL = 5
+# Kinds that make a later session a strong outcome, the fewest actions and the least age of a session studied.
+STRONG_KINDS = ["failure_loop", "user_corrected", "true_revert", "flip"]
+MIN_ACTIONS = 20
+RECENT_S = 600
+
+
+def session_records(actions: DataFrame) -> DataFrame:
+    """(unit_id, actions, failed, start): what a session did, and the epoch second of its first action.
+
+    Where the first action has no stamp, the latest stamp stands for it; with none at all ``start`` is null.
+    """
+    def seconds(ts: Column) -> Column:
+        return F.unix_seconds(F.try_to_timestamp(ts))
+
+    failed = (F.col("kind") == "Bash") & F.coalesce("is_error", F.lit(False))
+    first = F.coalesce(seconds(F.min_by("effective_ts", "idx")), seconds(F.max("effective_ts")))
+    return actions.groupBy("unit_id").agg(F.count("*").alias("actions"), F.count_if(failed).alias("failed"), first.alias("start"))
+
+
+def file_records(actions: DataFrame, findings: DataFrame, ranked: DataFrame, review: DataFrame, verified: DataFrame) -> DataFrame:
+    """A row an edited file of a session: edits, confirmed lines, kinds of findings, both product flags, whether it was looked at after.
+
+    ``review`` is the list of needs_review, ``ranked`` that of rank_files, whose first three are the second flag.
+    """
+    keys = ["unit_id", "file"]
+    per = findings.where("file is not null").groupBy(*keys).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    rows = rank.edit_counts(actions).join(relations.changed_lines(actions).withColumnRenamed("changed_lines", "lines"), keys, "left").join(per, keys, "left")
+    rows = rows.join(review.select(*keys, F.lit(True).alias("flagged_nr")), keys, "left").join(ranked.where("rank <= 3").select(*keys, F.lit(True).alias("flagged_top3")), keys, "left")
+    rows = rows.join(verified.select("unit_id", F.col("file_path").alias("file"), "verified"), keys, "left")
+    none = F.array().cast("array<string>")
+    return rows.withColumns({"lines": F.coalesce("lines", F.lit(0)).cast("bigint"), "kinds": F.coalesce("kinds", none), **{c: F.coalesce(c, F.lit(False)) for c in ("flagged_nr", "flagged_top3", "verified")}})
+
+
+def corpus_filter(sessions: DataFrame, now: Column, min_actions: int = MIN_ACTIONS, recent_s: int = RECENT_S) -> DataFrame:
+    """Sessions of (actions, modified) with ``excluded``: 'recent' while they may still change, 'low_actions', or null where they stay."""
+    return sessions.withColumn("excluded", F.when(now - F.col("modified") < recent_s, "recent").when(F.col("actions") < min_actions, "low_actions"))
+
+
+def number_sessions(sessions: DataFrame) -> DataFrame:
+    """Sessions of (project, unit_id, start) with their place in the project, ``seq``, and its last one, ``last_seq``."""
+    rows = sessions.withColumn("seq", (F.row_number().over(Window.partitionBy("project").orderBy("start", "unit_id")) - 1).cast("bigint"))
+    return rows.withColumn("last_seq", F.max("seq").over(Window.partitionBy("project")))
 
 
 def build_pairs(files: DataFrame, next_k: int = 3, days: int = 14) -> DataFrame:
     """(session, edited file) rows with baselines and outcomes in later sessions of the project.
 
-    ``files`` has project, seq, start (epoch), file, edits, lines, failed, flagged_nr, flagged_top3. The last session
-    of a project has no future and is left out. Later sessions meet by project and file, then by range.
+    ``files`` has project, seq, start (epoch), file, edits, lines, failed, flagged_nr, flagged_top3, and, where known,
+    ``last_seq`` (the project's last session, whether or not it edits a file) and ``strong`` (a later row counts as a
+    strong outcome; else flagged_nr tells). The last session of a project has no future and is left out. What comes later
+    is the least place and the least start among a file's later sessions: running minima, so no session meets another.
     """
     w = Window.partitionBy("project", "seq")
-    rows = files.withColumn("last_seq", F.max("seq").over(Window.partitionBy("project")))
+    strong = F.col("strong") if "strong" in files.columns else F.col("flagged_nr")
+    rows = files if "last_seq" in files.columns else files.withColumn("last_seq", F.max("seq").over(Window.partitionBy("project")))
     rows = rows.withColumn("by_edits", F.row_number().over(w.orderBy(F.desc("edits"), "file"))).withColumn("by_lines", F.row_number().over(w.orderBy(F.desc("lines"), "file")))
-    later = files.select(F.col("project").alias("p"), F.col("file").alias("f"), F.col("seq").alias("s"), F.col("start").alias("st"), F.col("flagged_nr").alias("strong"))
-    on = (F.col("project") == F.col("p")) & (F.col("file") == F.col("f")) & (F.col("s") > F.col("seq")) & ((F.col("s") <= F.col("seq") + next_k) | (F.col("st") <= F.col("start") + days * 86400))
-    near = F.col("s") <= F.col("seq") + next_k
-    soon = F.col("st") <= F.col("start") + days * 86400
-    seen = rows.select("project", "seq", "start", "file").join(later, on).groupBy("project", "seq", "file").agg(
-        F.bool_or(near).alias("next3_weak"), F.bool_or(near & F.col("strong")).alias("next3_strong"), F.bool_or(soon).alias("within14d_weak"), F.bool_or(soon & F.col("strong")).alias("within14d_strong")
-    )
-    out = rows.where(F.col("seq") < F.col("last_seq")).join(seen, ["project", "seq", "file"], "left")
+    later = Window.partitionBy("project", "file").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    near, soon = F.col("seq") + next_k, F.col("start") + days * 86400
+    rows = rows.withColumns({
+        "next3_weak": F.min("seq").over(later) <= near, "next3_strong": F.min(F.when(strong, F.col("seq"))).over(later) <= near,
+        "within14d_weak": F.min("start").over(later) <= soon, "within14d_strong": F.min(F.when(strong, F.col("start"))).over(later) <= soon,
+    })
+    out = rows.where(F.col("seq") < F.col("last_seq"))
     out = out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("next3_weak", "next3_strong", "within14d_weak", "within14d_strong")})
     return out.withColumns({
         "base_edits_ge2": F.col("edits") >= 2, "base_edits_ge4": F.col("edits") >= 4, "base_top3_edits": F.col("by_edits") <= 3, "base_lines_ge200": F.col("lines") >= 200,
@@ -96,6 +141,14 @@ def false_alarms(pairs: DataFrame) -> DataFrame:
     return pairs.select("next3_weak", rules).where("r.flag").groupBy(F.col("r.rule").alias("rule")).agg(F.count("*").alias("flagged"), F.count_if(~F.col("next3_weak")).alias("no_future_edit"), F.avg((~F.col("next3_weak")).cast("double")).alias("share"))
 
 
+def hypothesis(pairs: DataFrame) -> DataFrame:
+    """Whether a look back after the last edit matters: the review flag within each stratum of ``verified``, and 'standalone' its lack alone."""
+    flag, hit = F.col("flag"), F.col("next3_strong")
+    views = F.explode(F.array(F.struct(F.when(F.col("verified"), "verified").otherwise("unverified").alias("view"), F.col("flagged_nr").alias("flag")), F.struct(F.lit("standalone").alias("view"), (~F.col("verified")).alias("flag")))).alias("x")
+    t = pairs.select("next3_strong", views).select("next3_strong", "x.*").groupBy("view").agg(F.count_if(flag & hit).alias("a"), F.count_if(flag & ~hit).alias("b"), F.count_if(~flag & hit).alias("c"), F.count_if(~flag & ~hit).alias("d"))
+    return t.select("*", relative_risk().alias("rr"), precision().alias("precision"))
+
+
 def verdict(comparison: DataFrame) -> DataFrame:
     """Each product rule against the best baseline and the baselines at least as good in everything."""
     cell = comparison.where("window = 'next3' and outcome = 'strong'").select("rule", F.coalesce("rr", F.lit(0.0)).alias("rr"), F.coalesce("precision", F.lit(0.0)).alias("pr"), F.coalesce("miss_rate", F.lit(1.0)).alias("miss"), "rr_lo", "rr_hi")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 
 def _modules() -> list:
-    from . import log_queries, report_queries, source_queries, study_queries, text_queries, unit_queries
+    from . import log_queries, report_queries, source_queries, study_queries, text_queries, unit_queries, unit_study_queries
 
-    return [unit_queries, study_queries, text_queries, report_queries, log_queries, source_queries]
+    return [unit_queries, study_queries, text_queries, report_queries, log_queries, source_queries, unit_study_queries]
 
 
 def queries() -> dict[str, Callable]:

@@ -44,10 +44,10 @@ p AS (SELECT project, seq, file, edits, lines, failed, flagged_nr, flagged_top3,
  CASE WHEN edits<=1 THEN '1' WHEN edits<=3 THEN '2-3' ELSE '4+' END AS stratum FROM pr0 LEFT JOIN oc USING (project, seq, file) WHERE seq<ls)"""
 
 
-def _long(extra: str = "") -> str:
+def _long(extra: str = "", base: str = PAIRS) -> str:
     arms = [f"SELECT {extra}'{r}' AS rule, '{w}' AS \"window\", '{o}' AS outcome, {r} AS flag, {w}_{o} AS hit FROM p" for r in study.RULES for w in study.WINDOWS for o in study.OUTCOMES]
     keys = f'{extra}rule, "window", outcome'
-    return PAIRS + ",\nlg AS (" + "\nUNION ALL ".join(arms) + f"),\nct AS (SELECT {keys}, count(*) FILTER (flag AND hit) AS a, count(*) FILTER (flag AND NOT hit) AS b, count(*) FILTER (NOT flag AND hit) AS c, count(*) FILTER (NOT flag AND NOT hit) AS d FROM lg GROUP BY {keys})"
+    return base + ",\nlg AS (" + "\nUNION ALL ".join(arms) + f"),\nct AS (SELECT {keys}, count(*) FILTER (flag AND hit) AS a, count(*) FILTER (flag AND NOT hit) AS b, count(*) FILTER (NOT flag AND hit) AS c, count(*) FILTER (NOT flag AND NOT hit) AS d FROM lg GROUP BY {keys})"
 
 
 RR = "CASE WHEN a+b>0 AND c>0 THEN (CAST(a AS DOUBLE)/nullif(a+b,0))/(CAST(c AS DOUBLE)/nullif(c+d,0)) END"

@@ -175,13 +175,25 @@ def agent_texts(events: DataFrame) -> DataFrame:
     return rows.where("text <> ''").select("file", "session_id", "line_no", "block_pos", "text")
 
 
+USAGE = {"input": "input_tokens", "output": "output_tokens", "cache_read": "cache_read_input_tokens", "cache_creation": "cache_creation_input_tokens"}
+
+
+def message_usage(events: DataFrame) -> DataFrame:
+    """(file, session_id, message_id, line_no, input, output, cache_read, cache_creation): tokens that the last line of each message states."""
+    u = F.struct("line_no", *[F.coalesce(long_at("v", f"$.message.usage.{p}"), F.lit(0)).alias(c) for c, p in USAGE.items()])
+    rows = events.withColumn("message_id", text_at("v", "$.message.id")).where(F.col("message_id").isNotNull() & present("v", "$.message.usage"))
+    return rows.groupBy("file", "session_id", "message_id").agg(F.max_by(u, "line_no").alias("u")).select("file", "session_id", "message_id", "u.*")
+
+
 def usage(events: DataFrame) -> DataFrame:
     """Tokens of each message, its last line's, then summed a file."""
-    parts = {"input": "input_tokens", "output": "output_tokens", "cache_read": "cache_read_input_tokens", "cache_creation": "cache_creation_input_tokens"}
-    u = F.struct(*[F.coalesce(long_at("v", f"$.message.usage.{p}"), F.lit(0)).alias(c) for c, p in parts.items()])
-    rows = events.withColumn("mid", text_at("v", "$.message.id")).where(F.col("mid").isNotNull() & present("v", "$.message.usage"))
-    last = rows.groupBy("file", "session_id", "mid").agg(F.max_by(u, "line_no").alias("u"))
-    return last.groupBy("file", "session_id").agg(*[F.sum(f"u.{c}").alias(c) for c in parts])
+    return message_usage(events).groupBy("file", "session_id").agg(*[F.sum(c).alias(c) for c in USAGE])
+
+
+def window_fill(events: DataFrame) -> DataFrame:
+    """How full the context was at each message of a file, in order of lines: what was sent and what came from the cache."""
+    w = Window.partitionBy("file").orderBy("line_no", "message_id")
+    return message_usage(events).select("file", "message_id", F.row_number().over(w).cast("bigint").alias("turn"), (F.col("input") + F.col("cache_read")).alias("fill"))
 
 
 def decisions(calls: DataFrame, got: DataFrame) -> DataFrame:
