@@ -20,7 +20,7 @@ from . import order
 
 @dataclass
 class Units:
-    """``members``: unit_id, project, session_id, session_ix, path, first, last, kept, dropped, gap_min;
+    """``members``: unit_id, project, session_id, session_ix, path, first_ts, last_ts, first, last, kept, dropped, gap_min;
     ``actions``, ``turns``, ``prose``, ``decisions``, ``tasks``: the members' rows with unit_id and session_ix;
     ``sessions``: counters of each kept member; ``units``: the counters merged."""
 
@@ -46,7 +46,7 @@ def unit_members(events: DataFrame, idle_s: int = order.IDLE_S, cap: int = order
     """Main transcripts with their unit; those whose stamps can't be read are units of their own."""
     main = events.where("agent_id is null and session_id is not null")
     spans = main.groupBy("file", "session_id").agg(F.min("own_ts").alias("first_ts"), F.max("own_ts").alias("last_ts"))
-    spans = spans.select(folder_of(F.col("file")).alias("project"), F.col("file").alias("path"), "session_id", "first_ts", epoch(F.col("first_ts")).alias("first"), epoch(F.col("last_ts")).alias("last"))
+    spans = spans.select(folder_of(F.col("file")).alias("project"), F.col("file").alias("path"), "session_id", "first_ts", "last_ts", epoch(F.col("first_ts")).alias("first"), epoch(F.col("last_ts")).alias("last"))
     placed = order.work_units(spans.where("first is not null and last is not null"), idle_s).withColumn("unit_id", F.concat("project", F.col("unit").cast("string")))
     odd = spans.where("first is null or last is null").withColumn("unit_id", F.concat(F.lit("?"), "path"))
     rows = placed.unionByName(odd, allowMissingColumns=True)
@@ -57,7 +57,7 @@ def unit_members(events: DataFrame, idle_s: int = order.IDLE_S, cap: int = order
     kept = w.orderBy(F.desc("kept"), "first_ts", "path")
     end = F.max("last").over(kept.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("session_ix", F.row_number().over(kept) - 1).withColumn("gap_min", F.when(F.col("kept") & (F.col("session_ix") > 0), F.coalesce((F.col("first") - end) / 60.0, F.lit(0.0))))
-    return rows.select("unit_id", "project", "session_id", "session_ix", "path", "first_ts", "first", "last", "kept", "dropped", "gap_min")
+    return rows.select("unit_id", "project", "session_id", "session_ix", "path", "first_ts", "last_ts", "first", "last", "kept", "dropped", "gap_min")
 
 
 def own_files(events: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import scalars as X
-from ..operators import assemble, context, detect, rank, study
+from ..operators import assemble, context, detect, rank, study, unit_payloads
 from ..sources import transcripts as T
 from ..sources.scratch import kept as written
 from . import base_sql as B
-from .log_queries import TALK, UNIT_FINDINGS, _json, log_lines, talk_lines
+from .log_queries import COUNTERS, LOGS, MERGED, SQL as LOG_SQL, TALK, UNIT_FINDINGS, _json, log_lines, talk_lines
 from .study_queries import AGREE, COMPARED, RR, _long
 
 QUERIES: dict = {}
@@ -203,3 +203,55 @@ def a03(spark, d):
 @query("v21_fill_from_logs", B.sql(STREAMED, "SELECT file, 'm' || turn AS message_id, row_number() OVER (PARTITION BY file ORDER BY turn) AS turn, input+cache_read AS fill FROM c"))
 def v21(spark, d):
     return T.window_fill(T.parse(streamed_lines(spark, d)))
+
+
+# ---- payloads ------------------------------------------------------------------------------------
+
+def noted_lines(spark: SparkSession, d: str) -> DataFrame:
+    """``log_lines`` and, at the end of main transcripts, a line of an unmodelled type for every stamped command; type names up to 3,500 characters long."""
+    lines = log_lines(spark, d)
+    k = F.get_json_object("value", "$.message.usage.input_tokens").cast("int") % 40
+    name = F.concat(F.lit("x-"), k.cast("string"), F.repeat(F.lit("a"), k * 90))
+    stamp = F.get_json_object("value", "$.timestamp")
+    commands = lines.where(F.col("agent_id").isNull() & F.contains("value", F.lit('"name":"Bash"'))).where(stamp.isNotNull())
+    return lines.unionByName(commands.withColumn("line_no", F.col("line_no") + 1000000).withColumn("value", _json(type=name, timestamp=stamp)))
+
+
+DISCLOSED = """xo AS (SELECT project, count(*) AS unplaced FROM su0 WHERE first IS NULL GROUP BY ALL),
+xw AS (SELECT unit_id, km.project, count(*) AS sessions, coalesce(string_agg(CAST(round(gap_min,2) AS VARCHAR), ',' ORDER BY session_ix) FILTER (session_ix>0), '') AS gaps, coalesce(arg_min(km.first_ts, session_ix), '') AS s, coalesce(max(sp.last_ts), '') AS e, string_agg('"' || left(km.session, 8) || '"', ',' ORDER BY session_ix) AS ids, max(dropped) AS dropped FROM km JOIN sp USING (path) GROUP BY ALL),
+xu AS (SELECT unit_id, CASE WHEN sessions>1 OR dropped>0 OR coalesce(unplaced,0)>0 THEN '{"rule":"same project; joined when a transcript overlaps the previous or starts within 30 min of its end","sessions":' || sessions || ',"joined_gaps_min":[' || gaps || '],"span_start":"' || s || '","span_end":"' || e || '","session_ids":[' || ids || '],"dropped":' || dropped || ',"members_unreadable":0,"siblings_unplaced":' || coalesce(unplaced,0) || '}' END AS work_unit FROM xw LEFT JOIN xo USING (project))"""
+
+
+@query("t12_disclosure_from_logs", B.sql(LOGS, ",\n" + DISCLOSED + " SELECT unit_id, work_unit FROM xu"))
+def t12(spark, d):
+    """What was merged into each unit, with members dropped and transcripts that have no place."""
+    return unit_payloads.disclosure(assemble.assemble(log_lines(spark, d))).select("unit_id", "work_unit")
+
+
+OVER = LOG_SQL["l04_unit_overview"].rsplit("SELECT unit_id, members, dropped, gaps, actions", 1)
+
+@query("t01_overview_payload", OVER[0].rstrip() + ",\n" + DISCLOSED + """,
+xv AS (SELECT unit_id, members, dropped, gaps, actions""" + OVER[1] + """),
+xt AS (SELECT unit_id, 'x-' || k%40 || repeat('a', CAST(k%40*90 AS INT)) AS type, count(*) AS n FROM e3 JOIN km USING (session) WHERE place='m' AND kind='Bash' AND event_id%13<>0 GROUP BY ALL),
+xn AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY n DESC, type) AS pos FROM xt),
+fq AS (SELECT unit_id, file, CASE WHEN kind IN ('churn','rework','re_read') THEN kind WHEN kind='failure_loop' THEN 'failure_loops' WHEN kind='blind_write_attempt' THEN 'fumbles' ELSE 'action_loops' END AS cat, sum(CASE WHEN kind IN ('churn','failure_loop','re_read') THEN len(idxs) ELSE 1 END) AS n FROM f WHERE file IS NOT NULL AND kind IN ('churn','rework','re_read','failure_loop','blind_write_attempt','action_loop') GROUP BY ALL),
+fj AS (SELECT unit_id, file, string_agg('"' || cat || '":' || CAST(n AS BIGINT), ',' ORDER BY cat) AS b FROM fq GROUP BY ALL),
+tj AS (SELECT rk.unit_id, string_agg('{"file":"' || file || '","class":"' || """ + B.CLASS + """ || '","edits":' || coalesce(edits,0) || ',"breakdown":{' || b || '}}', ',' ORDER BY rank) AS top FROM rk JOIN fj USING (unit_id, file) LEFT JOIN ed USING (unit_id, file) WHERE rank<=3 GROUP BY ALL),
+xb AS (SELECT unit_id, '{"v":2,"session":{"id":"' || unit_id || '","identified_by":"unit","started":' || coalesce('"' || nullif(started,'') || '"', 'null') || ',"duration_min":' || coalesce(CAST(duration_min AS VARCHAR), 'null') || '},"totals":{"actions":' || actions || ',"file_ops":' || file_ops || ',"lines_written":' || lines_written || ',"file_ops_unconfirmed":' || file_ops_unconfirmed || ',"edits":' || edits || ',"writes":' || writes || ',"reads":' || reads || ',"bash":' || bash || ',"files_touched":' || files_touched
+ || ',"interrupts":0},"tokens":{"output":' || output || ',"cache_read":0,"cache_hit_ratio":' || coalesce(CAST(cache_hit_ratio AS VARCHAR), 'null') || '},"top_struggles":[' || coalesce(top,'') || '],"top_struggles_total":' || ranked_files || ',"patch_first_segment_share":' || coalesce(CAST(patch_first_share AS VARCHAR), 'null') || ',"flags":{"unknown_event_types":{' AS head,
+ (SELECT count(*) FROM xn WHERE xn.unit_id=xv.unit_id) AS types, ',"parse_errors":0,"untimestamped_lines":' || untimestamped || ',"subagent_files_missing":' || missing || '},"truncated":' AS mid, coalesce(',"work_unit":' || work_unit, '') || '}' AS tail FROM xv JOIN xu USING (unit_id) LEFT JOIN tj USING (unit_id)),
+xk AS (SELECT unit_id, k, head || coalesce((SELECT string_agg('"' || type || '":' || n, ',' ORDER BY type) FROM xn WHERE xn.unit_id=xb.unit_id AND xn.pos<=k), '') || '},"unknown_event_types_total":' || types || mid || CASE WHEN types>k THEN 'true' ELSE 'false' END || tail AS payload FROM xb, (SELECT unnest(range(9)) AS k) WHERE k<=types)
+SELECT unit_id, CAST(max(k) AS INT) AS types_shown, arg_max(payload, k) AS payload FROM xk WHERE k=0 OR ceil(strlen(payload)/3.5)<=1000 GROUP BY unit_id""")
+def t01(spark, d):
+    """The overview of each unit as its JSON, cut to a thousand tokens."""
+    u = assemble.assemble(noted_lines(spark, d))
+    a, t = written(u.actions, "actions"), written(u.turns, "turns")
+    return unit_payloads.overviews(u, a, t, rank.rank_files(written(detect.all_findings(a, t), "findings"), a))
+
+
+@query("t05_health_payload", "WITH " + LOGS + COUNTERS.rstrip() + ",\n" + MERGED + """,
+xr AS (SELECT unit_id, round(CAST(count(DISTINCT file_path) FILTER (kind='Read') AS DOUBLE)/nullif(count(DISTINCT file_path) FILTER (kind IN ('Edit','Write')),0), 2) AS ratio FROM a GROUP BY ALL)
+SELECT unit_id, '{"v":2,"session":{"id":"' || unit_id || '","identified_by":"unit"},"cache_hit_ratio":' || CASE WHEN input>0 THEN '0.0' ELSE 'null' END || ',"tokens":{"output":' || coalesce(output,0) || ',"input_uncached":' || input || ',"cache_read":0,"cache_creation":0},"read_edit_file_ratio":' || coalesce(CAST(ratio AS VARCHAR), 'null') || ',"note":"v0.1 reports context economics as information only; token-level waste deferred","truncated":false}' AS payload FROM un LEFT JOIN xr USING (unit_id)""")
+def t05(spark, d):
+    u = assemble.assemble(log_lines(spark, d))
+    return unit_payloads.health(u, u.actions)
