@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalars import redact
 from ..operators import adapters, detect, order, privacy, quality, rank, reports, shrink
@@ -10,11 +10,16 @@ from ..sources import transcripts as T
 from ..sources.scratch import kept, scratch_path
 from ..streaming import live
 from . import base_sql as B
+from .text_queries import SQL as TEXT_SQL, TALK, folded
 from .unit_queries import OVERVIEW, acts, big, cached_actions, findings_of, joined, overview_columns
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
+#: x12_redact's tables from i (doc_id, s) on, and its last select.
+REDACT_SQL = TEXT_SQL["x12_redact"].split("\nb AS", 1)[1].rsplit("\nSELECT ", 1)
+REDACT_SQL[0] = "b AS" + REDACT_SQL[0]
+
 
 def query(name: str, sql: str | None = None):
     def add(f):
@@ -124,9 +129,11 @@ def t07(spark, d):
     return reports.review_context(*cached_actions(spark, d)).select(big("unit_id"), "requests", "unknown_turns", "pushbacks", "files_edited", "failing_commands")
 
 
-@query("t08_session_intent")
+@query("t08_session_intent", "WITH RECURSIVE " + TALK + ",\ni AS (SELECT unit_id*1000000+line_no AS doc_id, text AS s FROM tu WHERE origin<>'NonHuman'),\n" + REDACT_SQL[0] + ",\nrd AS (SELECT " + REDACT_SQL[1] + """),
+it AS (SELECT unit_id, line_no, CAST(strlen(rd.text) AS BIGINT) AS cost, row_number() OVER (PARTITION BY unit_id ORDER BY line_no) AS rn, count(*) OVER (PARTITION BY unit_id) AS n, rd.text AS quote FROM tu LEFT JOIN rd ON rd.doc_id=unit_id*1000000+line_no WHERE origin<>'NonHuman'),
+""" + folded(4000) + ", gu AS (SELECT unit_id, n, unnest(kept) AS line_no FROM gl)\nSELECT gu.unit_id, gu.line_no, gu.n, quote FROM gu JOIN it ON it.unit_id=gu.unit_id AND it.line_no=gu.line_no")
 def t08(spark, d):
-    """Each conversation's requests, redacted, that fit a budget in order; checked by a test of the fold."""
+    """Each conversation's requests, redacted, that fit a budget in order."""
     from .text_queries import talk
 
     t, _ = talk(spark, d)
@@ -334,6 +341,24 @@ def pr2(spark, d):
     return out.select("session_id", "lines_before", "lines_after", "structure_kept", "ids_kept", "usage_kept", big("leaks"))
 
 
+@query("pr2_audit_failing", """WITH l AS (SELECT CAST(user_id AS VARCHAR) AS session_id, any_value(user_id%5) AS c, count(*) AS n FROM events GROUP BY 1)
+SELECT session_id, n AS lines_before, CASE WHEN c<>1 THEN n WHEN n>1 THEN n-1 END AS lines_after, c<>1 AS structure_kept, c NOT IN (1,2) AS ids_kept, c NOT IN (1,3) AS usage_kept, CAST(CASE WHEN c=4 THEN 1 ELSE 0 END AS BIGINT) AS leaks FROM l""")
+def pr2b(spark, d):
+    """Audits of scrubbed logs of which most were spoilt after: a line lost, a link changed, tokens changed, a text let through."""
+    e = adapters.events(spark, d)
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    own = F.concat(F.lit("e"), F.col("event_id").cast("string"))
+    e = e.select(F.col("user_id").cast("string").alias("session_id"), (F.col("user_id") % 5).alias("c"), F.row_number().over(w).cast("bigint").alias("line_no"), own.alias("uuid"), F.lag(own).over(w).alias("parentUuid"))
+    usage = F.struct((F.col("line_no") + 1000).alias("input_tokens"), F.lit(2).alias("output_tokens"))
+    before = e.select("session_id", "c", "line_no", F.to_json(F.struct(F.lit("assistant").alias("type"), "uuid", "parentUuid", F.lit("/home/u").alias("cwd"), F.struct(usage.alias("usage")).alias("message"))).alias("value"))
+    after = privacy.pseudonymise(before, ["session_id", "c", "line_no"])
+    first, c = F.col("line_no") == 1, F.col("c")
+    spoilt = F.when(first & (c == 2), F.regexp_replace("value", '"uuid":"', '"uuid":"z')).when(first & (c == 3), F.regexp_replace("value", '"input_tokens":1', '"input_tokens":2')).when(first & (c == 4), F.regexp_replace("value", r"\}$", ',"cwd2":"/home/u"}')).otherwise(F.col("value"))
+    after = after.where(~(first & (c == 1))).withColumn("value", spoilt)
+    out = privacy.audit(before, after, "session_id", ["/home/u"])
+    return out.select("session_id", "lines_before", "lines_after", "structure_kept", "ids_kept", "usage_kept", big("leaks"))
+
+
 # ---- streams -------------------------------------------------------------------------------
 
 LANDED = "event_id long, ts timestamp, user_id long, event_type string, project long, k long"

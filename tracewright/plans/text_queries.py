@@ -325,9 +325,16 @@ def j03(spark, d):
     return o.join(ok, o.o_orderkey == ok.l_orderkey).select(big("o_orderkey", "task"), F.coalesce("s", "o_orderstatus").alias("status"))
 
 
-@query("r06_greedy_skip", None)
+def folded(cap: int) -> str:
+    """The greedy walk over it (unit_id, line_no, cost, rn, n), restated as a recursion: a step an item."""
+    return f"""g AS (SELECT unit_id, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT unit_id FROM it)
+ UNION ALL SELECT g.unit_id, it.rn, CASE WHEN used+cost<={cap} THEN used+cost ELSE used END, CASE WHEN used+cost<={cap} THEN list_append(kept, CAST(it.line_no AS BIGINT)) ELSE kept END FROM g JOIN it ON it.unit_id=g.unit_id AND it.rn=g.rn+1),
+gl AS (SELECT g.unit_id, n, used, kept FROM g JOIN it ON it.unit_id=g.unit_id AND it.rn=g.rn AND it.rn=it.n)"""
+
+
+@query("r06_greedy_skip", "WITH RECURSIVE " + TALK + ",\nit AS (SELECT unit_id, line_no, CAST(ceil(strlen(text)/3.5) AS BIGINT) AS cost, row_number() OVER (PARTITION BY unit_id ORDER BY line_no) AS rn, count(*) OVER (PARTITION BY unit_id) AS n FROM tu),\n" + folded(400) + "\nSELECT unit_id, n, used, array_to_string(kept, ',') AS kept FROM gl")
 def r06(spark, d):
-    """Each conversation's requests that still fit a budget of 400 estimated tokens, in order; checked by a test."""
+    """Each conversation's requests that still fit a budget of 400 estimated tokens, in order."""
     t, _ = talk(spark, d)
     out = rank.greedy_skip(t.withColumn("cost", X.est_tokens(F.col("text"))), "unit_id", "line_no", "cost", 400)
     return out.select("unit_id", big("n"), "used", joined("kept"))
