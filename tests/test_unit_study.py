@@ -81,3 +81,45 @@ def test_health_drops_its_note(units):
     assert whole["note"] and not whole["truncated"] and whole["tokens"]["input_uncached"] == 6 and whole["cache_hit_ratio"] == 0.25
     bare = {r.unit_id: json.loads(r.payload) for r in unit_payloads.health(units, units.actions, 10).collect()}["p/1"]
     assert bare["note"] == "" and bare["truncated"] is True
+
+
+@pytest.fixture(scope="module")
+def talked(spark):
+    """A transcript with thirty requests, five decisions of three options, tasks and prose."""
+    rows = []
+
+    def add(kind, content, **more):
+        rows.append(("p/s1.jsonl", "11111111-x", None, len(rows), json.dumps({"type": kind, "timestamp": f"2024-01-01T00:00:{len(rows) % 60:02d}Z", "message": {"id": f"m{len(rows)}", "content": content}, **more})))
+
+    for i in range(30):
+        add("user", f'say "{i}" ' + "é" * (600 if i == 2 else 40), origin={"kind": "human"})
+        add("assistant", [{"type": "text", "text": f"done {i}"}])
+    for i in range(5):
+        add("assistant", [{"type": "tool_use", "id": f"q{i}", "name": "AskUserQuestion", "input": {"questions": [{"question": f"Q{i}", "options": [{"label": x} for x in "ABC"]}]}}])
+        add("user", [{"type": "tool_result", "tool_use_id": f"q{i}"}], toolUseResult={"answers": {f"Q{i}": "B"}})
+    add("assistant", [{"type": "tool_use", "id": "k", "name": "TaskCreate", "input": {"subject": "S"}}])
+    add("user", [{"type": "tool_result", "tool_use_id": "k"}], toolUseResult={"task": {"id": "1"}})
+    u = assemble.assemble(spark.createDataFrame(rows, "file string, session_id string, agent_id string, line_no long, value string"))
+    u.actions.persist(), u.turns.persist()
+    return u
+
+
+def test_review_context_gives_way_by_one_in_all_lists(talked):
+    def at(cap):
+        r = unit_payloads.review_contexts(talked, talked.actions, talked.turns, cap=cap).collect()
+        assert len(r) == 1
+        return r[0].list_cap, r[0].payload, json.loads(r[0].payload)
+
+    k, text, x = at(unit_payloads.CONTEXT_CAP)
+    assert k == x["list_cap"] == 12 and x["truncated"] is True and "work_unit" not in x
+    assert x["totals"] == {"requests": 30, "files_edited": 0, "decisions": 5, "unfinished_tasks": 1, "failing_commands": 0, "claims": 30, "agent_texts_excluded": 0}
+    assert [r["line"] for r in x["scope"]["requests"]] == list(range(0, 24, 2)) and x["scope"]["requests"][0]["text"].startswith('say "0" é') and "elided" in x["scope"]["requests"][2]["text"]
+    assert x["decisions"][1] == {"question": "Q1", "chosen": "B", "options_not_chosen_total": 2, "idxs": [1], "line": 62, "options_not_chosen": ["A", "C"]}
+    assert x["incomplete"]["unfinished_tasks"] == [{"subject": "S", "last_status": "pending", "line": 70}]
+    assert x["claims"][0] == {"text": "done 0", "line": 1, "window_interrupted": False}
+    size = math.ceil(len(text.encode()) / 3.5)
+    assert at(size)[0] == 12
+    fewer = at(size - 1)
+    assert fewer[0] == 11 and len(fewer[2]["claims"]) == 11 and math.ceil(len(fewer[1].encode()) / 3.5) < size
+    least = at(1)
+    assert least[0] == 0 and least[2]["claims"] == [] and least[2]["totals"]["requests"] == 30

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.scalars import elide_middle, is_edit, short_id
-from . import payloads
+from ..functions.scalars import elide_middle, is_edit, is_quotable_turn, short_id
+from . import context, payloads
 from .assemble import Units
 from .shrink import PATH_MAX, fits
 
 # Caps in tokens and characters, how many unmodelled types are listed, the rule of units, the note.
 CAP_TOKENS, ID_MAX, TS_MAX, TYPES_MAX = 1000, 120, 40, 8
 RULE = "same project; joined when a transcript overlaps the previous or starts within 30 min of its end"
+CONTEXT_CAP, LIST_MAX, QUOTE_MAX = 2000, 12, 500
+LISTS = ["requests", "files_edited", "decisions", "unfinished_tasks", "failing_commands", "claims"]
 NOTE = "v0.1 reports context economics as information only; token-level waste deferred"
 
 
@@ -19,6 +21,12 @@ def _json(x: Column) -> Column:
     return F.to_json(x, {"ignoreNullFields": "false"})
 
 
+def _quote(x: Column) -> Column:
+    """A JSON string."""
+    j = F.to_json(F.array(x))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
+
+
 def _text(x: Column) -> Column:
     return F.coalesce(x.cast("string"), F.lit("null"))
 
@@ -101,3 +109,86 @@ def health(units: Units, actions: DataFrame, cap: int = CAP_TOKENS) -> DataFrame
 
     rows = rows.select("unit_id", made(NOTE).alias("whole"), made("").alias("bare"))
     return rows.select("unit_id", F.when(fits(F.octet_length("whole"), cap), F.col("whole")).otherwise(F.col("bare")).alias("payload"))
+
+
+def _listed(rows: DataFrame, name: str, by: list[str | Column], item: Column, cut: Column, options: Column | None = None) -> DataFrame:
+    """(unit_id, name_total, name): the first items of each unit as (JSON before its options, options, JSON after, cut)."""
+    none = F.array().cast("array<struct<j:string,cut:boolean>>")
+    x = F.struct(F.row_number().over(Window.partitionBy("unit_id").orderBy(*by)).alias("rn"), item.alias("j"), F.lit(options is not None).alias("asks"), (options if options is not None else none).alias("options"), F.coalesce(cut, F.lit(False)).alias("cut"))
+    some = rows.select("unit_id", x.alias("x"))
+    return some.groupBy("unit_id").agg(F.count("*").alias(f"{name}_total"), F.sort_array(F.collect_list(F.when(F.col("x.rn") <= LIST_MAX, F.col("x")))).alias(name))
+
+
+def review_contexts(units: Units, actions: DataFrame, turns: DataFrame, excluded: DataFrame | None = None, unreadable: DataFrame | None = None, cap: int = CONTEXT_CAP) -> DataFrame:
+    """(unit_id, list_cap, payload): what was asked, changed, decided, left open and claimed, with totals.
+
+    All lists give way together: the most items, at most twelve of each, with which the payload fits the cap.
+    ``excluded``: (unit_id, n) of prose left out as the harness's own. Items name their member where a unit has several.
+    """
+    members = units.members.where("kept")
+    several = members.groupBy("unit_id").agg(F.count("*").alias("n_members"))
+    names = members.join(several.where("n_members > 1"), "unit_id").select("unit_id", "session_ix", F.concat(F.lit(',"session":"'), short_id(F.col("session_id")), F.lit('"')).alias("whose"))
+
+    def quoted(c: str) -> Column:
+        return elide_middle(F.col(c), QUOTE_MAX)
+
+    def long(c: str, most: int = QUOTE_MAX) -> Column:
+        return F.length(c) > most
+
+    def item(*fields: Column | str) -> Column:
+        """An object without its last brace, with its member's name."""
+        j = _json(F.struct(*fields))
+        return F.concat(F.substring(j, F.lit(1), F.length(j) - 1), F.coalesce("whose", F.lit("")))
+
+    def named(rows: DataFrame) -> DataFrame:
+        return rows.join(names, ["unit_id", "session_ix"], "left")
+
+    asked = named(turns.where(is_quotable_turn(F.col("origin"))))
+    files = actions.where(is_edit(F.col("kind")) & ~F.col("is_error").eqNullSafe(True) & F.col("file_path").isNotNull()).select("unit_id", "file_path").distinct()
+    decided = named(context.resolve_decisions(units.decisions, actions))
+    options = F.transform("rejected", lambda o: F.struct(_quote(elide_middle(o, QUOTE_MAX)).alias("j"), (F.length(o) > QUOTE_MAX).alias("cut")))
+    tasks = units.tasks.groupBy("unit_id", "session_ix", "lane", "id").agg(F.max_by("status", F.struct("line_no", "block_pos")).alias("status"), F.max_by("subject", F.when(F.col("subject").isNotNull(), F.struct("line_no", "block_pos"))).alias("subject"), F.max("line_no").alias("line_no"))
+    tasks = named(tasks.where(~F.col("status").isin("completed", "deleted")))
+    failing = context.failing_commands(actions).withColumn("whose", F.lit(None).cast("string"))
+    said = named(payloads.claims(units.prose, turns))
+    line = F.col("line_no").alias("line")
+    parts = [
+        _listed(asked, "requests", ["effective_ts", "session_ix", "line_no"], item(quoted("text").alias("text"), line), long("text")),
+        _listed(files, "files_edited", ["file_path"], _quote(elide_middle(F.col("file_path"), PATH_MAX)), long("file_path", PATH_MAX)),
+        _listed(decided, "decisions", ["session_ix", "line_no", "question"], item(quoted("question").alias("question"), quoted("answer").alias("chosen"), F.size("rejected").alias("options_not_chosen_total"), "idxs", line), long("question") | F.coalesce(long("answer"), F.lit(False)), options),
+        _listed(tasks, "unfinished_tasks", ["session_ix", F.col("lane").isNotNull(), "lane", "id"], item(quoted("subject").alias("subject"), quoted("status").alias("last_status"), line), F.coalesce(long("subject"), F.lit(False)) | long("status")),
+        _listed(failing, "failing_commands", ["idx"], item(quoted("command").alias("command"), F.array("idx").alias("idxs")), long("command")),
+        _listed(said, "claims", ["session_ix", "line_no"], item(quoted("text").alias("text"), line, F.col("interrupted").alias("window_interrupted")), long("text")),
+    ]
+    unknown = turns.groupBy("unit_id").agg(F.count_if(F.col("origin") == "Unknown").alias("unattributed"))
+    rows = units.units.select("unit_id").join(unknown, "unit_id", "left").join(disclosure(units, unreadable), "unit_id")
+    rows = rows.join(excluded.select("unit_id", F.col("n").alias("excluded")), "unit_id", "left") if excluded is not None else rows.withColumn("excluded", F.lit(0))
+    for p in parts:
+        rows = rows.join(p, "unit_id", "left")
+    none = F.array().cast("array<struct<rn:int,j:string,asks:boolean,options:array<struct<j:string,cut:boolean>>,cut:boolean>>")
+    rows = rows.na.fill(0, ["unattributed", "excluded", *(f"{n}_total" for n in LISTS)]).withColumns({n: F.coalesce(n, none) for n in LISTS})
+    whole = _json(F.struct(*[F.col(f"{n}_total").alias(n) for n in LISTS], F.col("excluded").alias("agent_texts_excluded")))
+    coverage = _json(F.struct(((F.col("unattributed") > 0) | (F.col("excluded") > 0)).alias("coverage_incomplete"), F.col("unattributed").alias("unattributed_turns"), F.col("excluded").alias("agent_texts_excluded")))
+    session = _json(F.struct(elide_middle(F.col("unit_id"), ID_MAX).alias("id"), F.lit("unit").alias("identified_by")))
+    rows = rows.select("unit_id", "cut", "unattributed", "work_unit", *LISTS, whole.alias("totals"), coverage.alias("coverage"), session.alias("session"), F.greatest(*[F.col(f"{n}_total") for n in LISTS]).alias("longest"))
+
+    def made(k: Column) -> Column:
+        def shown(name: str, closed: bool = True) -> Column:
+            def text(x: Column) -> Column:
+                asked = F.concat(F.lit(',"options_not_chosen":['), F.array_join(F.transform(F.slice(x["options"], 1, k), lambda o: o["j"]), ","), F.lit("]"))
+                return F.concat(x["j"], F.when(x["asks"], asked).otherwise(""), F.lit("}" if closed else ""))
+
+            return F.concat(F.lit("["), F.array_join(F.transform(F.slice(F.col(name), 1, k), text), ","), F.lit("]"))
+
+        hidden = F.exists(F.flatten(F.array(*[F.slice(F.col(n), 1, k) for n in LISTS])), lambda x: x["cut"] | (F.size(x["options"]) > k) | F.exists(F.slice(x["options"], 1, k), lambda o: o["cut"]))
+        truncated = (F.col("longest") > k) | hidden | F.col("cut") | (F.length("unit_id") > ID_MAX)
+        body = F.concat(
+            F.lit('{"v":3,"session":'), "session", F.lit(',"scope":{"requests":'), shown("requests"), F.lit(',"files_edited":'), shown("files_edited", False), F.lit(',"unattributed_turns":'), F.col("unattributed").cast("string"), F.lit('},"decisions":'), shown("decisions"),
+            F.lit(',"incomplete":{"unfinished_tasks":'), shown("unfinished_tasks"), F.lit(',"failing_commands":'), shown("failing_commands"), F.lit('},"claims":'), shown("claims"), F.lit(',"totals":'), "totals", F.lit(',"list_cap":'), k.cast("string"),
+            F.lit(',"coverage":'), "coverage", F.lit(',"attributed_intent_via":"session_intent","truncated":'), truncated.cast("string"), F.coalesce(F.concat(F.lit(',"work_unit":'), F.col("work_unit")), F.lit("")), F.lit("}"),
+        )
+        return F.struct(k.alias("k"), body.alias("payload"))
+
+    tries = F.transform(F.sequence(F.lit(LIST_MAX), F.lit(0), F.lit(-1)), made)
+    first = F.element_at(F.filter(tries, lambda x: (x["k"] == 0) | fits(F.octet_length(x["payload"]), cap)), 1)
+    return rows.select("unit_id", first.alias("x")).select("unit_id", F.col("x.k").alias("list_cap"), "x.payload")
