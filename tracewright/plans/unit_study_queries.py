@@ -255,3 +255,22 @@ SELECT unit_id, '{"v":2,"session":{"id":"' || unit_id || '","identified_by":"uni
 def t05(spark, d):
     u = assemble.assemble(log_lines(spark, d))
     return unit_payloads.health(u, u.actions)
+
+
+@query("t07_review_payload", B.sql(TALK, """, xq AS (SELECT file, count(*) AS n FROM ut WHERE origin='Human' AND trim(text)<>'' GROUP BY ALL),
+xd AS (SELECT file, sum(CASE WHEN turn%4=1 THEN CASE WHEN turn%8=5 THEN 2 ELSE 1 END ELSE 0 END + CASE WHEN turn%16=9 THEN 2 ELSE 0 END) AS n FROM c WHERE role='assistant' GROUP BY ALL),
+xt AS (SELECT file, count(*) AS n FROM c WHERE role='assistant' AND turn%4=3 AND (conv_id%5=0 OR turn%8<>3) GROUP BY ALL),
+xp AS (SELECT file, (SELECT count(*) FROM ut WHERE ut.file=c.file AND ut.line_no<c.line_no AND trim(ut.text)<>'') AS w FROM c WHERE role='assistant' AND conv_id%7<>0 AND trim(text, chr(32) || chr(9) || chr(10) || chr(13))<>''),
+xc AS (SELECT file, count(DISTINCT w) AS n FROM xp GROUP BY ALL)
+SELECT '?' || file AS unit_id, coalesce(xq.n,0) AS requests, CAST(coalesce(xd.n,0) AS BIGINT) AS decisions, coalesce(xt.n,0) AS unfinished_tasks, coalesce(xc.n,0) AS claims, true AS fits, true AS lists_as_stated FROM (SELECT DISTINCT file FROM c) LEFT JOIN xq USING (file) LEFT JOIN xd USING (file) LEFT JOIN xt USING (file) LEFT JOIN xc USING (file)"""))
+def t07(spark, d):
+    """Review contexts of conversations, read back from their JSON: totals, whether each fits its cap, and whether every list is as long as stated."""
+    u = assemble.assemble(asking_lines(spark, d))
+    p = unit_payloads.review_contexts(u, written(u.actions, "actions"), written(u.turns, "turns"))
+    total = {c: F.get_json_object("payload", f"$.totals.{c}").cast("bigint") for c in ("requests", "decisions", "unfinished_tasks", "claims")}
+    place = {"requests": "scope.requests", "decisions": "decisions", "unfinished_tasks": "incomplete.unfinished_tasks", "claims": "claims"}
+    stated = F.lit(True)
+    for c, at in place.items():
+        stated = stated & (F.json_array_length(F.get_json_object("payload", f"$.{at}")) == F.least(total[c], F.col("list_cap")))
+    fits = (F.col("list_cap") == 0) | (F.ceil(F.octet_length("payload") / 3.5) <= unit_payloads.CONTEXT_CAP)
+    return p.select("unit_id", *[x.alias(c) for c, x in total.items()], fits.alias("fits"), stated.alias("lists_as_stated"))
