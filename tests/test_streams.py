@@ -107,3 +107,16 @@ def test_batches_of_bounded_size(spark, tmp_path):
         assert sum(len(r["value"]) + 1 for r in rows) <= 1500 or len(rows) == 1
         before, seen = now, seen + len(rows)
     assert seen == 3002
+
+
+def test_small_keys_wait_in_one_value(spark, tmp_path):
+    """However many minutes a small key's rows lie in, it has one value, one timer and no entries of map state."""
+    d = str(tmp_path)
+    land(spark, d, [(u * 1000 + i, (i * 7) % 40 * 60, u, "click", 5) for u in range(5) for i in range(40)])
+    live.run_to_table(live.nudges(live.tail(spark, f"{d}/landing", SCHEMA, 1), 3, late="100 hours"), d)
+    held = spark.read.format("statestore").option("stateVarName", "held").load(f"{d}/log").select("key.user_id", "value.runs").collect()
+    timers = spark.read.format("statestore").option("readRegisteredTimers", True).load(f"{d}/log").count()
+    assert sorted(tuple(r) for r in held) == [(u, 0) for u in range(5)] and timers == 5
+    land(spark, d, [(9999, 90_000, 77, "view", 5)])
+    out = live.run_to_table(live.nudges(live.tail(spark, f"{d}/landing", SCHEMA, 1), 3, late="100 hours"), d)
+    assert sorted((r.user_id, r.edits) for r in out.collect()) == sorted((u, 3 * n) for u in range(5) for n in range(1, 14))

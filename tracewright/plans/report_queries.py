@@ -373,24 +373,26 @@ def landed(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, str]:
 
 
 LANDINGS = 4
+LANDING_ROWS = 500_000
 
 
 def landed_out_of_order(spark: SparkSession, d: str, name: str) -> tuple[DataFrame, str, str]:
-    """The events in LANDINGS files, a third of each one file late, with a closing mark a year on; and how late a row may be.
+    """The events in LANDINGS batches of files, a third of each one batch late, with a closing mark a year on; and how late a row may be.
 
     The mark has no user and moves the watermark behind all events, as the last line of a closed log would.
     """
     e = adapters.events(spark, d).select("event_id", "ts", "user_id", "event_type", (F.col("user_id") % 50).alias("project"), F.regexp_extract("props", r"(\d+)", 1).cast("bigint").alias("k"))
     folder = scratch_path(spark, name)
-    lo, hi = e.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).head()
+    lo, hi, n = e.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts")), F.count("*")).head()
+    files = n // LANDING_ROWS + 1
     step = ((hi or 0) - (lo or 0)) // (LANDINGS - 1) + 1
     at = F.floor((F.unix_seconds("ts") - F.lit(lo)) / step) + F.when(F.pmod(F.xxhash64("event_id"), F.lit(3)) == 0, 1).otherwise(0)
     e = e.withColumn("at", at)
     for k in range(LANDINGS):  # a file source takes files in the order in which they were written
-        e.where(F.col("at") == k).drop("at").repartition(1).write.mode("append").parquet(f"{folder}/landing")
+        e.where(F.col("at") == k).drop("at").repartition(files).write.mode("append").parquet(f"{folder}/landing")
     mark = spark.range(1).select(F.lit(None).cast("bigint").alias("event_id"), F.timestamp_seconds(F.lit(hi or 0) + 366 * 86_400).alias("ts"), *[F.lit(None).cast(t).alias(c) for c, t in (("user_id", "bigint"), ("event_type", "string"), ("project", "bigint"), ("k", "bigint"))])
     mark.write.mode("append").parquet(f"{folder}/landing")
-    return live.tail(spark, f"{folder}/landing", LANDED, 1), folder, f"{2 * step} seconds"
+    return live.tail(spark, f"{folder}/landing", LANDED, files), folder, f"{2 * step} seconds"
 
 
 @query("st2_stream_dedup", "SELECT user_id, event_id%1000 AS call, min(event_id%1) AS z, count(*) AS n FROM events GROUP BY ALL")
