@@ -79,3 +79,31 @@ def test_empty_logs(spark):
     u = assemble.assemble(spark.createDataFrame([], LINES))
     assert u.actions.count() == u.units.count() == 0
     assert detect.all_findings(u.actions, u.turns.withColumn("ts", F.col("ts"))).count() == 0
+
+
+def test_members_that_the_cap_drops_are_not_parsed(spark, tmp_path, monkeypatch):
+    """Only kept members' lines and claimed siblings are parsed; the rest of a unit is scanned for its stamps."""
+    import uuid
+
+    from pyspark.sql import functions as F
+
+    from tracewright.operators import assemble
+
+    def log(n):
+        return f"p/{uuid.UUID(int=n)}.jsonl", str(uuid.UUID(int=n))
+
+    def call(minute):
+        return '{"type":"assistant","timestamp":"2024-05-01T10:%02d:00Z","message":{"content":[{"type":"tool_use","id":"t","name":"Bash","input":{"command":"ls"}}]}}' % minute
+
+    rows = [(*log(n), None, 0, call(n)) for n in range(20)] + [("p/agent-x.jsonl", None, "x", 0, call(1))]
+    lines = spark.createDataFrame(rows, "file string, session_id string, agent_id string, line_no long, value string")
+    seen, parse = [], assemble.T.parse
+
+    def counted(df):
+        seen.append(df.agg(F.sort_array(F.collect_set("file"))).head()[0])
+        return parse(df)
+
+    monkeypatch.setattr(assemble.T, "parse", counted)
+    u = assemble.assemble(lines, cap=3)
+    assert sorted(f for some in seen for f in some) == [log(n)[0] for n in (17, 18, 19)]
+    assert u.actions.count() == 3 and [r.dropped for r in u.units.join(u.members.where("kept"), "unit_id").select("dropped").collect()] == [17] * 3
