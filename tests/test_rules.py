@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from tracewright.operators import adapters, detect, order, privacy, rank, study
+from tracewright.operators import adapters, detect, order, privacy, rank, relations, study
 from tracewright.plans import registry, unit_queries
 from tracewright.streaming import live
 
@@ -55,6 +55,28 @@ def test_pseudonyms_keep_structure_only(spark):
     assert r[0].value.count(privacy.pseudonym("/home/me/a.py")) == 2 and r[1].value == "xxxx" and r[2].value is None
 
 
+def test_sessions_are_counted_without_pairs(spark):
+    import random
+
+    r = random.Random(5)
+    s = [(r.choice("pq"), str(i), a, a + r.randrange(6)) for i in range(60) for a in [r.randrange(40)]] + [("p", "open", None, 9), (None, "lost", 1, 9)]
+    s = spark.createDataFrame(s, "project string, path string, first long, last long")
+    c = spark.createDataFrame([(r.choice("pqz"), i, r.randrange(60)) for i in range(40)], "project string, sha long, epoch long")
+    w = relations.commit_windows(c)
+    pairs = relations.sessions_in_windows(s, w).groupBy("project", "sha").count()
+    got = relations.sessions_per_window(s, w)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) and pairs.count() > 10
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_audit_scrubs_lines_once(spark):
+    before = spark.createDataFrame([("s", 1, '{"type":"user","uuid":"a"}'), ("s", 2, '{"type":"user"}'), ("t", 1, "{bad")], "s string, n int, value string")
+    out = privacy.audit(before, privacy.pseudonymise(before, ["s", "n"]).where("s = 's'"), "s", ["/home"])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = {r.s: (r.lines_before, r.lines_after, r.structure_kept, r.ids_kept, r.usage_kept, r.leaks) for r in out.collect()}
+    assert got == {"s": (2, 2, True, True, True, 0), "t": (1, None, False, True, False, 0)}
+
+
 def test_state_carries_over_batches(spark, tmp_path):
     rows = [(i, f"2026-01-01 00:00:0{i}", 1, "click", 0, k) for i, k in enumerate([3, 3, 3, 10, 5])]
     df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, project long, k long").withColumn("ts", F.to_timestamp("ts"))
