@@ -107,3 +107,13 @@ def test_members_that_the_cap_drops_are_not_parsed(spark, tmp_path, monkeypatch)
     u = assemble.assemble(lines, cap=3)
     assert sorted(f for some in seen for f in some) == [log(n)[0] for n in (17, 18, 19)]
     assert u.actions.count() == 3 and [r.dropped for r in u.units.join(u.members.where("kept"), "unit_id").select("dropped").collect()] == [17] * 3
+
+
+def test_lines_are_numbered_before_they_are_made(spark):
+    from tests.conftest import SF
+    from tracewright.plans.log_queries import log_lines
+
+    plan = log_lines(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    below = plan[plan.index("Exchange hashpartitioning"):]
+    assert "tool_use" not in below and "user_id" in below
