@@ -117,3 +117,27 @@ def test_lines_are_numbered_before_they_are_made(spark):
     assert plan.count("Exchange hashpartitioning") == 1
     below = plan[plan.index("Exchange hashpartitioning"):]
     assert "tool_use" not in below and "user_id" in below
+
+
+def test_lines_are_made_by_as_many_tasks_as_there_are_partitions(spark):
+    from tests.conftest import SF
+    from tracewright.plans.log_queries import log_lines
+
+    assert log_lines(spark, SF)._jdf.queryExecution().toRdd().getNumPartitions() == 4
+
+
+def test_only_main_transcripts_are_parsed_for_their_stamps(spark):
+    rows = [("p/m.jsonl", "m", None, 0, result(at(1), "x")), ("p/m/subagents/agent-a.jsonl", "m", "a", 0, result(at(2), "x")), ("p/agent-s.jsonl", None, "s", 0, result(at(3), "x"))]
+    got = assemble.T.stamped(spark.createDataFrame(rows, LINES)).select("file", "own_ts").collect()
+    assert {r.file: r.own_ts for r in got} == {"p/m.jsonl": at(1), "p/m/subagents/agent-a.jsonl": None, "p/agent-s.jsonl": None}
+
+
+def test_spans_are_grouped_once(spark):
+    """Transcripts without stamps are units of their own, found in the windows that place the others."""
+    rows = [(f"p/{n}.jsonl", n, None, 0, result(ts, "x")) for n, ts in (("a", at(0)), ("b", at(10)), ("c", None), ("d", "once"), ("e", at(300)))]
+    m = assemble.unit_members(assemble.T.stamped(spark.createDataFrame(rows, LINES)))
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(file") == 1
+    assert {r.session_id: (r.unit_id, r.session_ix, r.kept, r.dropped, r.gap_min) for r in m.collect()} == {
+        "a": ("p/1", 0, True, 0, None), "b": ("p/1", 1, True, 0, 10.0), "c": ("?p/c.jsonl", 0, True, 0, None), "d": ("?p/d.jsonl", 0, True, 0, None), "e": ("p/2", 0, True, 0, None),
+    }
