@@ -141,3 +141,39 @@ def test_spans_are_grouped_once(spark):
     assert {r.session_id: (r.unit_id, r.session_ix, r.kept, r.dropped, r.gap_min) for r in m.collect()} == {
         "a": ("p/1", 0, True, 0, None), "b": ("p/1", 1, True, 0, 10.0), "c": ("?p/c.jsonl", 0, True, 0, None), "d": ("?p/d.jsonl", 0, True, 0, None), "e": ("p/2", 0, True, 0, None),
     }
+
+
+def test_lines_are_made_by_code_that_the_jvm_compiles(spark):
+    """No expression of the lines is walked node by node, and no method made for their stamps is past what HotSpot compiles."""
+    import re
+
+    from tests.conftest import SF
+    from tracewright.plans.log_queries import log_lines
+
+    lines = log_lines(spark, SF)
+    assert "lambdafunction" not in lines._jdf.queryExecution().executedPlan().toString()
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [int(n) for df in (lines, assemble.unit_members(assemble.T.stamped(lines))) for n in re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(mode))]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sizes and max(sizes) < 8000
+
+
+def test_lines_that_no_member_keeps_are_not_written(spark, monkeypatch):
+    rows = [(f"p/{n:02d}.jsonl", f"m{n:02d}", None, 0, result(at(n), "x")) for n in range(20)] + [("p/agent-s.jsonl", None, "s", 0, result(at(3), "x"))]
+    lines, seen, write = spark.createDataFrame(rows, LINES), {}, assemble.written
+
+    def counted(df, name):
+        out = write(df, name)
+        seen.setdefault(name, sorted(r.file for r in out.select("file").collect()) if "file" in out.columns else None)
+        return out
+
+    monkeypatch.setattr(assemble, "written", counted)
+    assemble.assemble(lines, cap=3)
+    assert seen["lines"] == ["p/17.jsonl", "p/18.jsonl", "p/19.jsonl", "p/agent-s.jsonl"]
+    monkeypatch.setattr(assemble.T, "MAX_SPLITS", 0)  # as many members as are joined by a shuffle
+    seen.clear()
+    assemble.assemble(lines, cap=3)
+    assert seen["lines"] == ["p/17.jsonl", "p/18.jsonl", "p/19.jsonl", "p/agent-s.jsonl"]
