@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.test_logs import LINES, at, call, transcript
 from tests.test_queries import SQL, rows
-from tracewright.operators import assemble
+from tracewright.operators import assemble, detect
 from tracewright.plans import registry
 from tracewright.plans.log_queries import LOGS, WHOLE_LOGS
 
@@ -39,7 +39,7 @@ def by_sql(con, sql):
     return rows([c[0] for c in got.description], got.fetchall())
 
 
-@pytest.mark.parametrize("name", ["l01_logs_to_actions"])
+@pytest.mark.parametrize("name", ["l01_logs_to_actions", "v02_unit_pairs"])
 def test_all_members_of_a_unit_count(spark, events, name):
     """The query gives what its SQL does, and not what the newest sixteen members would."""
     folder, con = events
@@ -67,3 +67,35 @@ def test_without_a_cap_all_members_are_kept(spark):
     # neither a folder without its transcript nor a file that no one claims gives actions
     assert sorted((r.idx, r.session_id) for r in u.actions.collect()) == [(k, f"m{k:02d}") for k in range(20)]
     assert [(r.members, len(r.session_ids)) for r in u.units.collect()] == [(20, 20)]
+
+
+def joined(plan):
+    """Rows that each join of an executed plan gave."""
+    kind, out = plan.getClass().getSimpleName(), []
+    if kind == "AdaptiveSparkPlanExec":
+        out += joined(plan.executedPlan())
+    elif kind.endswith("QueryStageExec"):
+        out += joined(plan.plan())
+    elif "Join" in kind:
+        out.append(plan.metrics().apply("numOutputRows").value())
+    for i in range(plan.children().size()):
+        out += joined(plan.children().apply(i))
+    return out
+
+
+def test_overlaps_of_many_edits_meet_by_range(spark):
+    """The earliest overlap is that of a comparison of all pairs, hunks without lines and backward ones too; edits of one range meet as one row."""
+    pick = random.Random(5)
+    some = [(f"u{n % 2}", "/a" if n % 3 else "/b", n, "Edit", [(lo := pick.randrange(200), lo + pick.choice([-60, -2, 0, 0, 1, 3, 70])) for _ in range(pick.randrange(4))]) for n in range(160)]
+    schema = "unit_id string, file_path string, idx int, kind string, hunks array<struct<lo: int, hi: int>>"
+    got = {(r.unit_id, r.file_path, r.idx): r.earlier for r in detect.hunk_overlaps(spark.createDataFrame(some, schema)).collect()}
+    want = {}
+    for u, f, i, _, hunks in some:
+        early = [j for v, g, j, _, others in some if (u, f) == (v, g) and j < i and any(a < d and c < b for a, b in hunks for c, d in others)]
+        want |= {(u, f, i): min(early)} if early else {}
+    assert got == want and len(want) > 40
+    same = spark.createDataFrame([("u", "/a", n, "Edit", [(n % 3, n % 3 + 5)]) for n in range(300)], schema)
+    pairs = detect.hunk_overlaps(same)
+    pairs.collect()
+    made = joined(pairs._jdf.queryExecution().executedPlan())
+    assert made and max(made) <= 300
