@@ -39,7 +39,7 @@ def by_sql(con, sql):
     return rows([c[0] for c in got.description], got.fetchall())
 
 
-@pytest.mark.parametrize("name", ["l01_logs_to_actions", "v02_unit_pairs", "v09_unit_false_alarms", "v12_unit_hypothesis"])
+@pytest.mark.parametrize("name", ["l01_logs_to_actions", "v02_unit_pairs", "v09_unit_false_alarms", "v12_unit_hypothesis", "v13_unit_verdict"])
 def test_all_members_of_a_unit_count(spark, events, name):
     """The query gives what its SQL does, and not what the newest sixteen members would."""
     folder, con = events
